@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lmscore, mixing, permindex, secretscan, tokencount, toxicity, urlfilter
+from . import decontam, langid, lmscore, mixing, ngramjoin, permindex, secretscan, tokencount, toxicity, urlfilter
 from .common import table
 
 #: fixed values: the URL rules of the query
@@ -32,6 +32,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs)).select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return permindex.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
@@ -72,7 +76,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_url_filter, op2_toxicity, op3_language_id, op5_nearest_neighbours, op6_secret_scan,
+        op1_url_filter, op2_toxicity, op3_language_id, op4_ngram_jaccard, op5_nearest_neighbours, op6_secret_scan,
         op7_token_counts, op8_decontaminate, op9_mix_sources, op10_lm_score,
     )
 }
