@@ -1 +1 @@
-
+"""Column functions: text normalisers, canonical identifiers, predicates."""

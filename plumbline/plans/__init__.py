@@ -1 +1 @@
-
+"""Operators bound to concrete tables, with equivalent SQL."""

@@ -1 +1 @@
-
+"""Record sources and result sinks."""

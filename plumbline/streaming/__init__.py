@@ -1 +1 @@
-
+"""Incremental use of the operators with Structured Streaming."""
