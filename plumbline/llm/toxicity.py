@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import fold
 
 HASH_BITS = 18
-MAX_ROWS = 16_000
+MAX_ROWS = 12_000
 SLOTS = 8192
 FACTORS = 6
 #: a term's chi-squared against the label at p = 0.001
