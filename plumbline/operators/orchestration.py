@@ -64,22 +64,26 @@ def eligible_triggers(triggers: DataFrame, flows: DataFrame, dependencies: DataF
 
 
 def resolve_triggers(triggers: DataFrame, producers: DataFrame) -> DataFrame:
-    """triggers (profile, entity_id, statistic) with confirmed (array of producers), external_count, status and
-    candidate_revisions. producers: profile, entity_id, system_id, revision_id, flow_id, published (array).
-
-    Producers are gathered per key before the join: a trigger meets one row, and none is dropped."""
-    who = F.struct("system_id", "revision_id", "flow_id", "published")
-    by_key = producers.groupBy("profile", "entity_id").agg(F.array_sort(F.collect_list(who)).alias("__all"))
-    t = triggers.join(by_key, ["profile", "entity_id"], "left")
-    own = lambda p: (p["system_id"] == F.col("system_id")) & (p["revision_id"] == F.col("revision_id"))
-    external = F.filter(F.coalesce("__all", F.array().cast("array<struct<system_id:string,revision_id:string,flow_id:string,published:array<string>>>")), lambda p: ~own(p))
-    t = t.withColumn("__external", external).withColumn("confirmed", F.filter("__external", lambda p: F.array_contains(p["published"], F.col("statistic"))))
+    """triggers (profile, entity_id, statistic) with confirmed_count, external_count, status and candidate_revisions.
+    producers: profile, entity_id, system_id, revision_id, flow_id, published (array).
+
+    Counts of all producers less those of the trigger's own revision: aggregates with map-side combine before each
+    join, so a popular key costs one row per revision and statistic, never a list of its producers."""
+    key = ["profile", "entity_id"]
+    by_rev = producers.groupBy(*key, *REVISION).agg(F.count("*").alias("own_n"))
+    by_key = by_rev.groupBy(*key).agg(F.sum("own_n").alias("key_n"), F.array_sort(F.collect_set(F.concat_ws("@", *REVISION))).alias("revisions"))
+    stat = producers.select(*key, *REVISION, F.explode(F.array_distinct("published")).alias("statistic"))
+    stat_rev = stat.groupBy(*key, "statistic", *REVISION).agg(F.count("*").alias("own_stat"))
+    stat_key = stat_rev.groupBy(*key, "statistic").agg(F.sum("own_stat").alias("stat_n"))
+    t = triggers.join(by_key, key, "left").join(by_rev, [*key, *REVISION], "left").join(stat_key, [*key, "statistic"], "left").join(stat_rev, [*key, "statistic", *REVISION], "left")
+    t = t.na.fill(0, ["key_n", "own_n", "stat_n", "own_stat"])
     blank = (F.col("profile") == "") | (F.col("entity_id") == "") | (F.col("statistic") == "")
-    n = F.size("confirmed")
-    status = F.when(blank, NO_IDENTITY).when(n == 1, UNIQUE).when(n > 1, AMBIGUOUS).when(F.size("__external") > 0, NO_STATISTIC).otherwise(HALF_WIRE)
-    seen = F.array_sort(F.array_distinct(F.transform("__external", lambda p: F.concat_ws("@", p["system_id"], p["revision_id"]))))
-    t = t.withColumn("status", status).withColumn("external_count", F.size("__external")).withColumn("candidate_revisions", seen)
-    return t.withColumn("confirmed", F.when(blank, F.slice("confirmed", 1, 0)).otherwise(F.col("confirmed"))).drop("__all", "__external")
+    n = F.when(blank, 0).otherwise(F.col("stat_n") - F.col("own_stat"))
+    external = F.col("key_n") - F.col("own_n")
+    status = F.when(blank, NO_IDENTITY).when(n == 1, UNIQUE).when(n > 1, AMBIGUOUS).when(external > 0, NO_STATISTIC).otherwise(HALF_WIRE)
+    seen = F.array_remove(F.coalesce("revisions", F.array().cast("array<string>")), F.concat_ws("@", *REVISION))
+    t = t.withColumn("confirmed_count", n.cast("int")).withColumn("external_count", external.cast("int")).withColumn("status", status)
+    return t.withColumn("candidate_revisions", F.when(blank, F.slice(seen, 1, 0)).otherwise(seen)).drop("key_n", "own_n", "stat_n", "own_stat", "revisions")
 
 
 def local_edges(dependencies: DataFrame) -> DataFrame:
@@ -95,14 +99,14 @@ def local_edges(dependencies: DataFrame) -> DataFrame:
     )
 
 
-def cross_edges(resolved: DataFrame) -> DataFrame:
+def cross_edges(resolved: DataFrame, producers: DataFrame) -> DataFrame:
     """An edge for each confirmed producer, also of ambiguous triggers."""
-    e = resolved.select("*", F.explode("confirmed").alias("p"))
+    p = producers.select("profile", "entity_id", F.explode(F.array_distinct("published")).alias("statistic"), F.col("system_id").alias("producer_system"), F.col("revision_id").alias("producer_revision"), F.col("flow_id").alias("producer_flow_id"))
+    e = resolved.where("confirmed_count > 0").join(p, ["profile", "entity_id", "statistic"]).where("producer_system != system_id or producer_revision != revision_id")
     return e.select(
-        F.lit("cross_revision").alias("kind"), "status", F.col("p.system_id").alias("producer_system"), F.col("p.revision_id").alias("producer_revision"),
-        F.col("p.flow_id").alias("producer_flow_id"), F.col("system_id").alias("consumer_system"), F.col("revision_id").alias("consumer_revision"),
+        F.lit("cross_revision").alias("kind"), "status", "producer_system", "producer_revision", "producer_flow_id", F.col("system_id").alias("consumer_system"), F.col("revision_id").alias("consumer_revision"),
         F.col("flow_id").alias("consumer_flow_id"), "profile", "entity_id", F.col("statistic").alias("statistic_id"), F.lit(True).alias("stat_supported"),
-        F.size("confirmed").alias("producer_candidates"), "trigger_id",
+        F.col("confirmed_count").alias("producer_candidates"), "trigger_id",
     )
 
 
@@ -110,7 +114,7 @@ def trigger_gaps(resolved: DataFrame) -> DataFrame:
     """A gap for every trigger that is not resolved to one producer."""
     return resolved.where(F.col("status") != UNIQUE).select(
         F.col("system_id").alias("consumer_system"), F.col("revision_id").alias("consumer_revision"), F.col("flow_id").alias("consumer_flow_id"), "trigger_id",
-        "status", "profile", "entity_id", F.col("statistic").alias("statistic_id"), F.size("confirmed").alias("producer_candidates"), "candidate_revisions",
+        "status", "profile", "entity_id", F.col("statistic").alias("statistic_id"), F.col("confirmed_count").alias("producer_candidates"), "candidate_revisions",
     )
 
 
@@ -120,7 +124,7 @@ def build_topology(revisions: DataFrame, records: Mapping[str, DataFrame]) -> di
     flows = records["ctl_flow"]
     producers = select_producers(active_producers(flows, records["ctl_flow_entity"])).withColumn("published", statistics(F.col("published_stats_json")))
     resolved = resolve_triggers(eligible_triggers(records["ctl_trigger"], flows, records["ctl_dependency"]), producers)
-    edges = local_edges(records["ctl_dependency"]).unionByName(cross_edges(resolved))
+    edges = local_edges(records["ctl_dependency"]).unionByName(cross_edges(resolved, producers))
     gaps = trigger_gaps(resolved)
     n = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
     counts = n(revisions, "revisions").union(n(flows, "flows")).union(n(edges, "edges")).union(n(gaps, "gaps"))
