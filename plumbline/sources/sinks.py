@@ -69,7 +69,8 @@ def dependency_graph(edges: DataFrame) -> DataFrame:
         F.concat(F.lit("  "), a, label(F.col("producer_flow_id"))).alias("l1"), F.concat(F.lit("  "), b, label(F.col("consumer_flow_id"))).alias("l2"),
         F.concat(F.lit("  "), a, F.when(tri_state("stat_supported"), " --> ").otherwise(" -.-> "), b).alias("l3"),
     )
-    return e.select(F.explode(F.array(F.struct(F.lit(0).alias("n"), "l1"), F.struct(F.lit(0), F.col("l2")), F.struct(F.lit(1), F.col("l3")))).alias("x")).select("x.n", F.col("x.l1").alias("line")).distinct().orderBy("n", "line").select("line")
+    lines = F.array(*[F.struct(F.lit(n).alias("n"), F.col(c).alias("line")) for n, c in ((0, "l1"), (0, "l2"), (1, "l3"))])
+    return e.select(F.explode(lines).alias("x")).select("x.*").distinct().orderBy("n", "line").select("line")
 
 
 def replica_graph(relationships: DataFrame) -> DataFrame:
