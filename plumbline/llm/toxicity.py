@@ -33,6 +33,8 @@ SLOTS = 8192
 FACTORS = 6
 #: a term's chi-squared against the label at p = 0.001
 MIN_CHI = 10.8
+#: toxic texts are the rarer and the costlier ones to miss
+TOXIC_WEIGHT = 3.0
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _terms = re.compile(r"\w+").findall
 
@@ -98,7 +100,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, min_docs: int = 5, slots: int = S
         for a in range(0, n, 256):
             part = order[a : a + 256]
             value, sums, idx, row = forward([data[i] for i in part], w, v)
-            g = (1 / (1 + np.exp(-np.clip(value + b, -30, 30))) - y[part])
+            g = (1 / (1 + np.exp(-np.clip(value + b, -30, 30))) - y[part]) * np.where(y[part] > 0, TOXIC_WEIGHT, 1)
             seen = np.bincount(idx, minlength=len(top)) > 0
             dw = np.bincount(idx, g[row], len(top)) + l2w * w * seen
             gate = np.bincount(idx, g[row], len(top))[:, None]
