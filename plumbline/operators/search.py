@@ -103,8 +103,8 @@ def calculation_logic(projections: DataFrame, query_id: str, output_name: str) -
 
 def evidence_page(records: DataFrame, order: list[str], index: int, size: int) -> DataFrame:
     """Records index+1 to index+size, by number."""
-    n = records.withColumn("record_index", F.row_number().over(W.orderBy(*order)) - 1)
-    return n.where((F.col("record_index") >= index) & (F.col("record_index") < index + size))
+    rows = records.orderBy(*order).offset(index).limit(size)
+    return rows.withColumn("record_index", F.row_number().over(W.orderBy(*order)) - 1 + index)
 
 
 def unique_identity(mappings: DataFrame) -> DataFrame:
