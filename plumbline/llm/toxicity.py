@@ -75,7 +75,7 @@ def forward(rows: list[np.ndarray], w: np.ndarray, v: np.ndarray) -> tuple[np.nd
     return value + 0.5 * ((sums**2).sum(axis=1) - squares), sums, idx, row
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, min_docs: int = 5, slots: int = SLOTS, factors: int = FACTORS, epochs: int = 12) -> dict:
+def fit(rows: list[np.ndarray], y: np.ndarray, min_docs: int = 3, slots: int = SLOTS, factors: int = FACTORS, epochs: int = 12) -> dict:
     n, width = len(rows), 1 << HASH_BITS
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(n), [len(r) for r in rows])
