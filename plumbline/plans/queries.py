@@ -697,6 +697,140 @@ def stable_identifiers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select(joined_id("object_", "n_name", text("n_regionkey")).alias("object_id"), "n_name", F.concat(F.lit("s2t-row-"), digest(json_list(F.col("n_name")), 24)).alias("row_id"))
 
 
+@query("""
+select cast(p_partkey as varchar) target from part where p_size % 4 not in (0, 1) and p_size % 7 <> 0 and not (p_size % 5 = 0 and p_partkey % 2 = 0)""")
+def target_eligibility(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as targets: kinds, disabled ones and ones with contexts only under __off__."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    kind = F.when(z % 4 == 0, "intermediate").when(z % 4 == 1, "unknown").otherwise("final")
+    ctx = F.when((z % 5 == 0) & (k % 2 == 0), F.array(F.lit("a/__off__/b"))).when(z % 5 == 0, F.array(F.lit("a/__off__/b"), F.lit("c"))).otherwise(F.array(F.lit("c")))
+    c = table(spark, d, "part").select(F.lit("r").alias("repo_id"), text("p_partkey").alias("logical_target_name"), kind.alias("target_kind"), F.when(z % 7 == 0, "DISABLED").otherwise("").alias("workflow_status"), ctx.alias("workflow_contexts"), k.alias("input_ordinal"))
+    return source_target.eligible_targets(c).select(F.col("logical_target_name").alias("target"))
+
+
+@query("""
+with x as (select p_brand r, case p_partkey % 3 when 0 then lower(p_type) when 1 then upper(p_type) else p_type end c, p_partkey o from part)
+select o p_partkey, first_value(c) over (partition by r, lower(c) order by o) spelling from x""")
+def canonical_spelling(spark: SparkSession, d: str) -> DataFrame:
+    """The first spelling of a column counts."""
+    k = F.col("p_partkey")
+    c = F.when(k % 3 == 0, F.lower("p_type")).when(k % 3 == 1, F.upper("p_type")).otherwise(F.col("p_type"))
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("target_relation"), c.alias("target_column"), k.alias("input_ordinal"))
+    return source_target.canonical_spelling(rows).select(F.col("input_ordinal").alias("p_partkey"), F.col("target_column").alias("spelling"))
+
+
+@query("""
+select o_orderkey from orders where o_orderkey % 5 = 0
+union all select min(o_orderkey) from orders where o_orderkey % 5 <> 0 group by o_custkey""")
+def upstream_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """Q5: one lineage row per id; rows without an id all stay."""
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(text("o_custkey")).alias("lineage_id"), F.col("o_orderkey").alias("input_ordinal"))
+    return search.upstream(o).select("o_orderkey")
+
+
+@query("""
+with r as (select cast(p_partkey as varchar) id, p_type name from part), q as (select s_suppkey, case when s_suppkey % 2 = 0 then cast(s_suppkey * 30 as varchar) else '' end id, case when s_suppkey % 4 = 1 then (select min(p_type) from part) when s_suppkey % 4 = 3 then 'none' else '' end name from supplier)
+select s_suppkey, case when id <> '' then case when exists (select 1 from r where r.id = q.id) then 'exact_published_record' else 'not_found' end
+  else case (select least(count(*), 2) from r where lower(r.name) = lower(q.name)) when 0 then 'not_found' when 1 then 'name_candidate' else 'ambiguous' end end resolution from q""")
+def object_details(spark: SparkSession, d: str) -> DataFrame:
+    """Q4: lookups by id or name."""
+    rec = table(spark, d, "part").select(F.lit("part").alias("record_kind"), text("p_partkey").alias("record_id"), F.col("p_type").alias("name"), F.lit("").alias("parent"), F.sha2(text("p_partkey"), 256).alias("selection_ref"))
+    least = F.broadcast(table(spark, d, "part").agg(F.min("p_type").alias("m")))  # one row
+    k = F.col("s_suppkey")
+    req = table(spark, d, "supplier").crossJoin(least).select("s_suppkey", F.lit("").alias("ref"), F.when(k % 2 == 0, (k * 30).cast("string")).otherwise("").alias("record_id"), F.when(k % 4 == 1, F.col("m")).when(k % 4 == 3, "none").otherwise("").alias("name"))
+    return search.object_details(rec, req).select("s_suppkey", "resolution")
+
+
+@query("""
+with c as (select s_nationkey, count(*) n, count(distinct s_suppkey % 7) repos, count(distinct s_suppkey) ids, bool_or(s_suppkey % 11 = 0) bare from supplier group by 1)
+select s_nationkey, concat_ws(',', case when n not between 2 and 15 then 'candidate_count' end, case when ids <> n then 'candidate_ids' end, case when s_nationkey % 3 = 0 then 'hash' end, case when bare then 'no_evidence' end, case when repos <> n then 'repositories' end) faults from c""")
+def package_validation(spark: SparkSession, d: str) -> DataFrame:
+    """A nation's suppliers as a package of candidates."""
+    k = F.col("s_suppkey")
+    c = F.struct(text("s_suppkey").alias("candidate_id"), (k % 7).cast("string").alias("repository_id"), F.when(k % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("i"))).alias("supporting_interface_ids"))
+    p = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.collect_list(c).alias("candidates")).withColumn("content_hash", F.lit("h")).withColumn("package_hash", F.when(F.col("s_nationkey") % 3 == 0, "x").otherwise("h"))
+    return p.select("s_nationkey", F.array_join(ranking.package_faults(), ",").alias("faults"))
+
+
+@query("""
+with n as (select 'op' || (p_partkey % 5) op, 'b' || (p_partkey % 30) parent, replace(p_type, ' ', '_') field, p_partkey id from part where p_partkey % 2 = 0)
+select s_suppkey, id value_node_id, field from supplier join n on op = 'op' || (s_suppkey % 5) and parent = 'b' || (s_suppkey % 30)""")
+def child_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """Direct children of an anchor in its operation."""
+    k = F.col("p_partkey")
+    n = table(spark, d, "part").where("p_partkey % 2 = 0").select(F.lit("field").alias("node_kind"), F.concat(F.lit("op"), (k % 5).cast("string")).alias("operation"), F.concat(F.lit("b"), (k % 30).cast("string"), F.lit("."), F.replace("p_type", F.lit(" "), F.lit("_"))).alias("display_ref"), k.alias("value_node_id"))
+    s = F.col("s_suppkey")
+    a = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("op"), (s % 5).cast("string")).alias("operation"), F.concat(F.lit("b"), (s % 30).cast("string")).alias("display_ref"))
+    return interaction.child_expansion(a, n).select("s_suppkey", "value_node_id", "field")
+
+
+@query("""
+with f as (select o_orderkey, 'r' || (o_custkey % 6) repo, 'ref' || (o_orderkey % 40) ref, 'i' || (o_orderkey % 3) iface, 'P' || (o_orderkey % 4) payload from orders where o_orderkey % 10 = 0),
+n as (select p_partkey id, 'r' || (p_partkey % 6) repo, 'ref' || (p_partkey % 40) ref, 'i' || (p_partkey % 5) owner, 'P' || (p_size % 4) opowner from part where p_size < 9),
+j as (select f.o_orderkey, count(id) n, count(*) filter (where owner = iface) ni, count(*) filter (where opowner = payload) np, min(id) m, min(id) filter (where owner = iface) mi, min(id) filter (where opowner = payload) mp from f left join n using (repo, ref) group by f.o_orderkey, iface, payload)
+select o_orderkey, n candidate_count, case when n = 1 then 'exact_reference' when ni = 1 then 'exact_interface' when np = 1 then 'exact_payload_owner' end basis, case when n = 1 then m when ni = 1 then mi when np = 1 then mp end anchor_id,
+  case when n = 1 or ni = 1 or np = 1 then 'resolved' else 'unresolved' end anchor_status from j""")
+def anchor_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """The one node of a reference, else of an allowed interface, else of the payload's owner."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    name = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    a = table(spark, d, "orders").where("o_orderkey % 10 = 0").select(
+        text("o_orderkey").alias("edge_id"), F.lit("request").alias("role"), F.lit("f").alias("field_path"), name("r", c % 6).alias("source_repository"), F.lit(0).alias("attempt"), name("ref", k % 40).alias("ref"), F.lit("wire").alias("strategy"),
+        F.array(name("i", k % 3)).alias("source_interfaces"), name("P", k % 4).alias("source_payload"), F.lit("http").alias("protocol"), F.lit("GET").alias("method"), F.lit("/x").alias("matched_identity"),
+    )
+    p = F.col("p_partkey")
+    transport = F.struct(*[F.lit("").alias(x) for x in ("protocol", "endpoint", "payload_role", "interface_direction", "http_method")])
+    n = table(spark, d, "part").where("p_size < 9").select(name("r", p % 6).alias("repo_id"), name("ref", p % 40).alias("display_ref"), p.alias("value_node_id"), name("i", p % 5).alias("owner_ref"), F.concat(name("P", F.col("p_size") % 4), F.lit(".get")).alias("operation"), transport.alias("transport"))
+    r = interaction.resolve_anchors(a, n, "source")
+    return r.select(F.col("edge_id").cast("long").alias("o_orderkey"), "candidate_count", "basis", "anchor_id", "anchor_status")
+
+
+@query("""
+select o_orderkey, reason, side from (
+  select o_orderkey, 'candidate_transport_crossing_unverified' reason, 'crossing' side from orders union all select o_orderkey, 'payload_identity_not_exactly_compatible', 'crossing' from orders where o_orderkey % 3 <> 0
+  union all select o_orderkey, 'source_local_anchor_unresolved', 'source' from orders where o_orderkey % 4 = 0 union all select o_orderkey, 'target_local_anchor_unresolved', 'target' from orders where o_orderkey % 5 = 0)""")
+def journey_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Crossings stay candidates; what each journey lacks."""
+    k = F.col("o_orderkey")
+    j = table(spark, d, "orders").select(
+        text("o_orderkey").alias("edge_id"), F.lit("request").alias("role"), F.lit("f").alias("field_path"), F.lit("a").alias("source_repository"), F.lit("b").alias("target_repository"),
+        F.when(k % 4 == 0, "unresolved").otherwise("resolved").alias("source_status"), F.when(k % 5 == 0, "unresolved").otherwise("terminal").alias("target_status"),
+        interaction.crossing(F.lit("P"), F.when(k % 3 == 0, "P"))["payload_compatible"].alias("payload_compatible"),
+    )
+    return interaction.journey_gaps(j).select(F.col("edge_id").cast("long").alias("o_orderkey"), "reason", "side")
+
+
+@query("""
+with e as (select p_brand fqcn, count(*) n, min(case when p_size = 1 then '' else p_type end) t from part where p_size < 3 group by 1)
+select p_brand fqcn, n candidate_count, case when n > 1 then 'tsa_entity_mapping_ambiguous' when t = '' then 'tsa_entity_mapping_missing_table' end gap from (select distinct p_brand from part) x join e on fqcn = p_brand""")
+def entity_mappings(spark: SparkSession, d: str) -> DataFrame:
+    """Brands as types, small parts as entity mappings: none is no row, several or no table is a gap."""
+    p = table(spark, d, "part")
+    types = p.select(F.col("p_brand").alias("type_id"), F.col("p_brand").alias("fqcn")).distinct()
+    m = p.where("p_size < 3").select(F.col("p_brand").alias("logical_type_name"), text("p_partkey").alias("mapping_id"), F.when(F.col("p_size") == 1, "").otherwise(F.col("p_type")).alias("physical_table_name"), F.lit("observed_exact").alias("mapping_status"))
+    return replica.map_entities(types, m).select("fqcn", "candidate_count", "gap")
+
+
+@query("""
+select c_custkey, case when c_custkey % 2 = 0 then 'missing_binding' when c_custkey % 3 = 0 then 'server_unavailable' when c_custkey % 5 = 0 then 'missing_compatible_revision' when c_custkey % 7 = 0 then 'missing_required_tool'
+  when c_custkey % 11 = 0 then 'preparation_ambiguous' when c_custkey % 13 = 0 then 'preparable_external_boundary' when c_custkey % 17 = 0 then 'material_semantic_gap' else 'ready' end readiness from customer""")
+def repository_readiness(spark: SparkSession, d: str) -> DataFrame:
+    """What a repository lacks first."""
+    k = F.col("c_custkey")
+    yes = {"bound": 2, "server_ok": 3, "revision_compatible": 5, "tools_ok": 7}
+    bad = {"ambiguous": 11, "external_boundary": 13, "material_gap": 17}
+    r = table(spark, d, "customer").select("c_custkey", *[(k % n != 0).alias(c) for c, n in yes.items()], *[(k % n == 0).alias(c) for c, n in bad.items()], F.lit(True).alias("revision_available"))
+    return interaction.readiness(r).select("c_custkey", "readiness")
+
+
+@query("""
+select 'external:' || g group_key, count(*) requirement_count from (select cast(o_custkey % 7 as varchar) g from orders where o_orderkey % 2 = 0) group by 1""")
+def requirement_groups(spark: SparkSession, d: str) -> DataFrame:
+    """External requirements by preparation group."""
+    o = table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.lit("needs_external_source").alias("state"), (F.col("o_custkey") % 7).cast("string").alias("preparation_group"), "o_orderkey")
+    return interaction.group_requirements(o).select("group_key", "requirement_count")
+
+
 # ---- SQL as data
 
 #: our own statements over the driver's tables: the shapes that join facts tell apart
