@@ -13,6 +13,14 @@ from .keys import first_wins
 VARIANTS = {"base": "", "hist": "_hist", "delta": "_delta"}
 #: fixed values: physical target statuses that need no note
 SETTLED = ("confirmed_unique", "resolved", "confirmed")
+#: fixed values: statuses and gap codes
+MAPPING_AMBIGUOUS = "tsa_field_mapping_ambiguous"
+MAPPING_NOT_FOUND = "tsa_field_mapping_not_found"
+MAPPING_INEXACT = "tsa_mapping_not_observed_exact"
+TARGET_AMBIGUOUS = "physical_target_relation_ambiguous"
+NO_LINEAGE = "profile_confirmed_lineage_not_found"
+NO_CANDIDATE = "profile_target_candidate_not_found"
+RELATION_OPEN = "confirmed_lineage_target_relation_ambiguous"
 ARROW = " → "
 
 
@@ -50,7 +58,7 @@ def gate_mappings(requests: DataFrame, mappings: DataFrame) -> DataFrame:
     out = requests.join(m, ["fqcn", "field"], "left")
     n = F.coalesce("n", F.lit(0))
     whole = (F.col("m.relation") != "") & (F.col("m.column") != "") & (F.col("m.mapping_status") == "observed_exact")
-    gap = F.when(n > 1, "tsa_field_mapping_ambiguous").when(n == 0, "tsa_field_mapping_not_found").when(~whole, "tsa_mapping_not_observed_exact")
+    gap = F.when(n > 1, MAPPING_AMBIGUOUS).when(n == 0, MAPPING_NOT_FOUND).when(~whole, MAPPING_INEXACT)
     ok = (n == 1) & whole
     return out.select(
         *requests.columns, F.when(ok, F.col("m.relation")).alias("replica_relation"), F.when(ok, F.col("m.column")).alias("replica_column"),
@@ -99,11 +107,11 @@ def physical_target(rows: DataFrame, resolutions: DataFrame) -> DataFrame:
     )
     out = rows.join(r, "logical_target_name", "left")
     gap = (
-        F.when(F.coalesce(F.size("__cand"), F.lit(0)) > 1, "physical_target_relation_ambiguous")
+        F.when(F.coalesce(F.size("__cand"), F.lit(0)) > 1, TARGET_AMBIGUOUS)
         .when((F.coalesce("__status", F.lit("")) != "") & ~F.col("__status").isin(*SETTLED), F.concat(F.lit("physical_target_relation_"), F.col("__status"))).otherwise("")
     )
     out = out.withColumn("target_relation", first_filled("__rec", "target_relation_name", "logical_target_name")).withColumn("gap", gap)
-    status = F.when(F.col("gap") == "", "confirmed").otherwise("confirmed_lineage_target_relation_ambiguous")
+    status = F.when(F.col("gap") == "", "confirmed").otherwise(RELATION_OPEN)
     return out.withColumn("status", status).drop("__rec", "__cand", "__status")
 
 
@@ -160,7 +168,7 @@ def build_lineage(requests: DataFrame, mappings: DataFrame, candidates: DataFram
     seen = candidates.select(F.explode("source_relation_matches").alias("s")).select(relation_leaf(first_filled("s.logical_name", "s.relation_name")).alias("leaf")).distinct()
     reached = mapped.withColumn("w", F.explode(variant_leaves(F.col("replica_relation")))).join(seen, F.col("w.leaf") == seen["leaf"], "left_semi").select("fqcn", "field").distinct().withColumn("__seen", F.lit(True))
     lost = mapped.join(rows.select("fqcn", "field").distinct(), ["fqcn", "field"], "left_anti").join(reached, ["fqcn", "field"], "left")
-    lost = lost.withColumn("gap", F.when(F.col("__seen"), "profile_confirmed_lineage_not_found").otherwise("profile_target_candidate_not_found")).withColumn("status", F.lit("gap"))
+    lost = lost.withColumn("gap", F.when(F.col("__seen"), NO_LINEAGE).otherwise(NO_CANDIDATE)).withColumn("status", F.lit("gap"))
     gaps = gated.where("gap is not null").unionByName(lost.drop("__seen"))
     return rows.select(*shape).unionByName(gaps.select("fqcn", "field", "replica_relation", "replica_column", "status", "gap"), allowMissingColumns=True)
 

@@ -21,6 +21,24 @@ KEY_ANNOTATIONS = {
 #: fixed values: relationship statuses that do not count as resolved
 UNRESOLVED = ("", "unresolved", "ambiguous", "not_found", "not_resolved")
 EXACT = "observed_exact"
+#: fixed values: statuses and gap codes
+ENTITY_AMBIGUOUS = "tsa_entity_mapping_ambiguous"
+ENTITY_WITHOUT_TABLE = "tsa_entity_mapping_missing_table"
+SEVERAL_KEYS = "multiple_ucp_identity_annotations"
+NO_KEY = "ucp_identity_annotation_not_observed"
+KEY_NOT_LITERAL = "ucp_identity_annotation_has_no_literal_key_field"
+KEY_FOREIGN = "ucp_identity_field_not_in_effective_fields"
+KEY_AMBIGUOUS = "tsa_identity_field_mapping_ambiguous"
+KEY_UNMAPPED = "tsa_identity_field_mapping_not_found"
+KEY_WITHOUT_COLUMN = "tsa_identity_mapping_missing_physical_column"
+KEY_CONFIRMED = "confirmed_declared_identity_mapped"
+FIELD_AMBIGUOUS = "ucp_field_ambiguous"
+FIELD_NOT_FOUND = "ucp_field_not_found"
+NO_DESCRIPTION = "ucp_description_not_published"
+SEVERAL_FIELDS = "ambiguous_multiple_ucp_fields"
+COLUMN_AMBIGUOUS = "tsa_column_mapping_ambiguous"
+PROJECTED = "confirmed_ucp_relationship_projected_to_replicas"
+NO_PHYSICAL_JOIN = "physical_fk_join_not_observed"
 
 
 def resolve_roots(roots: DataFrame, types: DataFrame) -> DataFrame:
@@ -50,7 +68,7 @@ def exact_only(mappings: DataFrame) -> DataFrame:
 def map_entities(types: DataFrame, entity_mappings: DataFrame) -> DataFrame:
     """types with entity_mapping_id, replica_relation and gap: no mapping is no row, several or no table is a gap."""
     m = exact_only(entity_mappings).groupBy(F.col("logical_type_name").alias("fqcn")).agg(F.count("*").alias("candidate_count"), F.first("mapping_id").alias("entity_mapping_id"), F.first(clean("physical_table_name")).alias("replica_relation"))
-    gap = F.when(F.col("candidate_count") > 1, "tsa_entity_mapping_ambiguous").when(F.col("replica_relation") == "", "tsa_entity_mapping_missing_table")
+    gap = F.when(F.col("candidate_count") > 1, ENTITY_AMBIGUOUS).when(F.col("replica_relation") == "", ENTITY_WITHOUT_TABLE)
     return types.join(m, "fqcn").withColumn("gap", gap)
 
 
@@ -88,16 +106,16 @@ def map_keys(tables: DataFrame, annotations: DataFrame, effective_fields: DataFr
     one, field = F.col("n") == 1, F.col("key_field")
     foreign = (F.coalesce(F.size("names"), F.lit(0)) > 0) & ~F.array_contains("names", field)
     gap = (
-        F.when(F.col("n") > 1, "multiple_ucp_identity_annotations").when(F.col("n") == 0, "ucp_identity_annotation_not_observed")
-        .when(field.isNull(), "ucp_identity_annotation_has_no_literal_key_field").when(F.coalesce(foreign, F.lit(False)), "ucp_identity_field_not_in_effective_fields")
-        .when(F.coalesce("key_m", F.lit(0)) > 1, "tsa_identity_field_mapping_ambiguous").when(F.coalesce("key_m", F.lit(0)) == 0, "tsa_identity_field_mapping_not_found")
-        .when(F.col("key_c") == "", "tsa_identity_mapping_missing_physical_column").otherwise("")
+        F.when(F.col("n") > 1, SEVERAL_KEYS).when(F.col("n") == 0, NO_KEY)
+        .when(field.isNull(), KEY_NOT_LITERAL).when(F.coalesce(foreign, F.lit(False)), KEY_FOREIGN)
+        .when(F.coalesce("key_m", F.lit(0)) > 1, KEY_AMBIGUOUS).when(F.coalesce("key_m", F.lit(0)) == 0, KEY_UNMAPPED)
+        .when(F.col("key_c") == "", KEY_WITHOUT_COLUMN).otherwise("")
     )
     single = lambda name: F.when(one & (F.col(f"{name}_m") == 1), F.col(f"{name}_c")).otherwise("")
     return t.select(
         *tables.columns, F.when(one, F.col("key_annotation")).otherwise("").alias("key_annotation"), F.when(one, F.col("key_kind")).otherwise("").alias("key_kind"),
         F.when(one, F.coalesce("key_field", F.lit(""))).otherwise("").alias("key_logical_field"), F.when(gap == "", F.col("key_c")).otherwise("").alias("key_replica_column"),
-        F.when(gap == "", "confirmed_declared_identity_mapped").otherwise("gap").alias("key_status"), gap.alias("key_gap"),
+        F.when(gap == "", KEY_CONFIRMED).otherwise("gap").alias("key_status"), gap.alias("key_gap"),
         single("version").alias("version_replica_column"), single("collocation").alias("collocation_replica_column"),
     )
 
@@ -115,12 +133,12 @@ def replica_fields(tables: DataFrame, field_mappings: DataFrame, fields: DataFra
     rows = rows.withColumn("ids", F.coalesce(F.when(F.size("effective_ids") > 0, F.col("effective_ids")), "own_ids", F.array().cast("array<string>")))
     doc = fields.select(F.col("field_id").alias("one_id"), clean("description").alias("description"), clean("declared_type").alias("declared_type"))
     rows = rows.withColumn("one_id", F.when(F.size("ids") == 1, F.element_at("ids", 1))).join(doc, "one_id", "left")
-    status = F.when(F.size("ids") > 1, "ucp_field_ambiguous").when(F.col("one_id").isNull() | F.col("description").isNull(), "ucp_field_not_found").when(F.col("description") == "", "ucp_description_not_published").otherwise("confirmed")
+    status = F.when(F.size("ids") > 1, FIELD_AMBIGUOUS).when(F.col("one_id").isNull() | F.col("description").isNull(), FIELD_NOT_FOUND).when(F.col("description") == "", NO_DESCRIPTION).otherwise("confirmed")
     ambiguous = F.col("fields_on_column") > 1
     return rows.withColumn("description_status", status).select(
         "replica_relation", "replica_column", "fqcn", "field", F.coalesce("declared_type", F.lit("")).alias("field_type"), F.coalesce("description", F.lit("")).alias("field_description"),
-        "description_status", F.when(ambiguous, "ambiguous_multiple_ucp_fields").otherwise(EXACT).alias("mapping_status"),
-        F.when(ambiguous, "tsa_column_mapping_ambiguous").when(F.col("description_status") == "confirmed", "").otherwise(F.col("description_status")).alias("gap"),
+        "description_status", F.when(ambiguous, SEVERAL_FIELDS).otherwise(EXACT).alias("mapping_status"),
+        F.when(ambiguous, COLUMN_AMBIGUOUS).when(F.col("description_status") == "confirmed", "").otherwise(F.col("description_status")).alias("gap"),
     )
 
 
@@ -132,7 +150,7 @@ def project_relationships(tables: DataFrame, relationships: DataFrame, fields: D
     return out.select(
         "source_fqcn", "source_relation", "source_key", "source_key_status", F.coalesce("relationship_field", F.lit("")).alias("relationship_field"), "relationship_kind", "resolution_status",
         "target_fqcn", "target_relation", "target_key", "target_key_status", F.lit("not_observed").alias("physical_join_status"),
-        F.lit("confirmed_ucp_relationship_projected_to_replicas").alias("status"), F.lit("physical_fk_join_not_observed").alias("gap"),
+        F.lit(PROJECTED).alias("status"), F.lit(NO_PHYSICAL_JOIN).alias("gap"),
     )
 
 
