@@ -67,23 +67,25 @@ def resolve_triggers(triggers: DataFrame, producers: DataFrame) -> DataFrame:
     """triggers (profile, entity_id, statistic) with confirmed_count, external_count, status and candidate_revisions.
     producers: profile, entity_id, system_id, revision_id, flow_id, published (array).
 
-    Counts of all producers less those of the trigger's own revision: aggregates with map-side combine before each
-    join, so a popular key costs one row per revision and statistic, never a list of its producers."""
+    Producers are counted per key, revision and statistic (with map-side combine; a row without statistic counts them
+    all), and the counts gathered per key. A trigger meets one row, whose size is that of the pinned revisions and
+    their statistics, never of the producers; the producers are read once."""
     key = ["profile", "entity_id"]
-    by_rev = producers.groupBy(*key, *REVISION).agg(F.count("*").alias("own_n"))
-    by_key = by_rev.groupBy(*key).agg(F.sum("own_n").alias("key_n"), F.array_sort(F.collect_set(F.concat_ws("@", *REVISION))).alias("revisions"))
-    stat = producers.select(*key, *REVISION, F.explode(F.array_distinct("published")).alias("statistic"))
-    stat_rev = stat.groupBy(*key, "statistic", *REVISION).agg(F.count("*").alias("own_stat"))
-    stat_key = stat_rev.groupBy(*key, "statistic").agg(F.sum("own_stat").alias("stat_n"))
-    t = triggers.join(by_key, key, "left").join(by_rev, [*key, *REVISION], "left").join(stat_key, [*key, "statistic"], "left").join(stat_rev, [*key, "statistic", *REVISION], "left")
-    t = t.na.fill(0, ["key_n", "own_n", "stat_n", "own_stat"])
+    marked = F.array_append(F.array_distinct(F.array_compact("published")), F.lit(None).cast("string"))
+    counted = producers.select(*key, *REVISION, F.explode(marked).alias("stat")).groupBy(*key, *REVISION, "stat").agg(F.count("*").alias("n"))
+    by_key = counted.groupBy(*key).agg(F.collect_list(F.struct(*REVISION, "stat", "n")).alias("__all"))
+    none = F.array().cast("array<struct<system_id:string,revision_id:string,stat:string,n:bigint>>")
+    t = triggers.join(by_key, key, "left")
+    other = F.filter(F.coalesce("__all", none), lambda p: (p["system_id"] != F.col("system_id")) | (p["revision_id"] != F.col("revision_id")))
+    t = t.withColumn("__other", other)
+    total = lambda keep: F.aggregate(F.filter("__other", keep), F.lit(0).cast("bigint"), lambda a, p: a + p["n"])
     blank = (F.col("profile") == "") | (F.col("entity_id") == "") | (F.col("statistic") == "")
-    n = F.when(blank, 0).otherwise(F.col("stat_n") - F.col("own_stat"))
-    external = F.col("key_n") - F.col("own_n")
-    status = F.when(blank, NO_IDENTITY).when(n == 1, UNIQUE).when(n > 1, AMBIGUOUS).when(external > 0, NO_STATISTIC).otherwise(HALF_WIRE)
-    seen = F.array_remove(F.coalesce("revisions", F.array().cast("array<string>")), F.concat_ws("@", *REVISION))
-    t = t.withColumn("confirmed_count", n.cast("int")).withColumn("external_count", external.cast("int")).withColumn("status", status)
-    return t.withColumn("candidate_revisions", F.when(blank, F.slice(seen, 1, 0)).otherwise(seen)).drop("key_n", "own_n", "stat_n", "own_stat", "revisions")
+    t = t.withColumn("confirmed_count", F.when(blank, 0).otherwise(total(lambda p: p["stat"] == F.col("statistic"))).cast("int"))
+    t = t.withColumn("external_count", total(lambda p: p["stat"].isNull()).cast("int"))
+    n = F.col("confirmed_count")
+    status = F.when(blank, NO_IDENTITY).when(n == 1, UNIQUE).when(n > 1, AMBIGUOUS).when(F.col("external_count") > 0, NO_STATISTIC).otherwise(HALF_WIRE)
+    seen = F.array_sort(F.array_distinct(F.transform(F.filter("__other", lambda p: p["stat"].isNull()), lambda p: F.concat_ws("@", p["system_id"], p["revision_id"]))))
+    return t.withColumn("status", status).withColumn("candidate_revisions", F.when(blank, F.slice(seen, 1, 0)).otherwise(seen)).drop("__all", "__other")
 
 
 def local_edges(dependencies: DataFrame) -> DataFrame:
