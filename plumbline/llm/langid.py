@@ -33,7 +33,8 @@ ORDER = 5
 BITS = 12
 MAX_LETTERS = (1 << BITS) - 2
 PER_LANGUAGE = 1500
-CHUNK = 1_000_000
+CHUNK = 500_000
+TEXTS = 200
 UNDETERMINED = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits double, accepted boolean"
 
@@ -166,7 +167,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, max_letters: int =
 
     letters = sample.select("text").mapInArrow(count_letters, "letter long, n long").groupBy("letter").agg(F.sum("n").alias("n"))
     top = [r["letter"] for r in letters.orderBy(F.col("n").desc(), "letter").limit(max_letters).collect()]
-    table = np.where(is_letter_table(), np.int64(len(top) + 1), np.int64(0))
+    table = np.where(is_letter_table(), np.uint16(len(top) + 1), np.uint16(0))
     table[top] = np.arange(1, len(top) + 1)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -198,12 +199,14 @@ def calibrate(sample: DataFrame, model: dict) -> list[tuple[float, float]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            texts = [symbols(t, m["table"]) for t in b.column(1).to_pylist()]
-            at = [i for i, s in enumerate(texts) if s.any()]
-            h = cross_entropies([texts[i] for i in at], m["models"]) if at else np.zeros((0, 1))
-            langs = b.column(0).to_pylist()
-            own = [h[j, m["names"].index(langs[i])] if langs[i] in m["names"] else np.nan for j, i in enumerate(at)]
-            yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in at], pa.string()), pa.array(own, pa.float64()), pa.array([len(texts[i]) - ORDER + 1 for i in at], pa.int64())], names=["lang", "bits", "n"])
+            for first in range(0, b.num_rows, TEXTS):
+                part = b.slice(first, TEXTS)
+                texts = [symbols(t, m["table"]) for t in part.column(1).to_pylist()]
+                at = [i for i, s in enumerate(texts) if s.any()]
+                h = cross_entropies([texts[i] for i in at], m["models"]) if at else np.zeros((0, 1))
+                langs = part.column(0).to_pylist()
+                own = [h[j, m["names"].index(langs[i])] if langs[i] in m["names"] else np.nan for j, i in enumerate(at)]
+                yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in at], pa.string()), pa.array(own, pa.float64()), pa.array([len(texts[i]) - ORDER + 1 for i in at], pa.int64())], names=["lang", "bits", "n"])
 
     seen = sample.mapInArrow(run, "lang string, bits double, n long").toPandas()
     out = []
@@ -237,19 +240,22 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def judge(texts: list[str | None], m: dict) -> tuple[list, list, list, list]:
+    """lang, score, bits and accepted of each text, a few texts at a time."""
     n = len(texts)
     lang, score, bits, ok = [UNDETERMINED] * n, [0.0] * n, [None] * n, [False] * n
-    read = [symbols(t, m["table"]) if t else None for t in texts]
-    at = [i for i, s in enumerate(read) if s is not None and s.any()] if m["names"] else []
-    if at:
+    for first in range(0, n if m["names"] else 0, TEXTS):
+        read = [symbols(t, m["table"]) if t else None for t in texts[first : first + TEXTS]]
+        at = [i for i, s in enumerate(read) if s is not None and s.any()]
+        if not at:
+            continue
         h = cross_entropies([read[i] for i in at], m["models"])
         best = h.argmin(axis=1)
         for j, i in enumerate(at):
-            size = len(read[i]) - ORDER + 1
+            size, k = len(read[i]) - ORDER + 1, first + i
             limit, spread = m["limits"][best[j]]
-            lang[i], bits[i] = m["names"][best[j]], float(h[j, best[j]])
-            score[i] = float(1 / np.exp2((h[j, best[j]] - h[j]) * min(size, 100)).sum())
-            ok[i] = bool(h[j, best[j]] <= limit + 8 * spread / np.sqrt(size))
+            lang[k], bits[k] = m["names"][best[j]], float(h[j, best[j]])
+            score[k] = float(1 / np.exp2((h[j, best[j]] - h[j]) * min(size, 100)).sum())
+            ok[k] = bool(h[j, best[j]] <= limit + 8 * spread / np.sqrt(size))
     return lang, score, bits, ok
 
 
