@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import LOWER_BYTES
 
 WINDOW = 10
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 600_000
 BLOCK_WORDS = 500_000
 SAMPLE = 16
 _WORD_BYTES = set(b"0123456789abcdefghijklmnopqrstuvwxyz") | set(range(128, 256))
