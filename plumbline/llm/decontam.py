@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES
+from .common import LOWER_BYTES, give_back
 
 WINDOW = 10
 SHARD_WORDS = 600_000
@@ -250,6 +250,8 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW,
                     ids, texts, n = [], [], 0
         if ids:
             yield judge_shard(ids, texts, blocks)
+        del ids, texts
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SCHEMA)
 
@@ -308,5 +310,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard
                 held, texts, n = [], [], 0
         if held:
             yield from flush(held, texts).to_batches()
+        del held, texts
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

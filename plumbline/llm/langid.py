@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stage_table
+from .common import fold, give_back, stage_table
 
 ORDER = 5
 BITS = 12
 MAX_LETTERS = (1 << BITS) - 2
 PER_LANGUAGE = 1500
 CHUNK = 500_000
-TEXTS = 200
+TEXTS = 400
 UNDETERMINED = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits double, accepted boolean"
 
@@ -179,6 +179,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, max_letters: int =
         for lang, parts in seen.items():
             keys, counts = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(counts)], names=["lang", "key", "n"])
+        del seen
+        give_back()
 
     grams = sample.where("not calibration").select("lang", "text").mapInArrow(count_grams, "lang string, key long, n long")
     grams = grams.groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas().sort_values(["lang", "key"])
@@ -235,6 +237,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
                 [b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(ok, pa.bool_())],
                 names=["doc_id", "held_out", "lang_pred", "score", "bits", "accepted"],
             )
+        give_back()
 
     return rows.mapInArrow(run, SCHEMA)
 
@@ -267,5 +270,6 @@ def keep_identified(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(judge(b.column(at).to_pylist(), shared.value)[3], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

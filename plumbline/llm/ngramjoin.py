@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, broadcast_if_small, stage_table
+from .common import LOWER_BYTES, broadcast_if_small, give_back, stage_table
 from .components import connected_components
 
 WIDTH, PERCENT = 4, 85
 FRAGMENTS = 8
-UNIT_SHINGLES = 3_000_000
+UNIT_SHINGLES = 1_000_000
 BROADCAST_ROWS = 500_000
 WORD_MEMO = 500_000
 TASK_POSTS = 8_000_000
@@ -125,6 +125,8 @@ def read_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 held, seen, size = [], set(), 0
         if held:
             yield pack(held)
+        del held, seen, memo
+        give_back()
 
     def pack(held: list[tuple]) -> pa.RecordBatch:
         lists = [pa.array(x, pa.list_(pa.int64())) for x in split_posts([p for *_, p in held])]
@@ -165,6 +167,8 @@ def read_members(docs: DataFrame, sets: DataFrame, survivors: DataFrame, width:
                 fps, held, size = [], [], 0
         if held:
             yield pack(fps, held)
+        del held, memo
+        give_back()
 
     def pack(fps: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
         lists = [pa.array(x, pa.list_(pa.int64())) for x in split_posts(held)]
@@ -268,6 +272,7 @@ def link_units(members: DataFrame, percent: int) -> DataFrame:
         pdf = pdf.drop_duplicates("fp").sort_values("fp")
         fps = pdf["fp"].to_numpy()
         root = link_unit(fps, pdf["n"].to_numpy(np.int64), [np.asarray(s, np.int64) for s in pdf["set"]], percent)
+        give_back()
         return pd.DataFrame({"src": fps[root != fps], "dst": root[root != fps]})
 
     return members.groupBy("unit").applyInPandas(run, "src long, dst long")
