@@ -29,6 +29,7 @@ from .common import LOWER_BYTES, give_back
 
 WINDOW = 10
 SHARD_WORDS = 600_000
+SLICE_ROWS = 200
 BLOCK_WORDS = 500_000
 SAMPLE = 16
 _WORD_BYTES = set(b"0123456789abcdefghijklmnopqrstuvwxyz") | set(range(128, 256))
@@ -298,9 +299,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, texts, n = [], [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
             held.append(batch)
             more = batch.column(at_text).to_pylist()
             texts += more
