@@ -1,22 +1,22 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Tokens are words (A-Z lower-cased, split at ASCII white space) and one end per text. Counts are taken over all
-training documents. The filter holds, for each single token and each pair of neighbouring classes with a count of
-at least a threshold, its count on a log scale (base square root of 2): level q means that (gram, 1) to (gram, q)
-were put in. Levels are read back by probing 1, 2, ... until one is missing. The classes are the `vocabulary` most
-frequent tokens and one class for the rest.
+training documents, of every token and of every pair of neighbouring tokens (a text begins after an end). The
+filter holds the count of each of them on a log scale (base square root of 2): level q means that (gram, 1) to
+(gram, q) were put in. Levels are read back by probing 1, 2, ... until one is missing.
 
     p(v)   = (c(v) + 1) / (sum c + V + 1)
-    p(v|u) = (1 - l) p(v) + l * c(class u, class v) / c(class u) * p(v) / p(class v)
+    p(v|u) = (1 - l) p(v) + l * c(u, v) / c(u)
 
-with c as read from the filter and l set by deleted interpolation on the training counts. The filter has a
-fixed size (`FILTER_BITS`), so its broadcast is bounded at every size of the corpus; the threshold is the least
-power of two at which what it must hold fits, found from a histogram of levels. It is built in slices by the
-workers: all levels of a gram lie in one slice.
+with c as read from the filter; where u itself was not seen, p(v|u) is p(v). l is the Good-Turing share of pairs seen
+before: 1 less the occurrences of pairs that occur once, over all occurrences (0.9 at most).
 
-Whole documents are gathered to blocks; a block keeps its distinct tokens as sorted 64-bit hashes and its texts as
-positions in them. Exact training counts (for the base score) come back to each block by a shuffle of its distinct
-tokens, never of its words: one row per block and token.
+The filter grows with the corpus: it is cut by ranges of gram hashes into parts, each sized from its own number of
+levels (`LOAD` bits set for each bit it has), so every gram is held at every size. No part leaves its task: whole
+documents are gathered to blocks; a block keeps its distinct tokens as sorted 64-bit hashes and its texts as positions in
+them. Each block sends a part one row of its distinct grams there with their training counts; the part sums them, fills
+its piece of the filter, reads the grams back and returns one row of levels (and exact token counts, for the base
+score) to the block.
 
 Null text counts as empty: one token, the end. A null doc_id is in fold 0. Repeated rows are scored (and learned
 from) each. Without training documents all counts are 0. Other columns are ignored.
@@ -33,21 +33,23 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, fold, stage_table
+from .common import LOWER_BYTES, fold, give_back, stage_table
 
 BLOCK_WORDS = 1_000_000
 SLICE_TOKENS = 1 << 18
-VOCABULARY = 4096
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 26
 SLICES = 64
 PROBES = 3
+LOAD = 0.15
 MAX_LEVEL = 80
 END = b"\n"  # no word holds white space
+END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END))
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 BLOCK_SCHEMA = "block long, doc_id array<long>, held array<boolean>, n array<int>, ids binary, hashes binary, train binary"
+GRAM_SCHEMA = "part int, block long, words binary, word_n binary, pairs binary, pair_n binary"
+LEVEL_SCHEMA = "block long, part int, word_q binary, word_n binary, pair_q binary, n_tokens long, n_kinds long, mass double, n_pairs long, once long"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -72,28 +74,40 @@ def level_values() -> np.ndarray:
 
 
 def pair_key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Hash of a pair of class numbers."""
-    return mix((u.astype(np.uint64) << np.uint64(32)) + v.astype(np.uint64) + GOLD)
+    """Hash of a pair of token hashes."""
+    return mix(mix(u + GOLD) + v)
 
 
-def places(keys: np.ndarray, level: int | np.ndarray, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Slice of each key, and the bit positions of (key, level) inside the slice."""
-    width = np.uint64(bits // SLICES)
+def places(keys: np.ndarray, level: int | np.ndarray, width: int) -> list[np.ndarray]:
+    """The bit positions of (key, level) inside a slice of width bits."""
     a = mix(keys + np.asarray(level, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     b = mix(a ^ GOLD) | np.uint64(1)
-    return (mix(keys) % np.uint64(SLICES)).astype(np.int64), [((a + np.uint64(i) * b) >> np.uint64(7)) % width for i in range(PROBES)]
+    return [((a + np.uint64(i) * b) >> np.uint64(7)) % np.uint64(width) for i in range(PROBES)]
+
+
+def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
+    return (mix(keys) % np.uint64(slices)).astype(np.int64)
+
+
+def fill_slice(keys: np.ndarray, levels: np.ndarray, width: int) -> np.ndarray:
+    """Bytes of a slice of width bits that holds levels 1 to the given one of each key."""
+    out = np.zeros(width, bool)
+    for q in range(1, int(levels.max(initial=0)) + 1):
+        for s in places(keys[levels >= q], q, width):
+            out[s] = True
+    return np.packbits(out, bitorder="little")
 
 
 def read_levels(filt: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Levels of keys by repeated probes. filt: slices x bytes."""
-    bits = filt.size * 8
+    width = filt.shape[1] * 8
     out, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
     for q in range(1, MAX_LEVEL + 1):
         if not len(alive):
             break
-        part, spots = places(keys[alive], q, bits)
+        part = slice_of(keys[alive], len(filt))
         ok = np.ones(len(alive), bool)
-        for s in spots:
+        for s in places(keys[alive], q, width):
             ok &= (filt[part, (s >> np.uint64(3)).astype(np.int64)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 == 1
         alive = alive[ok]
         out[alive] = q
@@ -142,170 +156,122 @@ def gather_blocks(docs: DataFrame, block_words: int) -> DataFrame:
     return stage_table(rows.mapInArrow(run, BLOCK_SCHEMA), "blocks")
 
 
-def token_rows(blocks: DataFrame) -> DataFrame:
-    """(h, block, idx, c): one row per block and distinct token."""
+def squeeze(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, hashes, train in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                h, c = np.frombuffer(hashes, np.int64), np.frombuffer(train, np.int32)
-                for at in range(0, len(h), 50_000):
-                    part = slice(at, at + 50_000)
-                    m = len(h[part])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[part]), pa.array(np.full(m, block)), pa.array(np.arange(at, at + m, dtype=np.int32)), pa.array(c[part])],
-                        names=["h", "block", "idx", "c"],
-                    )
 
-    return blocks.select("block", "hashes", "train").mapInArrow(run, "h long, block long, idx int, c int")
+def open_up(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def classes_of(hashes: np.ndarray, vocab: np.ndarray) -> np.ndarray:
-    """Class number of each hash: place in the sorted vocabulary, or its length for the rest."""
-    if not len(vocab):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(vocab, hashes), len(vocab) - 1)
-    return np.where(vocab[at] == hashes, at, len(vocab))
+def squeeze_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, all first bytes before all second bytes and so on."""
+    return squeeze(np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T))
 
 
-def open_ids(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int32)
+def open_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(open_up(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def pair_classes(cls: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class before each token (a text begins after an end) and the token's own."""
-    before = np.concatenate(([end], cls[:-1]))
-    before[np.concatenate(([0], np.cumsum(n)[:-1]))] = end
-    return before, cls
+def pair_places(ids: np.ndarray, n: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token before each token (a text begins after an end), the sorted keys of distinct pairs, and each token's pair in them."""
+    before = np.concatenate(([0], ids[:-1])).astype(np.int64)
+    before[np.concatenate(([0], np.cumsum(n)[:-1]))] = np.searchsorted(hashes, END_HASH)
+    codes, place = np.unique(before * len(hashes) + ids, return_inverse=True)
+    keys = pair_key(hashes[codes // len(hashes)], hashes[codes % len(hashes)])
+    order = np.argsort(keys)
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.arange(len(keys))
+    return before, keys[order], rank[place]
 
 
-def count_pairs(blocks: DataFrame, vocab: np.ndarray) -> DataFrame:
-    """Staged (key, n) over training texts: key = class before * (classes) + class."""
-    shared = blocks.sparkSession.sparkContext.broadcast(vocab)
+def part_bounds(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part begins in sorted keys: parts are equal ranges of their upper 32 bits."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = shared.value
-        k = len(vocab) + 1
-        end = int(classes_of(np.array([xxhash.xxh3_64_intdigest(END)], np.uint64), vocab)[0])
-        for b in batches:
-            for held, n, ids, hashes in zip(*(b.column(i).to_pylist() for i in range(4))):
-                n = np.array(n)
-                cls = classes_of(np.frombuffer(hashes, np.uint64), vocab)[open_ids(ids)]
-                u, v = pair_classes(cls, n, end)
-                keep = np.repeat(~np.array(held, bool), n)
-                keys, counts = np.unique((u * k + v)[keep], return_counts=True)
-                for at in range(0, len(keys), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000]), pa.array(counts[at : at + 50_000])], names=["key", "n"])
-
-    found = blocks.select("held", "n", "ids", "hashes").mapInArrow(run, "key long, n long")
-    return stage_table(found.groupBy("key").agg(F.sum("n").alias("n")), "pairs")
 
-
-def interpolation(pairs: DataFrame, class_counts: np.ndarray) -> float:
-    """Deleted interpolation: the share of pair occurrences that the pair estimate, less one, predicts better."""
-    shared = pairs.sparkSession.sparkContext.broadcast(class_counts)
+def gram_rows(blocks: DataFrame, parts: int) -> DataFrame:
+    """Each block's distinct tokens and pairs with their training counts, one row per part (GRAM_SCHEMA)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, won, total = shared.value, 0.0, 0.0
         for b in batches:
-            key, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cu, cv = c[key // len(c)], c[key % len(c)]
-            better = (n - 1) / np.maximum(cu - 1, 1) > (cv - 1) / max(c.sum() - 1, 1)
-            won, total = won + float(n[better].sum()), total + float(n.sum())
-        yield pa.RecordBatch.from_arrays([pa.array([won]), pa.array([total])], names=["won", "total"])
-
-    r = pairs.mapInArrow(run, "won double, total double").agg(F.sum("won").alias("won"), F.sum("total").alias("total")).first()
-    return min(0.9, r["won"] / r["total"]) if r["total"] else 0.0
+            for i in range(b.num_rows):
+                block, held, n, ids, hashes, train = (b.column(k)[i].as_py() for k in range(6))
+                n, ids, hashes = np.array(n), open_up(ids, np.int32), np.frombuffer(hashes, np.uint64)
+                _, pairs, place = pair_places(ids, n, hashes)
+                learned = np.repeat(~np.array(held, bool), n)
+                sent = (hashes, np.frombuffer(train, np.int32)), (pairs, np.bincount(place[learned], minlength=len(pairs)).astype(np.int32))
+                at = [part_bounds(keys, parts) for keys, _ in sent]
+                used = [p for p in range(parts) if any(x[p] < x[p + 1] for x in at)]
+                cut = [[f(x[w[p] : w[p + 1]]) for p in used] for (keys, counts), w in zip(sent, at) for f, x in ((squeeze_keys, keys), (squeeze, counts))]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), *(pa.array(x, pa.binary()) for x in cut)], names=["part", "block", "words", "word_n", "pairs", "pair_n"])
+        give_back()
+
+    return blocks.select("block", "held", "n", "ids", "hashes", "train").mapInArrow(run, GRAM_SCHEMA)
+
+
+def fill_and_read(rows: pd.DataFrame) -> pd.DataFrame:
+    """One part of the filter: sums its grams' counts, fills it, and reads them back for each block (LEVEL_SCHEMA).
+    A last row without a block has the sums that normalise."""
+    sizes, grams = {}, {}
+    for kind, counts in (("words", "word_n"), ("pairs", "pair_n")):
+        keys = [open_keys(x) for x in rows[kind]]
+        sizes[kind] = np.cumsum([len(x) for x in keys])[:-1]
+        kinds, place = np.unique(np.concatenate(keys), return_inverse=True)
+        # sums of whole numbers below 2^53
+        grams[kind] = kinds, place, np.bincount(place, np.concatenate([open_up(x, np.int32) for x in rows[counts]]), len(kinds)).astype(np.int64)
+    levels = {k: level_of(total) for k, (_, _, total) in grams.items()}
+    need = sum(int(q.sum()) for q in levels.values())
+    width = 64 * (1 + int(need * PROBES / LOAD / 64))
+    filt = fill_slice(np.concatenate([g[0] for g in grams.values()]), np.concatenate(list(levels.values())), width)[None]
+    read = {k: read_levels(filt, g[0]).astype(np.uint8) for k, g in grams.items()}
+    split = lambda x, kind: [squeeze(y) for y in np.split(x[grams[kind][1]], sizes[kind])]
+    total, twos = grams["words"][2], grams["pairs"][2]
+    out = pd.DataFrame({"block": rows["block"].astype("Int64"), "part": rows["part"], "word_q": split(read["words"], "words"), "word_n": split(total, "words"), "pair_q": split(read["pairs"], "pairs")})
+    sums = {"n_tokens": total.sum(), "n_kinds": (total > 0).sum(), "mass": level_values()[read["words"][total > 0]].sum(), "n_pairs": twos.sum(), "once": (twos == 1).sum()}
+    for name, value in sums.items():
+        out[name] = type(value)(0)
+    return pd.concat([out, pd.DataFrame({"block": pd.array([None], "Int64"), "part": rows["part"].iloc[:1].to_numpy(), "word_q": [b""], "word_n": [b""], "pair_q": [b""]} | {k: [v] for k, v in sums.items()})])
 
 
 def build_filter(entries: DataFrame, bits: int) -> np.ndarray:
-    """Slices x bytes. entries: key long, level int. The driver gets one row of fixed size per slice."""
+    """A small table's filter as slices x bytes. entries: key long, level int."""
 
     def slice_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            part = (mix(b.column(0).to_numpy().view(np.uint64)) % np.uint64(SLICES)).astype(np.int32)
+            part = slice_of(b.column(0).to_numpy().view(np.uint64), SLICES).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(part), b.column(0), b.column(1)], names=["part", "key", "level"])
 
-    def fill(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros(bits // SLICES // 8, np.uint8)
-        for pdf in batches:
-            keys, levels = pdf["key"].to_numpy().view(np.uint64), pdf["level"].to_numpy()
-            for q in range(1, int(levels.max(initial=0)) + 1):
-                for s in places(keys[levels >= q], q, bits)[1]:
-                    np.bitwise_or.at(out, (s >> np.uint64(3)).astype(np.int64), (np.uint64(1) << (s & np.uint64(7))).astype(np.uint8))
-        yield pd.DataFrame({"part": [key[0]], "data": [out.tobytes()]})
-
-    sliced = entries.mapInArrow(slice_rows, "part int, key long, level int")
-    rows = sliced.groupBy("part").applyInPandas(fill, "part int, data binary").collect()
+    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [key[0]], "data": [fill_slice(pdf["key"].to_numpy().view(np.uint64), pdf["level"].to_numpy(), bits // SLICES).tobytes()]})
+
+    rows = entries.mapInArrow(slice_rows, "part int, key long, level int").groupBy("part").applyInPandas(fill, "part int, data binary").collect()
     out = np.zeros((SLICES, bits // SLICES // 8), np.uint8)
     for r in rows:
         out[r["part"]] = np.frombuffer(bytes(r["data"]), np.uint8)
     return out
 
 
-def level_column(c) -> F.Column:
-    return (F.floor(F.log2(c) * 2 + F.lit(1e-9)) + 1).cast("int")
-
-
-def train(blocks: DataFrame, counts: DataFrame, vocabulary: int, filter_bits: int) -> dict:
-    """The model: filter, vocabulary, interpolation weight and the sums that normalise. counts: staged (block, idx, total, h)."""
-    known = counts.where(F.col("h").isNotNull() & (F.col("total") > 0)).select("h", F.col("total").alias("n"))
-    top = known.orderBy(F.col("n").desc(), "h").limit(vocabulary).collect()
-    vocab = np.array([r["h"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(vocab)
-    vocab, vocab_counts = vocab[order], np.array([r["n"] for r in top], np.int64)[order]
-    pairs = count_pairs(blocks, vocab)
-    by_level = lambda df, n: {r["q"]: (r["m"], r["c"]) for r in df.groupBy(level_column(F.col(n)).alias("q")).agg(F.count("*").alias("m"), F.sum(n).alias("c")).collect()}
-    singles, doubles = by_level(known, "n"), by_level(pairs, "n")
-    n_tokens, n_kinds = sum(c for _, c in singles.values()), sum(m for m, _ in singles.values())
-    class_counts = np.append(vocab_counts, n_tokens - int(vocab_counts.sum())).astype(float)
-    lam = interpolation(pairs, class_counts)
-
-    capacity = filter_bits * 0.6 / PROBES
-    least = 1
-    while sum(m * q for t in (singles, doubles) for q, (m, _) in t.items() if q >= least) > capacity:
-        least += 2
-    k = len(vocab) + 1
-
-    def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(pair_key(key // k, key % k).view(np.int64)), b.column(1)], names=["key", "level"])
-
-    single_rows = known.select(F.col("h").alias("key"), level_column(F.col("n")).alias("level")).where(F.col("level") >= least)
-    double_rows = pairs.select("key", level_column(F.col("n")).alias("level")).where(F.col("level") >= least).mapInArrow(pair_rows, "key long, level int")
-    filt = build_filter(single_rows.union(double_rows), filter_bits)
-    values = level_values()
-    mass = sum(m * values[q] for q, (m, _) in singles.items() if q >= least) + n_kinds + 1
-    own = values[read_levels(filt, vocab)] + 1
-    rare = max(mass - own.sum(), 1.0)
-    return {"filter": filt, "vocab": vocab, "lam": lam, "mass": mass, "class_mass": np.append(own, rare), "class_counts": class_counts, "n": n_tokens, "v": n_kinds}
-
-
-def score_block(doc_ids: list, held: list, n: np.ndarray, ids: np.ndarray, hashes: np.ndarray, counts: np.ndarray, m: dict) -> pd.DataFrame:
-    """Scores of a block's texts. Per-token arrays are made for a slice of whole texts at a time."""
+def score_block(doc_ids: list, held: list, n: np.ndarray, ids: np.ndarray, hashes: np.ndarray, counts: np.ndarray, word_q: np.ndarray, pair_q: np.ndarray, m: dict) -> pd.DataFrame:
+    """Scores of a block's texts. Per-token arrays of floats are made for a slice of whole texts at a time."""
     values = level_values()
     base = np.log10((counts + 1) / (m["n"] + m["v"] + 1))
-    single = (values[read_levels(m["filter"], hashes)] + 1) / m["mass"]
-    k = len(m["vocab"]) + 1
-    cls = classes_of(hashes, m["vocab"]).astype(np.int32)
-    end = int(classes_of(np.array([xxhash.xxh3_64_intdigest(END)], np.uint64), m["vocab"])[0])
+    seen = values[word_q]
+    single = (seen + 1) / m["mass"]
+    before, _, place = pair_places(ids, n, hashes)
     stop = np.cumsum(n)
     out = []
     first = 0
     while first < len(n):
         begin = int(stop[first] - n[first])
         last = max(first + 1, int(np.searchsorted(stop, begin + SLICE_TOKENS, side="right")))
-        sizes, own = n[first:last], ids[begin : int(stop[last - 1])]
+        end = int(stop[last - 1])
+        sizes, own = n[first:last], ids[begin:end]
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        p = single[own]
-        if k > 1:
-            u, v = pair_classes(cls[own], sizes, end)
-            code, kinds = pd.factorize(u.astype(np.int64) * k + v)
-            ku, kv = kinds // k, kinds % k
-            c = values[read_levels(m["filter"], pair_key(ku, kv))]
-            ratio = np.minimum(c / np.maximum(m["class_counts"][ku], 1), 1.0) * m["mass"] / m["class_mass"][kv]
-            p = p * (1 - m["lam"] + m["lam"] * ratio[code])
+        p, context = single[own], seen[before[begin:end]]
+        ratio = np.minimum(values[pair_q[place[begin:end]]] / np.maximum(context, 1), 1.0)
+        p = np.where(context > 0, (1 - m["lam"]) * p + m["lam"] * ratio, p)
         sums = [np.add.reduceat(x, starts) for x in ((counts > 0)[own].astype(np.int64), base[own], np.log10(np.minimum(p, 1.0)))]
         out.append((sizes.astype(np.int64), *sums))
         first = last
@@ -315,23 +281,24 @@ def score_block(doc_ids: list, held: list, n: np.ndarray, ids: np.ndarray, hashe
     )
 
 
-def score_texts(docs: DataFrame, block_words: int = BLOCK_WORDS, vocabulary: int = VOCABULARY, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
+def score_texts(docs: DataFrame, block_words: int = BLOCK_WORDS, vocabulary: int | None = None, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs. filter_bits: about the
+    size of a part of the filter; there are as many parts as the corpus needs. vocabulary has no effect: all tokens count."""
     blocks = gather_blocks(docs, block_words)
-    by_token = W.partitionBy("h")
-    counted = token_rows(blocks).select("block", "idx", F.sum("c").over(by_token).alias("total"), F.when(F.row_number().over(by_token.orderBy("block")) == 1, F.col("h")).alias("h"))
-    counts = stage_table(counted, "counts")
-    model = train(blocks, counts, vocabulary, filter_bits)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    n_words = blocks.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    # a word adds one token and one pair at most
+    parts = max(1, -int(-2 * n_words * PROBES / LOAD // filter_bits))
+    levels = stage_table(gram_rows(blocks, parts).groupBy("part").applyInPandas(fill_and_read, LEVEL_SCHEMA), "levels")
+    r = levels.where("block is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "n_kinds", "mass", "n_pairs", "once")]).first()
+    model = {"n": r["n_tokens"], "v": r["n_kinds"], "mass": r["mass"] + r["n_kinds"] + 1, "lam": min(0.9, 1 - r["once"] / r["n_pairs"]) if r["n_pairs"] else 0.0}
 
     def run(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        r = texts.iloc[0]
-        hashes = np.frombuffer(r["hashes"], np.uint64)
-        c = np.zeros(len(hashes), np.int64)
-        c[found["idx"].to_numpy()] = found["total"].to_numpy()
+        r, found = texts.iloc[0], found.sort_values("part")
+        read = [np.concatenate([open_up(x, kind) for x in found[c]]) for c, kind in (("word_n", np.int64), ("word_q", np.uint8), ("pair_q", np.uint8))]
         ids = [None if pd.isna(x) else int(x) for x in r["doc_id"]]
-        return score_block(ids, list(r["held"]), np.asarray(r["n"], np.int64), open_ids(r["ids"]), hashes, c, shared.value)
+        return score_block(ids, list(r["held"]), np.asarray(r["n"], np.int64), open_up(r["ids"], np.int32), np.frombuffer(r["hashes"], np.uint64), *read, model)
 
     left = blocks.select("block", "doc_id", "held", "n", "ids", "hashes").groupBy("block")
-    scored = left.cogroup(counts.select("block", "idx", "total").groupBy("block")).applyInPandas(run, SCHEMA)
+    right = levels.where("block is not null").select("block", "part", "word_n", "word_q", "pair_q").groupBy("block")
+    scored = left.cogroup(right).applyInPandas(run, SCHEMA)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model["n"])).cast("long").alias("train_tokens"), "base_score", "score")
