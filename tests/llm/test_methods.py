@@ -301,6 +301,17 @@ def test_every_training_gram_is_in_the_filter(spark, bits):
     assert np.mean(off < 0.02) > 0.8, np.quantile(off, [0.1, 0.5, 0.8, 0.9, 1])
 
 
+def test_pairs_of_rare_words_have_counts(spark):
+    """The same rare words score higher in pairs that were seen; both texts are held out."""
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    texts = [" ".join(["the"] * 9 + [f"a{i % 100}", f"b{i % 100}"]) for i in range(400)]
+    texts[held[0]] = " ".join(f"a{i} b{i}" for i in range(100))
+    texts[held[1]] = " ".join(f"a{i} b{(i + 50) % 100}" for i in range(100))
+    got = {r["doc_id"]: r for r in lmscore.score_texts(make_docs(spark, texts), vocabulary=6).collect()}
+    seen, unseen = (got[i] for i in held)
+    assert seen["base_score"] == pytest.approx(unseen["base_score"]) and seen["score"] > unseen["score"] + 50
+
+
 def test_filter_reads_back_levels(spark):
     rng = np.random.default_rng(3)
     keys = rng.integers(-(1 << 62), 1 << 62, 3000)
