@@ -4,8 +4,9 @@ DataFrame operations only.
 Base kinds are leftmost non-overlapping matches per kind: `assign` (a key word with a value of 8 characters or
 more), `access` (an access key id of 16 or more) and `hex` (32 or more lower-case digits). They are always kept.
 
-The battery adds kind `random`. Candidates are runs of 20 to 512 characters of [A-Za-z0-9+/_-] that hold a digit
-and are no part of a base span. A candidate's encoding is the smallest alphabet that holds it: decimal, hex in
+The battery adds kind `random`. Candidates are runs of 20 or more characters of [A-Za-z0-9+/_-]; what a base span covers
+is cut out of a run, and pieces of 512 or more are tested in windows of 492 (the last one has 20 to 511). Windows next to each
+other that are kept become one span. A candidate's encoding is the smallest alphabet that holds it: decimal, hex in
 one case, base32, alphanumeric, base64 with either pair of signs. Three statistics are taken on its characters'
 ranks in that alphabet:
 chi-squared against a uniform alphabet, runs above and below the alphabet's middle, and lag-1 serial
@@ -14,8 +15,7 @@ grows with the length. How far the three lie on the random side of it is summed
 Benjamini-Hochberg control at `fdr` is applied per length class, so that many short candidates cannot carry
 weak ones; it uses histograms of p-values (a bounded table), never a global sort.
 
-Null text counts as empty, and has no spans. Very long texts are scanned whole: candidates over 512 characters
-are kept out of the battery since such runs are encoded files, not keys. Repeated rows stay.
+Null text counts as empty, and has no spans. Very long texts are scanned whole. Repeated rows stay.
 Offsets are code points, end exclusive.
 """
 
@@ -32,7 +32,9 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 RUN = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
-MIN_RUN, MAX_RUN = 20, 512
+MIN_RUN, STEP = 20, 492
+#: STEP characters where MIN_RUN or more follow, else the rest
+WINDOW = r".{492}(?=.{20})|.{20,511}"
 #: fixed values: encodings by rising size: name, test, alphabet
 ENCODINGS = (
     ("decimal", r"^[0-9]+$", "0123456789"),
@@ -105,7 +107,7 @@ def battery(found: Column) -> Column:
         chi_z = (chi - (k - 1)) / F.sqrt(2 * (k - 1))
         side = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: F.when((a > k / 2) != (b > k / 2), 1.0).otherwise(0.0))
         runs_z = F.abs((total(side) - (n - 1) / 2) / F.sqrt((n - 1) / 4))
-        dev = F.transform(v, lambda x: x - total(v) / n)
+        dev = bind(total(v) / n, lambda mean: F.transform(v, lambda x: x - mean))
         lag = total(F.zip_with(F.slice(dev, 1, F.size(v) - 1), F.slice(dev, 2, F.size(v) - 1), lambda a, b: a * b))
         var = total(F.transform(dev, lambda x: x * x))
         serial_z = F.when(var > 0, F.abs(lag / var * F.sqrt(n))).otherwise(F.sqrt(n))
@@ -133,17 +135,35 @@ def cut_points(tested: DataFrame, fdr: float) -> dict[int, int]:
     return {r["cls"]: r["cut"] for r in hist.where(ok).groupBy("cls").agg(F.min("bin").alias("cut")).collect()}
 
 
+def outside(m: Column, base: Column) -> Column:
+    """array<struct<start, found>>: what of a match lies outside the base spans, which are sorted by start."""
+    end = m["start"] + F.char_length(m["found"])
+    piece = lambda at, to: F.struct(at.alias("start"), m["found"].substr(at - m["start"] + 1, to - at).alias("found"))
+    over = F.filter(base, lambda b: (b["start"] < end) & (m["start"] < b["end"]))
+    cut = F.aggregate(
+        over,
+        F.struct(m["start"].alias("at"), F.expr("cast(array() as array<struct<start:int,found:string>>)").alias("out")),
+        lambda acc, b: F.struct(
+            F.greatest(acc["at"], b["end"]).alias("at"),
+            F.when(b["start"] > acc["at"], F.concat(acc["out"], F.array(piece(acc["at"], b["start"])))).otherwise(acc["out"]).alias("out"),
+        ),
+        lambda acc: F.when(acc["at"] < end, F.concat(acc["out"], F.array(piece(acc["at"], end)))).otherwise(acc["out"]),
+    )
+    return F.when(F.size(over) > 0, cut).otherwise(F.array(F.struct(m["start"].alias("start"), m["found"].alias("found"))))
+
+
+def windows(piece: Column) -> Column:
+    return F.transform(F.regexp_extract_all(piece["found"], F.lit(WINDOW), F.lit(0)), lambda w, i: F.struct((piece["start"] + i * STEP).alias("start"), w.alias("found")))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """The columns of docs, base (array<struct<start, k, end>>) and runs (candidates: struct<start, end, n, p>)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     kept = F.filter(matches(text, ASSIGN), lambda m: F.char_length(F.regexp_extract(m["found"], ASSIGN, 2)) >= 8)
     base = F.array_sort(F.concat(spans_of(0, kept), spans_of(1, matches(text, ACCESS)), spans_of(2, matches(text, HEX))))
     d = docs.withColumn("base", base)
-    runs = F.filter(
-        matches(text, RUN),
-        lambda m: (F.char_length(m["found"]) <= MAX_RUN) & m["found"].rlike("[0-9]")
-        & ~F.exists(F.col("base"), lambda b: (b["start"] < m["start"] + F.char_length(m["found"])) & (m["start"] < b["end"])),
-    )
+    pieces = F.flatten(F.transform(matches(text, RUN), lambda m: outside(m, F.col("base"))))
+    runs = F.flatten(F.transform(pieces, windows))
     tested = F.transform(
         runs,
         lambda m: bind(
@@ -160,7 +180,14 @@ def all_spans(cuts: dict[int, int]) -> Column:
         return F.col("base")
     least = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
     good = F.filter("runs", lambda r: F.coalesce(F.least(F.floor(r["p"] / P_STEP), F.lit(P_BINS)) >= F.try_element_at(least, length_class(r["n"])), F.lit(False)))
-    return F.array_sort(F.concat("base", F.transform(good, lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("k"), r["end"].alias("end")))))
+    one = lambda start, r: F.array(F.struct(start.alias("start"), F.lit(3).alias("k"), r["end"].alias("end")))
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    merged = F.aggregate(
+        good,
+        F.expr("cast(array() as array<struct<start:int,k:int,end:int>>)"),
+        lambda acc, r: F.when(last(acc)["end"] == r["start"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), one(last(acc)["start"], r))).otherwise(F.concat(acc, one(r["start"], r))),
+    )
+    return F.array_sort(F.concat("base", merged))
 
 
 def span_text(spans: Column) -> Column:

@@ -183,6 +183,21 @@ def test_battery_tells_random_from_structured(spark):
     assert sum(3 in got[i] for i in range(len(rand), len(rand) + len(dull))) <= 1
 
 
+def test_long_letter_only_and_partly_covered_secrets(spark):
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    b64 = letters + "0123456789+/"
+    long, plain_letters, tail = draw(b64, 2001), [draw(letters, 44) for _ in range(20)], draw(b64, 44)
+    texts = [f"x {long} y", f"{draw('0123456789abcdef', 32)}/{tail} y", "word " * 500 + "a/b/" * 400] + [f"x {t} y" for t in plain_letters]
+    d = make_docs(spark, texts)
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secretscan.find_secrets(d).collect()}
+    assert got[0] == [(2, 3, 2003)] and got[1] == [(0, 2, 32), (32, 3, 77)] and got[2] == []
+    assert sum(got[i + 3] == [(2, 3, 46)] for i in range(20)) >= 18
+    clean = {r["doc_id"]: r["text"] for r in secretscan.redact(d).collect()}
+    assert clean[0] == "x [SECRET] y" and clean[1] == "[SECRET][SECRET] y"
+
+
 @pytest.mark.parametrize("name", ["sf0.001", "odd"])
 def test_token_counts_equal_the_library(spark, name):
     import public_tokenizers
