@@ -6,10 +6,11 @@ discount n1 / (n1 + 2 n2), interpolated down to a uniform distribution. A model
 arrays of 64-bit gram hashes with their values (discounted probability of a gram; weight left to the lower order
 of a context), searched by bisection. A text gets the language of the lowest cross-entropy in bits per symbol.
 
-Rejection is calibrated on a tenth of the training sample that the counts leave out: a text is rejected if its
-cross-entropy lies above the 99.9 % quantile of that language's calibration texts by three tenths and one bit,
-plus eight standard errors for its length: clean texts stay, and what fits no language goes. Text that is
-null or has no letter is `und` and rejected.
+Rejection is calibrated on a tenth of the training sample that the counts leave out. A text's deviation is its
+cross-entropy less the median of its language's calibration texts, times the root of its length (400 symbols at
+most). A text is rejected if its deviation exceeds the 99 % quantile of all calibration texts' deviations (pooled over
+languages, so that single odd texts do not set it), and `LEAST`, as small samples do not hold their own tail: at
+most about 1 % of texts in a known language go. Text that is null or has no letter is `und` and rejected.
 
 The classifier is fitted on a bounded sample: about `per_language` whole labelled texts of each language (chosen
 by a hash of doc_id, so alike at every size), and at most `max_letters` letters in the alphabet. Every
@@ -35,6 +36,8 @@ MAX_LETTERS = (1 << BITS) - 2
 PER_LANGUAGE = 1500
 CHUNK = 500_000
 TEXTS = 400
+#: the false-rejection quantile, the length from which deviations count alike, and the least limit (0.4 bits at that length)
+ACCEPTED, FULL, LEAST = 0.99, 400, 8.0
 UNDETERMINED = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits double, accepted boolean"
 
@@ -195,7 +198,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, max_letters: int =
 
 
 def calibrate(sample: DataFrame, model: dict) -> list[tuple[float, float]]:
-    """(limit, standard deviation of a symbol's bits) of each language."""
+    """(median bits, limit of deviations) of each language."""
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,16 +214,12 @@ def calibrate(sample: DataFrame, model: dict) -> list[tuple[float, float]]:
                 yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in at], pa.string()), pa.array(own, pa.float64()), pa.array([len(texts[i]) - ORDER + 1 for i in at], pa.int64())], names=["lang", "bits", "n"])
 
     seen = sample.mapInArrow(run, "lang string, bits double, n long").toPandas()
-    out = []
-    for lang in model["names"]:
-        h = seen[(seen["lang"] == lang) & seen["bits"].notna()]
-        if len(h) < 5:
-            out.append((np.inf, 0.0))
-            continue
-        long = h[h["n"] >= min(100, h["n"].median())]
-        spread = float(np.sqrt(np.mean((h["bits"] - h["bits"].mean()) ** 2 * h["n"].clip(upper=400))))
-        out.append((1.3 * float(long["bits"].quantile(0.999)) + 1.0, max(spread, 1.0)))
-    return out
+    seen = seen[seen["bits"].notna()]
+    center = seen.groupby("lang")["bits"].median()
+    deviation = (seen["bits"] - seen["lang"].map(center)) * np.sqrt(seen["n"].clip(upper=FULL))
+    limit = max(float(deviation.quantile(ACCEPTED)), LEAST) if len(seen) else 0.0
+    enough = seen["lang"].value_counts()
+    return [(float(center[lang]), limit) if enough.get(lang, 0) >= 5 else (np.inf, 0.0) for lang in model["names"]]
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
@@ -255,10 +254,10 @@ def judge(texts: list[str | None], m: dict) -> tuple[list, list, list, list]:
         best = h.argmin(axis=1)
         for j, i in enumerate(at):
             size, k = len(read[i]) - ORDER + 1, first + i
-            limit, spread = m["limits"][best[j]]
+            center, limit = m["limits"][best[j]]
             lang[k], bits[k] = m["names"][best[j]], float(h[j, best[j]])
             score[k] = float(1 / np.exp2((h[j, best[j]] - h[j]) * min(size, 100)).sum())
-            ok[k] = bool(h[j, best[j]] <= limit + 8 * spread / np.sqrt(size))
+            ok[k] = bool(h[j, best[j]] <= center + limit / np.sqrt(min(size, FULL)))
     return lang, score, bits, ok
 
 

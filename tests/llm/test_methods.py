@@ -87,6 +87,13 @@ def test_language_on_held_out_texts(spark):
     assert langid.identify(d, m).where("not accepted and lang_pred != 'und'").count() <= 2
 
 
+def test_a_language_left_out_of_training_is_rejected(spark):
+    d = table(spark, SF.replace("sf0.001", "sf0.01"), "documents")
+    got = langid.identify(d, langid.train(d.where("lang != 'es'"))).where("lang_pred != 'und'").join(d.select("doc_id", "lang"), "doc_id").collect()
+    unseen, own = [r["accepted"] for r in got if r["lang"] == "es"], [r["accepted"] for r in got if r["lang"] != "es"]
+    assert sum(unseen) <= 0.1 * len(unseen) and sum(own) >= 0.98 * len(own)
+
+
 def brute_components(texts, percent=85, width=4):
     sets = []
     for t in texts:
