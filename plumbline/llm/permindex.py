@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by a permutation index.
 
 Inner-product search is first turned to search by angle: vectors are divided by the largest norm and get one more
-component that fills them up to length 1; queries get 0 there. A vector is represented by its `posted` nearest
-pivots in order. Each block of vectors has an inverted file per pivot: the vectors that hold it, with its place
-in their order. A query reads the files of its `asked` nearest pivots and adds up the footrule distance (the
-difference of places; a missing pivot counts as place `posted`). The best tenth of a block, and `LEAST` at least,
-is reranked by the exact inner product of the original vectors in double precision.
+component that fills them up to length 1; queries get 0 there. A vector is represented by its `POSTED` nearest
+pivots in order. Each block of vectors has an inverted file per pivot: the credit (`POSTED` less the place) of each
+vector that holds it. As half of the vectors hold a pivot, a file is one byte per vector, 0 where it is not held.
+A query reads the files of its `ASKED` nearest pivots. Over two orders of one length the footrule distance
+(differences of places; a missing pivot counts as place `POSTED`) is a constant less twice the sum of the smaller
+credits, so that sum ranks a block. The best RERANK * sqrt(block rows) of a block, and 10 k at least, are
+reranked by the exact inner product of the original vectors in double precision.
 
 The pivots are fitted on a bounded sample (the first distinct vectors in an order by hash of vec_id). All
 vectors are indexed. Blocks of vectors meet blocks of queries, so a task's memory is bounded, and there is no
@@ -24,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import give_back, stage_table
 
 PIVOTS, POSTED, ASKED = 256, 128, 64
-SHARE, LEAST = 0.1, 1000
-SUB_BLOCK = 8192
+RERANK = 10
+CHUNK = 8192
 MIN_BLOCK, MAX_BLOCK, QUERY_BLOCK = 8192, 65_536, 16_384
 SCHEMA = "query_id long, vec_id long, score double"
 
@@ -45,13 +47,13 @@ def orders(vectors: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
     return np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, axis=1), axis=1, kind="stable"), axis=1)
 
 
-def inverted_files(vectors: np.ndarray, pivots: np.ndarray, posted: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each pivot: rows that hold it, and its place in their order."""
-    o = orders(vectors, pivots, posted)
-    flat, row, place = o.ravel(), np.repeat(np.arange(len(o)), posted), np.tile(np.arange(posted), len(o))
-    by = np.argsort(flat, kind="stable")
-    cut = np.searchsorted(flat[by], np.arange(len(pivots) + 1))
-    return [(row[by[a:b]], place[by[a:b]].astype(np.float32)) for a, b in zip(cut[:-1], cut[1:])]
+def inverted_files(vectors: np.ndarray, pivots: np.ndarray, posted: int) -> np.ndarray:
+    """Pivots x vectors: a vector's credit in each pivot's file, posted for its nearest pivot down to 1; 0 if it has not."""
+    out = np.zeros((len(pivots), len(vectors)), np.uint8)
+    for at in range(0, len(vectors), CHUNK):
+        o = orders(vectors[at : at + CHUNK], pivots, posted)
+        out[o.ravel(), at + np.repeat(np.arange(len(o)), posted)] = np.tile(np.arange(posted, 0, -1), len(o))
+    return out
 
 
 def smallest(values: np.ndarray, k: int) -> np.ndarray:
@@ -63,30 +65,34 @@ def smallest(values: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate((below, np.flatnonzero(values == edge)[: k - len(below)]))
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, norm: float, k: int, share: float = SHARE, least: int = LEAST) -> pd.DataFrame:
+def rerank_count(n: int, k: int) -> int:
+    """How many of a block's n vectors are reranked for each query."""
+    return max(10 * k, int(np.ceil(RERANK * np.sqrt(n))))
+
+
+def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, norm: float, k: int, count: int | None = None) -> pd.DataFrame:
     """Up to k nearest of one block for each query. ids ascend."""
     posted, asked = min(POSTED, len(pivots)), min(ASKED, len(pivots))
     asks = orders(np.pad(queries, ((0, 0), (0, 1))), pivots, asked)
     filled = np.sqrt(np.maximum(0.0, 1 - (vectors**2).sum(axis=1) / norm**2))
-    lifted = np.column_stack((vectors / norm, filled))
-    found: list[list] = [[] for _ in queries]
-    for at in range(0, len(ids), SUB_BLOCK):
-        own, exact = ids[at : at + SUB_BLOCK], vectors[at : at + SUB_BLOCK]
-        files = inverted_files(lifted[at : at + SUB_BLOCK], pivots, posted)
-        count = max(least, int(np.ceil(share * len(own))))
-        for j, ask in enumerate(asks):
-            rows = np.concatenate([files[p][0] for p in ask])
-            # A vector that lacks the pivot stands at place `posted`; files hold what others save against that.
-            saved = np.concatenate([(posted - i) - np.abs(files[p][1] - i) for i, p in enumerate(ask)])
-            near = smallest(-np.bincount(rows, saved, len(own)), count)
-            near = near[own[near] != query_ids[j]]
-            found[j].append((own[near], exact[near] @ queries[j]))
+    files = inverted_files(np.column_stack((vectors / norm, filled)), pivots, posted)
+    count = rerank_count(len(ids), k) if count is None else count
+    saved, part = np.empty(len(ids), np.int16), np.empty(len(ids), np.uint8)
     out = []
-    for q, parts in zip(query_ids, found):
-        i, s = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        best = np.lexsort((i, -s))[:k]
-        out.append(pd.DataFrame({"query_id": q, "vec_id": i[best], "score": s[best]}))
-    return pd.concat(out, ignore_index=True)
+    for q, query, ask in zip(query_ids, queries, asks):
+        saved[:] = 0
+        for place, p in enumerate(ask):
+            np.minimum(files[p], np.uint8(posted - place), out=part)
+            saved -= part
+        own = slice(*np.searchsorted(ids, (q, q + 1)))
+        saved[own] = 1
+        near = smallest(saved, count + own.stop - own.start)
+        near = near[ids[near] != q][:count]
+        # not a matrix product: equal vectors get scores equal to the bit
+        score = np.einsum("ij,j->i", vectors[near], query)
+        best = np.lexsort((ids[near], -score))[:k]
+        out.append((np.full(len(best), q), ids[near[best]], score[best]))
+    return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("query_id", "vec_id", "score"), zip(*out))})
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -120,7 +126,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": int, "vec_id": int})
         data = data.sort_values("vec_id", kind="stable")
         full = lambda df: np.stack(df["embedding"].to_numpy()).astype(np.float64)
-        return search_block(data["vec_id"].to_numpy(), full(data), ask["vec_id"].to_numpy(), full(ask), shared.value, norm, k)
+        out = search_block(data["vec_id"].to_numpy(), full(data), ask["vec_id"].to_numpy(), full(ask), shared.value, norm, k)
+        give_back()
+        return out
 
     found = left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInPandas(run, SCHEMA)
     found = stage_table(found, "near")
