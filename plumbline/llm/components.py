@@ -52,6 +52,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         else:
             step = parent.select(F.col("u").alias("component"), F.col("p").alias("next"))
             labels = labels.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+            labels = stage_table(labels, "labels")
     else:
         raise RuntimeError("components did not settle")
     if labels is None:

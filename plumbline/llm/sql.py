@@ -3,23 +3,30 @@
 FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 BLANK_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {FOLD}), '[^\x20\x09-\x0D]+')"
 
+# without base elements and dot segments, which the driver's pages do not have
+_NODE = r"""case when {ok} then lower(regexp_extract({u}, '^(.*?)://', 1, 's')) || '://' ||
+  case lower(regexp_extract({u}, '^(.*?)://', 1, 's')) when 'http' then regexp_replace({h}, ':(80)?$', '') when 'https' then regexp_replace({h}, ':(443)?$', '') else {h} end ||
+  case regexp_extract({u}, '^.*?://[^/?#]*([^?#]*)', 1, 's') when '' then '/' else regexp_extract({u}, '^.*?://[^/?#]*([^?#]*)', 1, 's') end || regexp_extract({u}, '^[^?#]*(\?[^#]*)', 1, 's') end"""
+_HOST = rf"translate(regexp_extract({{u}}, '^.*?://([^/?#]*)', 1, 's'), {FOLD})"
+
 OP1 = rf"""
 with recursive p as (select page_id, url, html, contains(url, '://') ok from pages),
 h as (
-  select page_id, url, html, ok, case when ok then translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), {FOLD}) else '' end host,
-         case when ok then regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') else '' end path,
-         regexp_replace(regexp_replace(regexp_extract(url, '^[^?#]*\?([^#]*)', 1, 's'), '(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'gi'), '^&+', '') query from p),
+  select page_id, url, html, ok, case when ok then {_HOST.format(u='url')} else '' end host, case when ok then regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') else '' end path from p),
 n as (
-  select *, case when ok then regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') || case when query <> '' then '?' || query else '' end end node,
+  select *, {_NODE.format(ok='ok', u='url', h='host')} node,
     case when (host = 'example.com' or host like '%.example.com') and path like '/en/7%' then 'example.com/en/7' when (host = 'example.net' or host like '%.example.net') and path like '/de/8%' then 'example.net/de/8'
          when (host = 'com' or host like '%.com') and path like '/en/%' then 'com/en/' when (host = 'net' or host like '%.net') and path like '/de/%' then 'net/de/' when (host = 'org' or host like '%.org') and path like '/es/%' then 'org/es/' end rule from h),
 v as (select *, case when rule in ('example.com/en/7', 'net/de/') then 'allow' when rule is not null then 'block' end own from n),
 refs as (
-  select url, node, unnest([regexp_extract(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is'),
-                            regexp_extract(html, '<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1, 'is'),
-                            regexp_extract(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["''][^"''>]*?url\s*=\s*([^"''\s>;]+)', 1, 'is')]) ref from v where node is not null and html is not null),
-ab as (select node src, case when regexp_matches(ref, '^[a-z][a-z0-9+.-]*://', 'i') then ref when ref like '//%' then 'http:' || ref when ref like '/%' then regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || ref end dst from refs where ref <> ''),
-e0 as (select src, regexp_replace(translate(regexp_extract(dst, '^.*?://([^/?#]*)', 1, 's'), {FOLD}), '^www\.', '') || regexp_replace(regexp_extract(dst, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '/+$', '') dst from ab where dst is not null),
+  select url, node, unnest(regexp_extract_all(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1, 'is')
+                        || regexp_extract_all(html, '<link\b[^>]*\bhref\s*=\s*["'']?\s*([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1, 'is')
+                        || regexp_extract_all(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["''][^"''>]*?url\s*=\s*["'']?\s*([^"''\s>]+)', 1, 'is')) ref0 from v where node is not null and html is not null),
+dec0 as (select url, node, replace(replace(replace(ref0, '&quot;', '"'), '&#38;', '&'), '&amp;', '&') ref from refs),
+ab as (select node src, case when regexp_matches(ref, '^[a-z][a-z0-9+.-]*://', 'i') then ref when ref = '' or ref like '#%' or regexp_matches(ref, '^[a-z][a-z0-9+.-]*:', 'i') then null
+  when ref like '//%' then regexp_extract(url, '^(.*?:)//', 1, 's') || ref when ref like '/%' then regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || ref when ref like '?%' then regexp_extract(url, '^([^?#]*)', 1, 's') || ref
+  else regexp_replace(regexp_extract(url, '^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1, 's'), '/?$', '/') || ref end dst from dec0),
+e0 as (select src, {_NODE.format(ok="contains(dst, '://')", u='dst', h=_HOST.format(u='dst'))} dst from ab where dst is not null),
 e as (select src, dst from e0 union select dst, src from e0),
 reach(a, b) as (select distinct node, node from v where node is not null union select a, dst from reach join e on b = src),
 comp as (select a node, min(b) c from reach group by 1),
@@ -53,6 +60,14 @@ select doc_id, cast(len(ws) as bigint) n_words, cast(coalesce(n_hit, 0) as bigin
 from d left join pos using (doc_id) left join its using (doc_id)
 """
 
+
+def _closing(i: int) -> str:
+    """One closing document a source: the one left whose size is nearest to the gap, if that comes nearer."""
+    left = "q is not null and not once and abs(size - gap) < gap"
+    return f"""c{i} as (select *, {left} and row_number() over (partition by source, {left} order by abs(size - gap), q, doc_id) = 1 closing from g{i - 1}),
+g{i} as (select * exclude (once, gap, closing), once or closing once, gap - coalesce(sum(size) filter (where closing) over (partition by source), 0) gap from c{i})"""
+
+
 OP9 = rf"""
 with d as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) size,
@@ -64,12 +79,23 @@ r as (select *, (sum(source_size) over () * 1.0::double - coalesce(sum(most) ove
 f as (select *, most / w <= rate filled from r),
 l as (select min_by(rate, ord) filter (where not filled) lam from f),
 t as (select source, source_size, case when filled or lam is null then most else w * lam end target from f, l),
-c as (select *, cast(floor(case when source_size > 0 then target / source_size else 0 end) as bigint) copies, case when source_size > 0 then target / source_size else 0 end ratio from t),
-q as (select d.doc_id, d.size, c.*, target - copies * source_size rest, ratio - copies p, case when ratio - copies > 0 then (u / (1 - u)) / ((ratio - copies) / (1 - (ratio - copies))) end q
-      from d join c on d.source is not distinct from c.source),
+z as (select *, cast(floor(sqrt(cast(size as double)) * 16) as bigint) weight from d),
+h as (select source, size, weight, count(*) n from z where size > 0 group by all),
+fa as (
+  select h.*, (target - 3.0::double * coalesce(sum(n * size) over (partition by h.source order by size desc rows between unbounded preceding and 1 preceding), 0))
+              / sum(n * size * weight) over (partition by h.source order by size desc rows between current row and unbounded following) factor
+  from h join t on h.source is not distinct from t.source),
+fs as (select source, max_by(factor, size) factor from fa where factor * weight <= 3.0::double * (1 + 1e-9::double) group by 1),
+r0 as (
+  select z.doc_id, z.size, z.source, u, source_size, target, least(3.0::double, coalesce(factor * weight, 0)) r
+  from z join t on z.source is not distinct from t.source left join fs on z.source is not distinct from fs.source),
+r1 as (select *, case when abs(r - round(r)) < 1e-9::double then round(r) else r end rate from r0),
+c as (select *, cast(floor(rate) as bigint) copies, rate - floor(rate) p from r1),
+q as (select *, target - sum(copies * size) over (partition by source) rest, case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end q from c),
 k as (select *, sum(size) over (partition by source, q is null order by q, doc_id) cum from q),
-g as (select *, coalesce(q is not null and cum <= rest, false) taken_once, rest - coalesce(max(cum) filter (where q is not null and cum <= rest) over (partition by source), 0) gap from k),
-cl as (select *, row_number() over (partition by source order by abs(size - gap), q, doc_id) n from g where q is not null and not taken_once and abs(size - gap) < gap)
-select g.doc_id, g.size, g.source_size, g.target, cast((g.copies + case when g.taken_once or cl.n = 1 then 1 else 0 end) * g.size as bigint) taken
-from g left join cl on cl.doc_id = g.doc_id and cl.n = 1
+g0 as (select *, coalesce(q is not null and cum <= rest, false) once, rest - coalesce(max(cum) filter (where q is not null and cum <= rest) over (partition by source), 0) gap from k),
+{_closing(1)},
+{_closing(2)},
+{_closing(3)}
+select doc_id, size, source_size, target, cast((copies + cast(once as int)) * size as bigint) taken from g3
 """

@@ -1,12 +1,15 @@
 """URL filter by rules and redirect equivalence, DataFrame operations only.
 
-Rules give a page its verdict where one fits. Decisions spread to aliases: pages are nodes (the URL without
-scheme, fragment, leading "www.", tracking parameters and closing slash), and redirect or canonical-link edges join nodes
-into components. A page without a rule takes its component's decision: allow if any member is explicitly
+Rules give a page its verdict where one fits. Decisions spread to aliases: nodes are URLs under the syntactic
+normalisation of the generic URL syntax (scheme and host in lower case, no default port, no fragment, no dot segments, "/"
+for an empty path); nothing else makes two URLs one. Redirect and canonical-link edges, all that a page's HTML declares,
+join nodes into components; references are resolved against the page or its base element, with character references
+decoded. A page without a rule takes its component's decision: allow if any member is explicitly
 allowed, else block if any member is blocked, else allow.
 
-A null url, or one without "://", has empty host and path, no rule, no aliases, and is allowed. Repeated rows
-stay. Empty tables give no rows. Other columns are ignored.
+A null url, or one without "://", has empty host and path, no rule, no aliases, and is allowed. Null or very long HTML is
+read whole. Rules of equal length: the later in text order counts. Repeated rows stay. Empty tables give no rows. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,9 +22,11 @@ from pyspark.sql import functions as F
 from .common import lower_ascii
 from .components import connected_components
 
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'\s>;]+)"""
-TRACKING = r"(?i)(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
+CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*["']?\s*([^"'\s>]+)"""
+BASE = r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+#: fixed values: character references that occur in URLs; & comes last, so nothing is decoded twice
+REFERENCES = (("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&#47;", "/"), ("&#x2f;", "/"), ("&#x2F;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
 
 
 def host_of(url: Column) -> Column:
@@ -32,32 +37,54 @@ def path_of(url: Column) -> Column:
     return F.when(url.contains("://"), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)).otherwise(F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """path without its "." and ".." segments."""
+    ended = F.when(path.rlike(r"/\.\.?$"), F.concat(path, F.lit("/"))).otherwise(path)
+    kept = F.aggregate(
+        F.split(ended, "/"),
+        F.expr("cast(array() as array<string>)"),
+        lambda acc, s: F.when(s == ".", acc).when((s == "..") & (F.size(acc) > 1), F.slice(acc, F.lit(1), F.size(acc) - 1)).when(s == "..", acc).otherwise(F.concat(acc, F.array(s))),
+    )
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.array_join(kept, "/")).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """Alias key of an absolute URL; null where there is none."""
-    query = F.regexp_replace(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), TRACKING, "")
-    query = F.regexp_replace(query, "^&+", "")
-    bare = F.concat(F.regexp_replace(host_of(url), r"^www\.", ""), F.regexp_replace(path_of(url), "/+$", ""))
-    return F.when(url.contains("://"), F.when(query != "", F.concat_ws("?", bare, query)).otherwise(bare))
+    """Normal form of an absolute URL; null where there is none."""
+    scheme = F.lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1))
+    port = F.when(scheme == "http", F.regexp_replace(host_of(url), ":(80)?$", "")).when(scheme == "https", F.regexp_replace(host_of(url), ":(443)?$", "")).otherwise(host_of(url))
+    path = without_dots(path_of(url))
+    return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), port, F.when(path == "", "/").otherwise(path), F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)))
 
 
 def resolve(base: Column, ref: Column) -> Column:
-    """Absolute form of a link found on the page at base."""
+    """Absolute form of a reference found on the page at base; null for one to the page itself or of another kind."""
     site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     return (
-        F.when(ref == "", None)
+        F.when((ref == "") | ref.startswith("#"), None)
         .when(ref.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), ref)
+        .when(ref.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), None)
         .when(ref.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), ref))
         .when(ref.startswith("/"), F.concat(site, ref))
-        .otherwise(F.concat(F.regexp_replace(folder, "/?$", "/"), ref))
+        .when(ref.startswith("?"), F.concat(F.regexp_extract(base, r"(?s)^([^?#]*)", 1), ref))
+        .otherwise(F.concat(F.regexp_replace(folder, "([^/])$", "$1/"), ref))
     )
 
 
+def decoded(ref: Column) -> Column:
+    for entity, char in REFERENCES:
+        ref = F.replace(ref, F.lit(entity), F.lit(char))
+    return ref
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(src, dst) nodes of canonical links and immediate redirects declared in the pages' HTML."""
+    """(src, dst) nodes of all canonical links and immediate redirects declared in the pages' HTML."""
     p = pages.select("url", "html").where(F.col("url").contains("://") & F.col("html").rlike(r"(?i)canonical|http-equiv"))
-    refs = p.select("url", F.explode(F.array(F.regexp_extract("html", CANONICAL, 1), F.regexp_extract("html", REFRESH, 1))).alias("ref"))
-    return refs.select(node_of(F.col("url")).alias("src"), node_of(resolve(F.col("url"), F.col("ref"))).alias("dst")).where("dst is not null and src != dst")
+    declared = resolve(F.col("url"), decoded(F.regexp_extract("html", BASE, 1)))
+    found = F.concat(F.regexp_extract_all("html", F.lit(CANONICAL), F.lit(1)), F.regexp_extract_all("html", F.lit(REFRESH), F.lit(1)))
+    refs = p.select("url", F.coalesce(declared, F.col("url")).alias("base"), F.explode(F.array_distinct(found)).alias("ref"))
+    links = refs.select(node_of(F.col("url")).alias("src"), node_of(resolve(F.col("base"), decoded(F.col("ref")))).alias("dst"))
+    return links.where("dst is not null and src != dst")
 
 
 def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
