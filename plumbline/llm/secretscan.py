@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stage_table
+from .common import fresh, stage_table
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -33,6 +33,7 @@ HEX = r"[0-9a-f]{32,}"
 RUN = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 MIN_RUN, STEP = 20, 492
+GROUP = 256
 #: STEP characters where MIN_RUN or more follow, else the rest
 WINDOW = r".{492}(?=.{20})|.{20,511}"
 #: fixed values: encodings by rising size: name, test, alphabet
@@ -51,20 +52,33 @@ P_BINS, P_STEP = 300, 0.1
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, found>> of leftmost non-overlapping matches; only texts that hold one are split."""
+    """array<struct<start, found>> of leftmost non-overlapping matches; only texts that hold one are split. Matches are
+    walked in groups of GROUP, as an array that grows by one is copied each time."""
+    none = F.expr("cast(array() as array<struct<start:int,found:string>>)")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
-    steps = F.arrays_zip(gaps.alias("gap"), found.alias("found"))
-    walked = F.aggregate(
-        F.filter(steps, lambda s: s["found"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,found:string>>)").alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + F.char_length(s["found"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + s["gap"]).alias("start"), s["found"].alias("found")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(F.expr("cast(array() as array<struct<start:int,found:string>>)"))
+    steps = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("found")), lambda s: s["found"].isNotNull())
+
+    def group(steps: Column, at: Column) -> Column:
+        return F.aggregate(
+            steps,
+            F.struct(at.alias("at"), none.alias("out")),
+            lambda acc, s: F.struct(
+                (acc["at"] + s["gap"] + F.char_length(s["found"])).alias("at"),
+                F.concat(acc["out"], F.array(F.struct((acc["at"] + s["gap"]).alias("start"), s["found"].alias("found")))).alias("out"),
+            ),
+        )
+
+    def walk(steps: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(steps), F.lit(GROUP))
+        return F.aggregate(
+            firsts,
+            F.struct(F.lit(0).alias("at"), none.alias("out")),
+            lambda acc, i: bind(group(F.slice(steps, i, F.lit(GROUP)), acc["at"]), lambda g: F.struct(g["at"].alias("at"), F.concat(acc["out"], g["out"]).alias("out"))),
+            lambda acc: acc["out"],
+        )
+
+    return F.when(text.rlike(pattern), bind(steps, walk)).otherwise(none)
 
 
 def spans_of(kind: int, hits: Column) -> Column:
@@ -156,30 +170,28 @@ def windows(piece: Column) -> Column:
     return F.transform(F.regexp_extract_all(piece["found"], F.lit(WINDOW), F.lit(0)), lambda w, i: F.struct((piece["start"] + i * STEP).alias("start"), w.alias("found")))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, base: str, runs: str) -> DataFrame:
     """The columns of docs, base (array<struct<start, k, end>>) and runs (candidates: struct<start, end, n, p>)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     kept = F.filter(matches(text, ASSIGN), lambda m: F.char_length(F.regexp_extract(m["found"], ASSIGN, 2)) >= 8)
-    base = F.array_sort(F.concat(spans_of(0, kept), spans_of(1, matches(text, ACCESS)), spans_of(2, matches(text, HEX))))
-    d = docs.withColumn("base", base)
-    pieces = F.flatten(F.transform(matches(text, RUN), lambda m: outside(m, F.col("base"))))
-    runs = F.flatten(F.transform(pieces, windows))
+    d = docs.withColumn(base, F.array_sort(F.concat(spans_of(0, kept), spans_of(1, matches(text, ACCESS)), spans_of(2, matches(text, HEX)))))
+    pieces = F.flatten(F.transform(matches(text, RUN), lambda m: outside(m, F.col(base))))
     tested = F.transform(
-        runs,
+        F.flatten(F.transform(pieces, windows)),
         lambda m: bind(
             battery(m["found"]),
             lambda t: F.struct(m["start"].alias("start"), (m["start"] + F.char_length(m["found"])).alias("end"), t["n"].alias("n"), t["p"].alias("p")),
         ),
     )
-    return d.withColumn("runs", tested)
+    return d.withColumn(runs, tested)
 
 
-def all_spans(cuts: dict[int, int]) -> Column:
+def all_spans(cuts: dict[int, int], base: str, runs: str) -> Column:
     """base and the kept runs as one array by start, then kind."""
     if not cuts:
-        return F.col("base")
+        return F.col(base)
     least = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
-    good = F.filter("runs", lambda r: F.coalesce(F.least(F.floor(r["p"] / P_STEP), F.lit(P_BINS)) >= F.try_element_at(least, length_class(r["n"])), F.lit(False)))
+    good = F.filter(runs, lambda r: F.coalesce(F.least(F.floor(r["p"] / P_STEP), F.lit(P_BINS)) >= F.try_element_at(least, length_class(r["n"])), F.lit(False)))
     one = lambda start, r: F.array(F.struct(start.alias("start"), F.lit(3).alias("k"), r["end"].alias("end")))
     last = lambda acc: F.try_element_at(acc, F.lit(-1))
     merged = F.aggregate(
@@ -187,7 +199,7 @@ def all_spans(cuts: dict[int, int]) -> Column:
         F.expr("cast(array() as array<struct<start:int,k:int,end:int>>)"),
         lambda acc, r: F.when(last(acc)["end"] == r["start"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), one(last(acc)["start"], r))).otherwise(F.concat(acc, one(r["start"], r))),
     )
-    return F.array_sort(F.concat("base", merged))
+    return F.array_sort(F.concat(base, merged))
 
 
 def span_text(spans: Column) -> Column:
@@ -196,25 +208,28 @@ def span_text(spans: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame, fdr: float = 0.001, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of docs, base and spans. Two narrow passes: the first leaves spans and p-values only."""
-    found = stage_table(scan(docs.select(*keep, "text")).select(*keep, "base", "runs"), "secrets")
-    cuts = cut_points(found.where(F.size("runs") > 0).select(F.explode("runs").alias("r")).select("r.n", "r.p"), fdr)
-    return found.select(*keep, "base", all_spans(cuts).alias("spans"))
+    """The columns `keep` of docs, base and spans. One scan; without the text in `keep`, only what it found is staged."""
+    rows = docs.select(*dict.fromkeys((*keep, "text")))
+    base, runs = fresh(rows, "base", "runs")
+    found = stage_table(scan(rows, base, runs).select(*keep, base, runs), "secrets")
+    cuts = cut_points(found.where(F.size(runs) > 0).select(F.explode(runs).alias("r")).select("r.n", "r.p"), fdr)
+    return found.select(*keep, F.col(base).alias("base"), all_spans(cuts, base, runs).alias("spans"))
 
 
 def redact(docs: DataFrame, fdr: float = 0.001, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every span of text replaced by mask; overlapping spans become one. Null text stays null."""
-    found = scan(docs)
-    cuts = cut_points(scan(docs.select("text")).where(F.size("runs") > 0).select(F.explode("runs").alias("r")).select("r.n", "r.p"), fdr)
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """docs with every span of text replaced by mask; overlapping spans become one. Null text stays null, other columns as
+    they are. One scan: docs is staged once with its spans."""
+    base, runs = fresh(docs, "base", "runs")
+    found = stage_table(scan(docs, base, runs), "secrets")
+    cuts = cut_points(found.where(F.size(runs) > 0).select(F.explode(runs).alias("r")).select("r.n", "r.p"), fdr)
     clean = F.aggregate(
-        all_spans(cuts),
-        begin,
+        all_spans(cuts, base, runs),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
             F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).alias("out"),
         ),
         lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.char_length("text"))),
     )
-    hit = (F.size("base") > 0) | (F.size("runs") > 0)
+    hit = (F.size(base) > 0) | (F.size(runs) > 0)
     return found.withColumn("text", F.when(hit & F.col("text").isNotNull(), clean).otherwise(F.col("text"))).select(*docs.columns)
