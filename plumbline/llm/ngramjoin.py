@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, broadcast_if_small, give_back, stage_table
+from .common import LOWER_BYTES, broadcast_if_small, fresh, give_back, stage_table
 from .components import connected_components
 
 WIDTH, PERCENT = 4, 85
@@ -104,21 +104,22 @@ POSTS = "alone array<long>, stands array<long>, shares array<long>"
 
 
 def read_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Staged (doc_id, n, fp, alone, stands, shares): posts only for the first document of a class in its task."""
+    """Staged (doc_id, t, n, fp, alone, stands, shares): t is a hash of the text; posts only for the first document of a
+    class in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, seen = WordHashes(), set()
         held: list[tuple] = []
         size = 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+            for i, h, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1)):
                 s = shingles(t.as_py(), memo, width)
                 fp = fingerprint(s) if len(s) else None
                 new = fp is not None and i is not None and fp not in seen
                 if new:
                     seen.add(fp)
                 posts = s[: posted(len(s), percent)].copy() if new else s[:0]
-                held.append((i, len(s), fp, posts))
+                held.append((i, h, len(s), fp, posts))
                 size += len(posts)
             if size > TASK_POSTS:
                 yield pack(held)
@@ -130,11 +131,11 @@ def read_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def pack(held: list[tuple]) -> pa.RecordBatch:
         lists = [pa.array(x, pa.list_(pa.int64())) for x in split_posts([p for *_, p in held])]
-        ids = [pa.array([h[j] for h in held], pa.int64()) for j in range(3)]
-        return pa.RecordBatch.from_arrays([*ids, *lists], names=["doc_id", "n", "fp", "alone", "stands", "shares"])
+        ids = [pa.array([h[j] for h in held], pa.int64()) for j in range(4)]
+        return pa.RecordBatch.from_arrays([*ids, *lists], names=["doc_id", "t", "n", "fp", "alone", "stands", "shares"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return stage_table(rows.mapInArrow(run, f"doc_id long, n long, fp long, {POSTS}"), "sets")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text"))
+    return stage_table(rows.mapInArrow(run, f"doc_id long, t long, n long, fp long, {POSTS}"), "sets")
 
 
 def shared_posts(sets: DataFrame) -> DataFrame:
@@ -202,6 +203,15 @@ def candidate_groups(docs: DataFrame, sets: DataFrame, width: int, percent: int)
     return stage_table(sets_of, "groups")
 
 
+def roots(label: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The root of each place in a forest of labels; what was asked for then points to its root."""
+    root = label[at]
+    while (up := label[root]).tobytes() != root.tobytes():
+        root = up
+    label[at] = root
+    return root
+
+
 def link_unit(fps: np.ndarray, n: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, fragments: int = FRAGMENTS) -> np.ndarray:
     """For each class the least fp of those it is connected with inside the unit. n: sizes of the whole sets; sets: the
     shingles that others have too (the rest cannot be common, and stands first in the order)."""
@@ -240,7 +250,8 @@ def link_unit(fps: np.ndarray, n: np.ndarray, sets: list[np.ndarray], percent: i
         if not parts:
             continue
         y = np.unique(np.concatenate(parts))
-        y = y[(y > x) & (label[y] != label[x])]
+        y = y[y > x]
+        y = y[roots(label, y) != roots(label, np.array([x]))]
         y = y[percent * np.maximum(n[y], n[x]) <= 100 * np.minimum(n[y], n[x])]
         if not len(y):
             continue
@@ -257,9 +268,10 @@ def link_unit(fps: np.ndarray, n: np.ndarray, sets: list[np.ndarray], percent: i
             if not len(y):
                 break
         mark[own] = 0
-        for other in np.unique(label[y]):
-            a, b = min(label[x], other), max(label[x], other)
-            label[label == b] = a
+        if len(y):
+            joined = np.unique(roots(label, np.append(y, x)))
+            label[joined] = joined[0]
+    label = roots(label, np.arange(n_sets))
     least = np.full(n_sets, np.iinfo(np.int64).max)
     np.minimum.at(least, label, fps)
     return least[label]
@@ -313,28 +325,45 @@ def find_links(groups: DataFrame, percent: int, unit_shingles: int) -> DataFrame
     return connected_components(stage_table(edges, "links"))
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
+def linked_rows(docs: DataFrame, width: int, percent: int, unit_shingles: int) -> DataFrame:
+    """doc_id, t, n, fp, component (a name, null for an empty set or a row without id) and component_id of each row of docs."""
     sets = read_sets(docs, width, percent)
     linked = find_links(candidate_groups(docs, sets, width, percent), percent, unit_shingles)
     classes = sets.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = classes.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = stage_table(named, "classes")
     joined = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = named.join(joined, "component").select("fp", "component_id")
-    out = sets.select("doc_id", "n", "fp").join(by_class, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    by_class = named.join(joined, "component").select("fp", "component", "component_id")
+    out = sets.select("doc_id", "t", "n", "fp").join(by_class, "fp", "left")
+    own = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "t", "n", "fp", F.when(own, F.col("component")).alias("component"), F.when(own, F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each linked group: the one of smallest doc_id. Rows without an id, or linked with nothing, stay."""
-    found = stage_table(jaccard_components(docs, width, percent), "components")
-    out = docs.join(broadcast_if_small(found.where("doc_id != component_id").select("doc_id").distinct(), BROADCAST_ROWS), "doc_id", "left_anti")
-    again = stage_table(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs."""
+    return linked_rows(docs, width, percent, unit_shingles).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
+    """docs with one row of each linked group: the one of smallest doc_id, then of smallest text hash. A row is known by
+    doc_id and text, so rows that repeat an id with a text of their own are kept or dropped on their own. Rows without an
+    id or without words link with nothing, and stay, also where they repeat."""
+    found = linked_rows(docs, width, percent, unit_shingles).where("component is not null").groupBy("doc_id", "t").agg(F.min("component").alias("component"), F.count("*").alias("copies"))
+    found = stage_table(found, "components")
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("first"))
+    dropped = found.join(first, "component").where(F.struct("doc_id", "t") != F.col("first")).select("doc_id", "t")
+    text_hash = fresh(docs, "text_hash")[0]
+    # ids may be of another type than the links' whole numbers
+    key = lambda rows: (F.col("doc_id").cast("long") == rows["drop_id"]) & (F.col(text_hash) == rows["drop_t"])
+    named = lambda rows: broadcast_if_small(rows.select(F.col("doc_id").alias("drop_id"), F.col("t").alias("drop_t")), BROADCAST_ROWS)
+    hashed = docs.withColumn(text_hash, F.xxhash64(F.col("text")))
+    dropped = named(stage_table(dropped, "dropped"))
+    out = hashed.join(dropped, key(dropped), "left_anti")
+    again = stage_table(found.where("copies > 1").join(first, "component").where(F.struct("doc_id", "t") == F.col("first")).select("doc_id", "t"), "again")
     if not again.isEmpty():
-        # Rows that repeat an id: the first text in order stays for each.
-        again = broadcast_if_small(again, BROADCAST_ROWS)
-        order = W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-        ranked = out.join(again, "doc_id").withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")
-        out = out.join(again, "doc_id", "left_anti").unionByName(ranked)
+        # Rows that repeat id and text: the least of them stays, by an aggregate with map-side combine.
+        again = named(again)
+        row = F.struct(*docs.columns)
+        repeats = out.join(again, key(again), "left_semi").groupBy(F.col("doc_id").alias("repeated_id"), F.col(text_hash).alias("repeated_t")).agg(F.min(row).alias("row")).select("row.*")
+        return out.join(again, key(again), "left_anti").select(*docs.columns).unionByName(repeats)
     return out.select(*docs.columns)
