@@ -12,9 +12,9 @@ most). A text is rejected if its deviation exceeds the 99 % quantile of all cali
 languages, so that single odd texts do not set it), and `LEAST`, as small samples do not hold their own tail: at
 most about 1 % of texts in a known language go. Text that is null or has no letter is `und` and rejected.
 
-The classifier is fitted on a bounded sample: about `per_language` whole labelled texts of each language (chosen
-by a hash of doc_id, so alike at every size), and at most `max_letters` letters in the alphabet. Every
-text is judged whole. With no labelled text at all, every prediction is `und`. Ties go to the first language
+The classifier is fitted on a bounded sample: about `per_language` whole labelled texts and `PER_LANGUAGE_CHARS` characters
+of each language (chosen by a hash of doc_id, so alike at every size; with more than `FULL_LANGUAGES` languages, each has
+a smaller share), and at most `max_letters` letters in the alphabet. Every text is judged whole, however long. With no labelled text at all, every prediction is `und`. Ties go to the first language
 name. Repeated rows stay; other columns are ignored.
 """
 
@@ -33,7 +33,9 @@ from .common import fold, give_back, stage_table
 ORDER = 5
 BITS = 12
 MAX_LETTERS = (1 << BITS) - 2
-PER_LANGUAGE = 1500
+PER_LANGUAGE, PER_LANGUAGE_CHARS = 1500, 6_000_000
+#: more languages than this share the sample that so many would have
+FULL_LANGUAGES = 40
 CHUNK = 500_000
 TEXTS = 400
 #: the false-rejection quantile, the length from which deviations count alike, and the least limit (0.4 bits at that length)
@@ -144,14 +146,18 @@ def cross_entropies(texts: list[np.ndarray], models: list[dict]) -> np.ndarray:
 
 
 def sample_texts(docs: DataFrame, per_language: int) -> DataFrame:
-    """(lang, text, calibration): about per_language texts of each language, by a hash of doc_id."""
+    """(lang, text, calibration): about per_language texts and `PER_LANGUAGE_CHARS` characters of each language, by a hash
+    of doc_id (of the text where there is no id)."""
     learn = docs.select("doc_id", "lang", "text").where((fold("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = learn.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars")).collect()
     if not sizes:
         return learn.select("lang", "text", F.lit(False).alias("calibration"))
-    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))]), F.col("lang"))
-    u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    held = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibration")), F.lit(10)) == 0
+    part = min(1.0, FULL_LANGUAGES / len(sizes))
+    rates = {r["lang"]: part * min(1.0, per_language / r["n"], PER_LANGUAGE_CHARS / max(1, r["chars"])) for r in sizes}
+    rate = F.element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col("lang"))
+    key = (F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text")))
+    u = F.pmod(F.xxhash64(*key, F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    held = F.pmod(F.xxhash64(*key, F.lit("calibration")), F.lit(10)) == 0
     return learn.where(u < rate).select("lang", "text", held.alias("calibration"))
 
 

@@ -18,8 +18,12 @@ them. Each block sends a part one row of its distinct grams there with their tra
 its piece of the filter, reads the grams back and returns one row of levels (and exact token counts, for the base
 score) to the block.
 
+A filter of all the corpus's grams grows with it, so it is not broadcast: blocks send their grams to the parts that hold them,
+and only what has a proven bound (five sums) reaches the driver.
+
 Null text counts as empty: one token, the end. A null doc_id is in fold 0. Repeated rows are scored (and learned
-from) each. Without training documents all counts are 0. Other columns are ignored.
+from) each; equal texts score alike. Without training documents all counts are 0. Very long texts are read whole, as a
+block of their own at most. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -281,9 +285,9 @@ def score_block(doc_ids: list, held: list, n: np.ndarray, ids: np.ndarray, hashe
     )
 
 
-def score_texts(docs: DataFrame, block_words: int = BLOCK_WORDS, vocabulary: int | None = None, filter_bits: int = FILTER_BITS) -> DataFrame:
+def score_texts(docs: DataFrame, block_words: int = BLOCK_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs. filter_bits: about the
-    size of a part of the filter; there are as many parts as the corpus needs. vocabulary has no effect: all tokens count."""
+    size of a part of the filter; there are as many parts as the corpus needs."""
     blocks = gather_blocks(docs, block_words)
     n_words = blocks.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     # a word adds one token and one pair at most

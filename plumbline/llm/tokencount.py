@@ -2,7 +2,7 @@
 
 Offline, on the driver, the vocabulary is searched for facts that hold for every text:
 * where no piece can reach across, so a text may be cut: before each space mark that follows another character,
-  and around control characters that occur in no longer piece;
+  and around control characters that occur in no longer piece (and are pieces, or fall back to bytes);
 * which pieces, taken alone, come out of the encoder as one token.
 On the workers a text is cut there to pre-tokens. One that is in the proven table counts as one token without
 merging; the rest are merged by the library, once per distinct pre-token, and remembered in a table of bounded
@@ -10,7 +10,7 @@ size. A model for which the facts don't hold (a rewriting normaliser, user-defin
 space marks) is served by encoding whole texts.
 
 Null text counts as empty (0 bytes, 0 tokens). Whole texts are counted, however long; long pre-tokens are not
-remembered. Repeated rows stay; other columns are ignored.
+remembered. Repeated rows stay (ties have no part in a count); empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +43,8 @@ def model_facts(model: bytes) -> dict:
     if not plain or crossing or proto.trainer_spec.treat_whitespace_as_suffix or any(p.type == p.USER_DEFINED for p in proto.pieces):
         return {}
     cuts = "".join(c for c in CUTS if not any(c in p for p in pieces if len(p) > 1))
-    if "\n" not in cuts:
+    # An unknown character would be merged with unknown neighbours, and a cut would part them.
+    if "\n" not in cuts or not (proto.trainer_spec.byte_fallback or {MARK, *cuts} <= set(pieces)):
         return {}
     encoder = sentencepiece.SentencePieceProcessor(model_proto=model)
     counts = segment_counts(encoder, pieces)

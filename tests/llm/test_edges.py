@@ -97,11 +97,11 @@ def test_tokens(docs, none):
 
 def test_contamination(spark, docs, none):
     got = by_id(decontam.find_contamination(docs, bench(spark)), "n_words", "n_hit", "items")
-    assert got.count([1, 6, 2, ["1", "4"]]) == 2 and [3, 0, 0, []] in got and [5, 0, 0, []] in got
+    assert got.count([1, 6, 4, ["1", "4"]]) == 2 and [3, 0, 0, []] in got and [5, 0, 0, []] in got
     assert decontam.find_contamination(none, bench(spark)).count() == 0
     assert all(r["n_hit"] == 0 for r in decontam.find_contamination(docs, bench(spark).limit(0)).collect())
     cut = decontam.decontaminate(docs, bench(spark))
-    assert cut.columns == docs.columns and {r["text"] for r in cut.where("doc_id = 1").collect()} == {"the  on the mat"}
+    assert cut.columns == docs.columns and {r["text"] for r in cut.where("doc_id = 1").collect()} == {"the  on "}
     assert decontam.decontaminate(docs, bench(spark).limit(0)).count() == len(ROWS)
 
 
