@@ -93,6 +93,18 @@ def test_pairs_count_in_toxicity():
     assert toxicity.logits(m, [flat])[0] == pytest.approx(brute)
 
 
+def test_terms_that_matter_in_pairs_only_are_kept():
+    """Either word alone is toxic, both together or neither are not: no word by itself tells anything."""
+    rng = random.Random(2)
+    rows, y = [], []
+    for _ in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append(toxicity.features(" ".join([f"w{rng.randrange(50)}" for _ in range(6)] + ["left"] * a + ["right"] * b)))
+        y.append(float(a != b))
+    kept = toxicity.fit(rows, np.array(y), epochs=1)["slot_of"]
+    assert (kept[toxicity.features("left right")] >= 0).all() and (kept >= 0).sum() < 10
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(0)
     s = np.concatenate([np.zeros(4, np.int64), rng.integers(0, 4, 500)])
