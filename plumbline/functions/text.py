@@ -83,9 +83,3 @@ def joined_id(prefix: str, *parts: Column | str, separator: str = "\x1f", length
     """prefix and the first digits of the sha256 of the parts, joined by a control character."""
     return F.concat(F.lit(prefix), digest(F.concat_ws(separator, *[verbatim(p) for p in parts]), length))
 
-
-def similarity(a: Column, b: Column) -> Column:
-    """Edit-distance ratio from 0 to 100 of two case-insensitive texts, two decimals. Our own metric for discovery."""
-    x, y = fold_case(a), fold_case(b)
-    longest = F.greatest(F.char_length(x), F.char_length(y))
-    return F.when(longest == 0, F.lit(100.0)).otherwise(F.round(100 * (1 - F.levenshtein(x, y) / longest), 2))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, digest, first_filled, fold_case, similarity
+from ..functions.text import clean, digest, first_filled, fold_case
+from .fuzzy import weighted_ratio
 from .keys import page, sorted_set
 
 #: fixed values: match kinds in rank order, the least fuzzy score and the least length of a substring query
@@ -37,12 +38,12 @@ def mapping_records(mappings: DataFrame) -> DataFrame:
 
 def search(records: DataFrame, query: str, limit: int, fuzzy: bool = True) -> DataFrame:
     """Best match of each record: exact name (any case), substring of name or file for queries of three characters
-    or more, else an edit-distance score of 65 or more. Ranked by kind, score, name, record; truncated tells of more."""
+    or more, else a weighted ratio of 65 or more. Ranked by kind, score, name, record; truncated tells of more."""
     q = F.lit(query)
     want = fold_case(q)
     exact = fold_case("name") == want
     part = F.lit(len(query.strip()) >= LEAST_LENGTH) & (fold_case("name").contains(want) | fold_case("file").contains(want))
-    score = similarity(F.col("name"), q)
+    score = weighted_ratio(F.coalesce(F.col("name"), F.lit("")), q) if fuzzy else F.lit(0.0)
     kind = F.when(exact, 0).when(part, 1)
     if fuzzy:
         kind = kind.when(score >= LEAST_FUZZY, 2)
@@ -109,9 +110,10 @@ def evidence_page(records: DataFrame, order: list[str], index: int, size: int) -
 
 def unique_identity(mappings: DataFrame) -> DataFrame:
     """(relation, column) -> fqcn, field where exactly one logical identity stands behind it, with status."""
-    by = mappings.groupBy("relation", "column").agg(F.collect_set(F.struct("fqcn", "field")).alias("ids"))
-    one = F.size("ids") == 1
-    return by.select("relation", "column", F.when(one, "available").otherwise("ambiguous_mapping").alias("status"), F.when(one, F.element_at("ids", 1)["fqcn"]).alias("fqcn"), F.when(one, F.element_at("ids", 1)["field"]).alias("field"))
+    who = F.struct("fqcn", "field")
+    by = mappings.groupBy("relation", "column").agg(F.min(who).alias("least"), F.max(who).alias("most"))
+    one = F.col("least") == F.col("most")
+    return by.select("relation", "column", F.when(one, "available").otherwise("ambiguous_mapping").alias("status"), F.when(one, F.col("least.fqcn")).alias("fqcn"), F.when(one, F.col("least.field")).alias("field"))
 
 
 def entity_context(requests: DataFrame, entities: DataFrame, flows: DataFrame) -> DataFrame:
@@ -123,10 +125,13 @@ def entity_context(requests: DataFrame, entities: DataFrame, flows: DataFrame) -
 
 
 def execution_context(records: DataFrame, keys: DataFrame) -> DataFrame:
-    """record_kind -> count and the first three ids of records whose key was observed."""
+    """record_kind -> count and the first three ids of records whose key was observed. Counts are an aggregate with
+    map-side combine; the rank limit is applied before the shuffle, so a kind of many records is no hot key."""
     seen = records.join(keys, "key", "left_semi")
+    counts = seen.groupBy("record_kind").agg(F.count("*").alias("record_count"))
     n = F.row_number().over(W.partitionBy("record_kind").orderBy("record_id"))
-    return seen.withColumn("n", n).groupBy("record_kind").agg(F.count("*").alias("record_count"), F.array_sort(F.collect_list(F.when(F.col("n") <= 3, F.col("record_id")))).alias("sample"))
+    first = seen.select("record_kind", "record_id").withColumn("n", n).where("n <= 3").groupBy("record_kind").agg(F.array_sort(F.collect_list("record_id")).alias("sample"))
+    return counts.join(first, "record_kind", "left")
 
 
 def coverage(hits: DataFrame) -> DataFrame:
