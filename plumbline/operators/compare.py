@@ -1,4 +1,10 @@
-"""Strict comparison of JSON documents and of row sets."""
+"""Strict comparison of JSON documents and of row sets.
+
+Documents are flattened to one row per value: its route (the keys and positions that lead to it, each with the kind of
+container it is in), path (JSON pointer), kind and text. Two documents are compared by one full outer join on the route,
+so values meet only where all containers around them are of one kind. What one side alone has is a difference if the
+other side has the object that should hold it; positions past the end of an array are told by the array's length.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: fixed values: reasons of a difference
 TYPE, MISSING, UNEXPECTED, LENGTH, VALUE, MULTISET = "type", "missing_field", "unexpected_field", "array_length", "value", "multiset"
+INVALID, POLICY = "invalid_json", "invalid_policy"
+FLAT = "pair_id string, side string, route string, parent_route string, path string, in_object boolean, kind string, value string"
 
 
 def strict_json(text: str) -> Any:
@@ -41,36 +49,26 @@ def tagged(v: Any) -> str:
     return f"{kind(v)}:{json.dumps(v)}"
 
 
-def differences(expected: Any, actual: Any, unordered: frozenset[str] = frozenset(), path: str = "") -> Iterator[dict]:
-    """Differences by JSON pointer. Arrays at the unordered pointers are compared as multisets."""
-    a, b = kind(expected), kind(actual)
-    if a != b:
-        yield {"path": path, "reason": TYPE, "expected": a, "actual": b}
-    elif a == "object":
-        for k in sorted(expected.keys() | actual.keys()):
-            at = f"{path}/{k.replace('~', '~0').replace('/', '~1')}"
-            if k not in actual:
-                yield {"path": at, "reason": MISSING, "expected": tagged(expected[k]), "actual": None}
-            elif k not in expected:
-                yield {"path": at, "reason": UNEXPECTED, "expected": None, "actual": tagged(actual[k])}
-            else:
-                yield from differences(expected[k], actual[k], unordered, at)
-    elif a == "array" and path in unordered:
-        if sorted(map(tagged, expected)) != sorted(map(tagged, actual)):
-            yield {"path": path, "reason": MULTISET, "expected": tagged(expected), "actual": tagged(actual)}
-    elif a == "array":
-        if len(expected) != len(actual):
-            yield {"path": path, "reason": LENGTH, "expected": str(len(expected)), "actual": str(len(actual))}
-        for i, (x, y) in enumerate(zip(expected, actual)):
-            yield from differences(x, y, unordered, f"{path}/{i}")
-    elif expected != actual:
-        yield {"path": path, "reason": VALUE, "expected": tagged(expected), "actual": tagged(actual)}
+def flatten(document: Any, unordered: frozenset[str]) -> Iterator[tuple]:
+    """(route, parent route, path, in an object, kind, value) of each value. An unordered array is one value: the sorted
+    texts of its members; a container's value is its size."""
+    todo = [("", None, "", False, document)]
+    while todo:
+        route, parent, path, in_object, v = todo.pop()
+        what = kind(v)
+        if what == "array" and path in unordered:
+            yield route, parent, path, in_object, "multiset", json.dumps(sorted(map(tagged, v)))
+            continue
+        inner = v.items() if what == "object" else enumerate(v) if what == "array" else ()
+        yield route, parent, path, in_object, what, str(len(v)) if what in ("object", "array") else tagged(v)
+        for k, x in inner:
+            step = "/" + str(k).replace("~", "~0").replace("/", "~1")
+            todo.append((f"{route}{'.' if what == 'object' else '#'}{step}", route, path + step, what == "object", x))
 
 
-def compare_documents(pairs: DataFrame, unordered: Iterable[str] = ()) -> DataFrame:
-    """pairs (pair_id, expected, actual: JSON texts) -> pair_id, path, reason, expected, actual. A text that is not
-    strict JSON is one difference with the reason it was refused."""
-    free = frozenset(unordered)
+def flatten_documents(pairs: DataFrame, unordered: frozenset[str]) -> DataFrame:
+    """Values of both sides (FLAT). A text that is not strict JSON, or lacks an array at an unordered pointer, is one row
+    of its side without a route."""
 
     def run(batches):
         import pandas as pd
@@ -79,13 +77,46 @@ def compare_documents(pairs: DataFrame, unordered: Iterable[str] = ()) -> DataFr
             out = []
             for r in pdf.itertuples(index=False):
                 try:
-                    found = list(differences(strict_json(r.expected), strict_json(r.actual), free))
+                    found = list(flatten(strict_json(r.document), unordered))
+                    lost = sorted(unordered - {f[2] for f in found if f[4] == "multiset"})
+                    if lost:
+                        found = [(None, None, lost[0], False, POLICY, "an unordered pointer must name an array in both documents")]
                 except (ValueError, TypeError) as e:
-                    found = [{"path": "", "reason": f"invalid_json: {e}", "expected": None, "actual": None}]
-                out += [{"pair_id": r.pair_id, **d} for d in found]
-            yield pd.DataFrame(out, columns=["pair_id", "path", "reason", "expected", "actual"])
+                    found = [(None, None, "", False, INVALID, str(e))]
+                out += [(r.pair_id, r.side, *f) for f in found]
+            yield pd.DataFrame(out, columns=["pair_id", "side", "route", "parent_route", "path", "in_object", "kind", "value"])
+
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("document")) for s in ("expected", "actual")]))
+    return pairs.select("pair_id", sides.alias("d")).select("pair_id", "d.*").mapInPandas(run, FLAT)
 
-    return pairs.select("pair_id", "expected", "actual").mapInPandas(run, "pair_id string, path string, reason string, expected string, actual string")
+
+def compare_documents(pairs: DataFrame, unordered: Iterable[str] = ()) -> DataFrame:
+    """pairs (pair_id, expected, actual: JSON texts) -> pair_id, path, reason, expected, actual. A pair with a refused text
+    or pointer has one difference, that names why. Arrays at the unordered pointers are compared as multisets; such a
+    pointer inside another fails."""
+    free = frozenset(unordered)
+    if any(a != b and b.startswith(f"{a}/") for a in free for b in free):
+        raise ValueError("an unordered array cannot hold another")
+    flat = flatten_documents(pairs, free)
+    refused = flat.where("route is null").groupBy("pair_id").agg(F.min(F.struct(F.when(F.col("side") == "expected", 0).otherwise(1).alias("n"), "path", "kind", "value")).alias("r"))
+    refused = refused.select("pair_id", F.col("r.path").alias("path"), F.concat_ws(": ", "r.kind", "r.value").alias("reason"), F.lit(None).cast("string").alias("expected"), F.lit(None).cast("string").alias("actual"))
+    sound = flat.where("route is not null").join(refused.select("pair_id"), "pair_id", "left_anti")
+    side = lambda name, p: sound.where(F.col("side") == name).select("pair_id", "route", *[F.col(c).alias(f"{p}_{c}") for c in ("parent_route", "path", "in_object", "kind", "value")])
+    both = side("expected", "a").join(side("actual", "b"), ["pair_id", "route"], "full_outer")
+    alone_a, alone_b = F.col("b_kind").isNull(), F.col("a_kind").isNull()
+    containers = sound.where("kind = 'object'").select("pair_id", F.col("route").alias("holder"), F.when(F.col("side") == "expected", "actual").otherwise("expected").alias("lacks")).distinct()
+    both = both.withColumn("holder", F.coalesce("a_parent_route", "b_parent_route")).withColumn("lacks", F.when(alone_a, "expected").when(alone_b, "actual"))
+    # the object on the other side that should hold what one side alone has
+    both = both.join(containers.withColumn("held", F.lit(True)), ["pair_id", "holder", "lacks"], "left")
+    same_kind, array = F.col("a_kind") == F.col("b_kind"), F.col("a_kind") == "array"
+    reason = (
+        F.when(alone_a, F.when(F.col("a_in_object") & F.col("held"), MISSING)).when(alone_b, F.when(F.col("b_in_object") & F.col("held"), UNEXPECTED))
+        .when(~same_kind, TYPE).when((F.col("a_kind") == "object") | (F.col("a_value") == F.col("b_value")), None)
+        .when(array, LENGTH).when(F.col("a_kind") == "multiset", MULTISET).otherwise(VALUE)
+    )
+    shown = lambda p: F.when(F.col("reason") == TYPE, F.regexp_replace(f"{p}_kind", "^multiset$", "array")).otherwise(F.col(f"{p}_value"))
+    told = both.withColumn("reason", reason).where("reason is not null")
+    return told.select("pair_id", F.coalesce("a_path", "b_path").alias("path"), "reason", shown("a").alias("expected"), shown("b").alias("actual")).unionByName(refused)
 
 
 def multiset_difference(expected: DataFrame, actual: DataFrame) -> DataFrame:
