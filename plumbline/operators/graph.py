@@ -7,25 +7,39 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MAX_HOPS, MAX_PATHS, MAX_BRANCHING = 30, 50, 50
+#: fixed values: confidences of an edge, best first; an edge without one counts as confirmed
+CONFIDENCES = ("confirmed", "high", "probable", "candidate")
+FORWARD, REVERSE = "forward", "reverse"
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """(seed, node, hops) for nodes that seeds reach, by fewest hops; each seed reaches itself at 0.
+def closure(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(seed, node, hops) for nodes that seeds reach, by fewest hops; each seed reaches itself at 0. Without max_hops
+    rounds go on until one finds nothing new.
 
-    Semi-naive: a round joins only what the last one found, and drops what is known. Rounds are checkpointed
-    (the session needs a checkpoint folder), so the plan does not grow with the depth."""
-    e = edges.select(F.col("src").alias("node"), F.col("dst")).where("node is not null and dst is not null").distinct()
-    known = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hops")).where("node is not null").distinct().checkpoint()
-    front = known
-    for hop in range(1, max_hops + 1):
+    Semi-naive: a round joins only what the last one found, and drops what is known. Each round's front is checkpointed
+    (the session needs a checkpoint folder) and known is the union of the fronts, so no row is written twice."""
+    e = edges.select(F.col("src").alias("node"), F.col("dst")).where("node is not null and dst is not null").distinct().checkpoint()
+    front = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hops")).where("node is not null").distinct().checkpoint()
+    known, hop = front, 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         found = front.join(e, "node").select("seed", F.col("dst").alias("node"), F.lit(hop).alias("hops")).distinct()
         front = found.join(known.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", "hops").checkpoint()
         if front.isEmpty():
             break
-        known = known.union(front).checkpoint()
+        known = known.union(front)
     return known
 
 
+def attribute_paths(edges: DataFrame, starts: DataFrame, direction: str = FORWARD, minimum_confidence: str = "probable", max_hops: int = MAX_HOPS, max_paths: int = MAX_PATHS, max_branching: int = MAX_BRANCHING) -> DataFrame:
+    """paths over edges (src, dst, confidence) of the least confidence or better, along them or against them."""
+    if direction not in (FORWARD, REVERSE) or minimum_confidence not in CONFIDENCES:
+        raise ValueError("direction is forward or reverse, and the confidence a known one")
+    good = edges.where(F.coalesce("confidence", F.lit(CONFIDENCES[0])).isin(*CONFIDENCES[: CONFIDENCES.index(minimum_confidence) + 1]))
+    ends = ("src", "dst") if direction == FORWARD else ("dst", "src")
+    return paths(good.select(F.col(ends[0]).alias("src"), F.col(ends[1]).alias("dst")), starts, max_hops, max_paths, max_branching)
+
+
 def paths(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS, max_paths: int = MAX_PATHS, max_branching: int = MAX_BRANCHING) -> DataFrame:
     """(start, end, path, hops, truncated): simple paths from each start, without repeated nodes.
 

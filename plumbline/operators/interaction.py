@@ -189,6 +189,41 @@ def fallback_status(fields: DataFrame, candidates: DataFrame, catalogue_complete
     return f.select(*fields.columns, F.when(F.col("n") == 1, F.col("anchor_id")).alias("anchor_id"), status.alias("anchor_status"))
 
 
+def source_fallback(fields: DataFrame, payload_nodes: DataFrame, route_nodes: DataFrame, proven: DataFrame, catalogue_complete: DataFrame) -> DataFrame:
+    """fields that no direct reference anchored, with fallback (what decided), anchor_id and anchor_status: the one node
+    scoped to the payload, whose flow is then read backwards; else the one wire field of the exact route, where the
+    source ends; else the node that the counterpart's shape proves. Several candidates at a step stop there.
+    payload_nodes, route_nodes: as payload_scoped_nodes and route_wire_nodes; proven: as reverse_proof."""
+    key = ["edge_id", "role", "field_path"]
+    count = lambda df, name: df.groupBy(*key).agg(F.count("*").alias(f"n_{name}"), F.min("value_node_id").alias(f"id_{name}"))
+    f = fields.join(count(payload_nodes, "payload"), key, "left").join(count(route_nodes, "route"), key, "left").join(proven.select(*key, F.col("anchor_id").alias("id_shape")), key, "left")
+    f = f.join(catalogue_complete.select(F.col("repo_id").alias("source_repository"), "complete"), "source_repository", "left")
+    payload, route = F.coalesce("n_payload", F.lit(0)), F.coalesce("n_route", F.lit(0))
+    whole = F.coalesce("complete", F.lit(False))
+    how = (
+        F.when(~whole, "incomplete_catalogue").when(payload == 1, "payload_instance").when(payload > 1, "ambiguous_payload_instance")
+        .when(route == 1, "route_wire").when(route > 1, "ambiguous_route_wire").when(F.col("id_shape").isNotNull(), "counterpart_shape").otherwise("none")
+    )
+    found = F.when(how == "payload_instance", F.col("id_payload")).when(how == "route_wire", F.col("id_route")).when(how == "counterpart_shape", F.col("id_shape"))
+    status = F.when(how == "route_wire", "terminal").when(how.isin("payload_instance", "counterpart_shape"), "resolved").otherwise("unresolved")
+    return f.select(*fields.columns, how.alias("fallback"), found.alias("anchor_id"), status.alias("anchor_status"))
+
+
+def resolve_side(fields: DataFrame, anchors: DataFrame, fallback: DataFrame) -> DataFrame:
+    """fields with anchor_id, anchor_basis and status of a side: the best anchor of a direct reference, else what the fallback
+    found. anchors: as best_anchor, fallback: as source_fallback or fallback_status, both by edge_id, role, field_path."""
+    key = ["edge_id", "role", "field_path"]
+    direct = anchors.select(*key, F.col("anchor_id").alias("direct_id"), F.col("basis").alias("direct_basis"))
+    how = F.col("fallback") if "fallback" in fallback.columns else F.lit("payload_scoped")
+    rest = fallback.select(*key, F.col("anchor_id").alias("rest_id"), F.col("anchor_status").alias("rest_status"), how.alias("rest_basis"))
+    out = fields.join(direct, key, "left").join(rest, key, "left")
+    named = F.col("direct_id").isNotNull()
+    return out.select(
+        *fields.columns, F.coalesce("direct_id", "rest_id").alias("anchor_id"), F.when(named, F.col("direct_basis")).otherwise(F.col("rest_basis")).alias("anchor_basis"),
+        F.when(named, "resolved").otherwise(F.coalesce("rest_status", F.lit("unresolved"))).alias("status"),
+    )
+
+
 def reverse_proof(candidates: DataFrame, flows: DataFrame) -> DataFrame:
     """Of the candidates for a field's leaf, those with a reverse path that visits the full field path; proven if one.
     candidates: edge_id, role, field_path, value_node_id; flows: anchor_id, visited (array of references)."""
@@ -270,11 +305,14 @@ def longest_prefix(paths: DataFrame, parents: DataFrame, separator: str = ".", p
 
 def shape_fields(shape: DataFrame, parents: DataFrame) -> DataFrame:
     """Published fields under expandable topology branches: collection parents get [], and the most specific topology
-    parent decides. shape: raw_path, is_collection; parents: field_path, expandable."""
+    parent decides. Each path's inner nodes are joined to the collections by equality, so nothing is broadcast.
+    shape: raw_path, is_collection; parents: field_path, expandable."""
     parts = F.split("raw_path", r"\.")
-    coll = shape.where("is_collection").agg(F.collect_set("raw_path").alias("cs"))
-    mark = lambda p, i: F.when((i < F.size(parts) - 1) & F.array_contains("cs", F.array_join(F.slice(parts, 1, i + 1), ".")), F.concat(p, F.lit("[]"))).otherwise(p)
-    s = shape.crossJoin(F.broadcast(coll)).select(F.array_join(F.transform(parts, mark), ".").alias("path"))  # one row
+    steps = shape.select("raw_path").distinct().select("raw_path", F.posexplode(parts).alias("i", "part"), F.size(parts).alias("n"))
+    steps = steps.withColumn("node", F.array_join(F.slice(parts, F.lit(1), F.col("i") + 1), "."))
+    marked = steps.join(shape.where("is_collection").select(F.col("raw_path").alias("node"), F.lit(True).alias("many")).distinct(), "node", "left")
+    name = F.concat("part", F.when(F.col("many") & (F.col("i") < F.col("n") - 1), "[]").otherwise(""))
+    s = marked.groupBy("raw_path").agg(F.array_sort(F.collect_list(F.struct("i", name.alias("p")))).alias("ps")).select(F.array_join(F.transform("ps", lambda x: x["p"]), ".").alias("path"))
     s = s.distinct().join(parents.select(F.col("field_path").alias("path")), "path", "left_anti")
     both = parents.select(F.col("field_path").alias("parent"), "expandable").unionByName(parents.select(F.concat("field_path", F.lit("[]")).alias("parent"), "expandable")).distinct()
     return longest_prefix(s, both).join(both, "parent").where("expandable").select("path", "parent")

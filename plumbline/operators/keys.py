@@ -15,13 +15,25 @@ def status_of(count: Column) -> Column:
     return F.when(count == 1, CONFIRMED).when(count > 1, AMBIGUOUS).otherwise(GAP)
 
 
+def candidate_counts(right: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys -> candidate_count (distinct values that are neither null nor empty) and candidate, where it is the only one."""
+    v = filled(F.col(value))
+    n = right.groupBy(*keys).agg(F.count_distinct(v).cast("int").alias("candidate_count"), F.min(v).alias("candidate"))
+    return n.withColumn("candidate", F.when(F.col("candidate_count") == 1, F.col("candidate")))
+
+
 def resolve_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """left with candidate_count, status and candidates (sorted distinct values of right per key). No row is
-    dropped or multiplied. The right side is aggregated before the join, so a hot key costs one row."""
-    found = right.groupBy(*keys).agg(sorted_set(F.col(value)).alias("candidates"))
-    out = left.join(found, list(keys), "left")
-    n = F.coalesce(F.size("candidates"), F.lit(0))
-    return out.withColumn("candidate_count", F.when(F.col("candidates").isNull(), 0).otherwise(n)).withColumn("status", status_of(F.col("candidate_count")))
+    """left with candidate_count, status and candidate (the value, if it is the only one of its key in right). No row is
+    dropped or multiplied. The right side is counted before the join, so a hot key costs one row, and no left row
+    carries a list; `candidate_lists` names the candidates, once per key."""
+    out = left.join(candidate_counts(right, keys, value), list(keys), "left")
+    out = out.withColumn("candidate_count", F.coalesce("candidate_count", F.lit(0)))
+    return out.withColumn("status", status_of(F.col("candidate_count")))
+
+
+def candidate_lists(right: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys -> candidates: their sorted distinct values, one row per key."""
+    return right.groupBy(*keys).agg(sorted_set(F.col(value)).alias("candidates"))
 
 
 def precedence(df: DataFrame, group: Sequence[str], flag: Column) -> DataFrame:

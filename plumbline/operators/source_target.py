@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, digest, first_filled, fold_case, is_placeholder, is_template, json_list, relation_parts
-from .keys import conflicts, first_wins, last_wins, require_none, sorted_set
+from .keys import ConflictError, conflicts, first_wins, last_wins, require_none, sorted_set
 
 #: fixed values: the columns of a row
 ROW_COLUMNS = (
@@ -57,7 +57,7 @@ def display_relation() -> Column:
 
 def flatten_mappings(mappings: DataFrame) -> DataFrame:
     """A row per source endpoint; the declared source_count must be the real one."""
-    require_none(mappings.where(F.col("source_count") != F.size("sources")).select("mapping_id"), "source_count differs from the sources")
+    require_none(mappings.where(F.col("source_count") != F.size("sources")).select("target_column", "source_count"), "source_count differs from the sources")
     return mappings.select("*", F.posexplode("sources").alias("source_position", "source")).drop("sources").select("*", "source.*").drop("source")
 
 
@@ -66,12 +66,68 @@ def driver_status(c: Column | str) -> Column:
     return F.when(s.isin("resolved", "complete", "confirmed"), "resolved").when(s.isin("partial", "ambiguous"), s).otherwise("unresolved")
 
 
+def check_expression_refs(sources: DataFrame) -> None:
+    """Every reference of a source stands inside its target's expressions, and an expression that names its output names the
+    source's target column. sources: target_column, refs (array<int>), expressions (array<struct<..., output_name>>)."""
+    n = F.coalesce(F.size("expressions"), F.lit(0))
+    named = lambda r: clean(F.try_element_at("expressions", r + 1)["output_name"])
+    wrong = lambda r: r.isNull() | (r < 0) | (r >= n) | ((named(r) != "") & (fold_case(named(r)) != fold_case("target_column")))
+    require_none(sources.where(F.exists(F.coalesce("refs", F.array().cast("array<int>")), wrong)).select("target_column", "refs"), "an expression reference is outside its target's expressions, or names another column")
+
+
 def linked_expressions(refs: Column, expressions: Column) -> Column:
-    """Expressions at the referenced positions with the stated output name, distinct. Positions out of bounds or
-    with another name are left out."""
-    found = F.transform(refs, lambda r: F.try_element_at(expressions, r["position"] + 1))
-    pairs = F.zip_with(refs, found, lambda r, e: F.when(fold_case(e["output_name"]) == fold_case(r["output_name"]), e))
-    return F.array_distinct(F.array_compact(pairs))
+    """The expressions at the referenced positions, distinct by text, kind, output name and status, first ones first.
+    `check_expression_refs` refuses positions out of bounds and other columns' expressions beforehand."""
+    plain = lambda e: F.struct(*[clean(e[c]).alias(c) for c in ("expression", "expression_kind", "output_name", "resolution_status")])
+    return F.array_distinct(F.transform(F.coalesce(refs, F.array().cast("array<int>")), lambda r: plain(F.element_at(expressions, r + 1))))
+
+
+def normalise_gaps(gaps: DataFrame) -> DataFrame:
+    """Published gaps as flat rows. gaps: target_relation, gap_id, owner_id, gap_kind, severity, message, details
+    struct<target_column, workflow_context_file, impact, mapping_basis, evidence>."""
+    d = F.col("details")
+    return gaps.select(
+        first_filled("gap_id", "owner_id").alias("gap_id"), clean(d["workflow_context_file"]).alias("workflow_context_file"), clean("target_relation").alias("workflow_target_logical_name"),
+        clean(d["target_column"]).alias("target_column"), first_filled("gap_kind", F.lit("unresolved")).alias("gap_kind"), first_filled(d["impact"], "severity").alias("impact"),
+        first_filled(d["mapping_basis"], "message").alias("mapping_basis"), d["evidence"].alias("evidence"),
+    )
+
+
+def require_knowledge(targets: DataFrame, *found: DataFrame) -> None:
+    """Targets without any mapping, gap or field at all mean that discovery and knowledge do not belong together."""
+    if not targets.isEmpty() and all(f.isEmpty() for f in found):
+        raise ConflictError("eligible targets, but no target-column knowledge: no fields, mappings or gaps")
+
+
+def collect_revision_inputs(candidates: DataFrame, value_sources: DataFrame, gaps: DataFrame) -> dict[str, DataFrame]:
+    """targets, mappings, gaps, fields and counts of a pinned revision: what its eligible targets' columns come from.
+
+    candidates: as eligible_targets, with recommended_target_relation and target_relation_recommendation_status.
+    value_sources: repo_id, logical_target_name, target_column, source_count, sources array<struct<mapping_id, refs, ...>>,
+    expressions array<struct<expression, expression_kind, output_name, resolution_status>>, input_ordinal.
+    gaps: repo_id, logical_target_name and what normalise_gaps reads, but for target_relation.
+    Counts, references, repeated ids and missing knowledge are checked; a column keeps its first spelling throughout."""
+    targets = eligible_targets(candidates).withColumn("target_relation", display_relation())
+    named = targets.select("repo_id", "target_key", "target_relation")
+    own = lambda df: df.withColumn("target_key", fold_case("logical_target_name")).join(named, ["repo_id", "target_key"])
+    rows = own(value_sources)
+    flat = flatten_mappings(rows.drop("logical_target_name", "target_key"))
+    check_expression_refs(flat)
+    flat = flat.withColumn("linked", linked_expressions(F.col("refs"), F.col("expressions"))).drop("refs", "expressions", "source_count", "source_position")
+    mappings = dedupe_mappings(flat).withColumnRenamed("target_relation", "workflow_target_logical_name")
+    first = mappings.groupBy(fold_case("workflow_target_logical_name").alias("__t"), fold_case("target_column").alias("__c")).agg(F.min_by(clean("target_column"), "input_ordinal").alias("__spelling"))
+
+    def spelled(df: DataFrame, relation: str) -> DataFrame:
+        out = df.withColumn("__t", fold_case(relation)).withColumn("__c", fold_case("target_column")).join(first, ["__t", "__c"], "left")
+        return out.withColumn("target_column", F.coalesce("__spelling", "target_column")).drop("__t", "__c", "__spelling")
+
+    key = ["gap_id", "workflow_target_logical_name", "target_column", "gap_kind"]
+    flat_gaps = spelled(normalise_gaps(own(gaps)), "workflow_target_logical_name").groupBy(*key).agg(*[F.min(c).alias(c) for c in ("workflow_context_file", "impact", "mapping_basis", "evidence")])
+    fields = spelled(rows.select(clean("target_relation").alias("target_relation"), clean("target_column").alias("target_column")), "target_relation").where("target_relation != '' and target_column != ''").distinct()
+    require_knowledge(targets, mappings, flat_gaps, fields)
+    n = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+    counts = n(candidates, "target_candidates_seen").union(n(targets, "eligible_targets")).union(n(mappings, "mapping_rows")).union(n(flat_gaps, "mapping_gaps")).union(n(fields, "target_fields"))
+    return {"targets": targets, "mappings": mappings, "gaps": flat_gaps, "fields": fields, "counts": counts}
 
 
 def dedupe_mappings(mappings: DataFrame) -> DataFrame:
@@ -256,7 +312,9 @@ def classify_gaps(gaps: DataFrame, environment: DataFrame, survivors: DataFrame,
         .otherwise(row(INSUFFICIENT, F.when(basis != "", basis).when(kind != "", F.concat(F.lit("unclassified_public_gap:"), kind)).otherwise("public_gap_without_bounded_resolution_evidence")))
     )
     mark = lambda prefix, xs: F.transform(F.coalesce(xs, no_texts()), lambda x: F.concat(F.lit(prefix), x))
-    refs = F.concat(F.coalesce("refs", no_texts()), mark("candidate_relation_id:", F.col("survivors")), mark("excluded_relation_id:", F.col("excluded")))
+    # The usage is named where its context was published.
+    usage = F.when(F.col("survivors").isNotNull() & (clean("usage_id") != ""), F.array(F.concat(F.lit("sql_column_usage_id:"), clean("usage_id")))).otherwise(no_texts())
+    refs = F.concat(F.coalesce("refs", no_texts()), usage, mark("candidate_relation_id:", F.col("survivors")), mark("excluded_relation_id:", F.col("excluded")))
     typed = g.withColumn("v", verdict).select(
         F.col("v.type").alias("gap_type"), "target_relation", "target_column", F.col("v.basis").alias("basis"), F.array_sort(F.array_distinct("v.ids")).alias("candidate_ids"),
         refs.alias("evidence_refs"), F.array(clean("gap_id")).alias("source_gap_ids"), F.array(kind).alias("source_gap_kinds"),

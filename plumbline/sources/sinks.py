@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean, digest, tri_state, verbatim
 from ..operators.keys import count_by
+from ..operators.replica import KEY_CONFIRMED, PROJECTED
 from ..operators.source_target import ROW_COLUMNS
 
 BOM = "﻿"
+#: fixed values: the columns that order rows first
+ROW_KEY = ("T-trg-schema", "T-trg", "T-trg-f", "T-src-schema", "T-src", "T-src-f-name")
 
 
 def quoted(c: Column, separator: str) -> Column:
@@ -42,7 +45,47 @@ def write_rows(df: DataFrame, path: str, descriptions: list[str]) -> None:
     """The 26-column table with its description row; a wrong width fails."""
     if len(descriptions) != len(ROW_COLUMNS) or list(df.columns) != list(ROW_COLUMNS):
         raise ValueError("a row has 26 columns in a fixed order")
-    write_csv(df, path, list(ROW_COLUMNS), [F.col(f"`{c}`") for c in ROW_COLUMNS], second_row=descriptions)
+    write_csv(df, path, list(ROW_COLUMNS), row_order(), second_row=descriptions)
+
+
+def row_order() -> list[Column]:
+    """Target schema, table and field, source schema, table and field, then the whole row."""
+    return [F.col(f"`{c}`") for c in (*ROW_KEY, *ROW_COLUMNS)]
+
+
+def compact_status(c: str, confirmed: str) -> Column:
+    return F.when(clean(c) == confirmed, "confirmed").otherwise(clean(c))
+
+
+def key_rows(tables: DataFrame) -> DataFrame:
+    """The key report of a replica model's tables."""
+    columns = F.when(clean("key_replica_column") == "", F.array().cast("array<string>")).otherwise(F.array(clean("key_replica_column")))
+    return tables.select(
+        F.col("replica_relation").alias("table"), columns.alias("logical_pk"), "key_kind", compact_status("key_status", KEY_CONFIRMED).alias("logical_pk_status"),
+        F.lit("not_observed").alias("physical_pk_status"), F.col("key_gap").alias("gap"),
+    )
+
+
+def link_rows(relationships: DataFrame) -> DataFrame:
+    """The link report of a replica model's relationships."""
+    key = F.when(clean("target_key") == "", F.array().cast("array<string>")).otherwise(F.array(clean("target_key")))
+    return relationships.select(
+        F.col("source_relation").alias("source_table"), F.col("relationship_field").alias("relationship"), F.col("target_relation").alias("target_table"), key.alias("target_logical_pk"),
+        compact_status("status", PROJECTED).alias("logical_link_status"), F.col("physical_join_status").alias("physical_fk_status"),
+    )
+
+
+def write_replica_model(model: dict[str, DataFrame], path: str) -> None:
+    """The five reports of a replica model as CSV files under path; lists are joined by semicolons."""
+    reports = {
+        "tables": (model["tables"], ["replica_relation", "fqcn", "key_annotation", "key_kind", "key_logical_field", "key_replica_column", "key_status", "key_gap"]),
+        "fields": (model["fields"], ["replica_relation", "replica_column", "fqcn", "field", "field_type", "field_description", "description_status", "mapping_status", "gap"]),
+        "relationships": (model["relationships"], ["source_relation", "relationship_field", "relationship_kind", "target_relation", "target_key", "status", "physical_join_status", "gap"]),
+        "keys": (key_rows(model["tables"]), ["table", "logical_pk", "key_kind", "logical_pk_status", "physical_pk_status", "gap"]),
+        "links": (link_rows(model["relationships"]), ["source_table", "relationship", "target_table", "target_logical_pk", "logical_link_status", "physical_fk_status"]),
+    }
+    for name, (df, columns) in reports.items():
+        write_csv(df, f"{path.rstrip('/')}/{name}", columns, [F.col(c) for c in columns])
 
 
 def audit(gaps: DataFrame, rows: DataFrame, retrieval: dict | None = None) -> str:
@@ -86,7 +129,7 @@ def graph_text(lines: DataFrame, direction: str = "LR") -> str:
 
 def write_new_keys(results: DataFrame, path: str, key: list[str]) -> int:
     """Append the results whose key is not there yet; a key that is there with another content fails. Returns the
-    number of new rows. Each run's files appear together, so a repeated run changes nothing."""
+    number of new rows. A repeated run changes nothing; two writers at once may both append a key, so a path has one writer."""
     spark = results.sparkSession
     hashed = results.withColumn("content_hash", digest(F.to_json(F.struct(*sorted(results.columns)), {"ignoreNullFields": "false"})))
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
