@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,23 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import digest, json_list, joined_id
 from ..operators import bridge, compare, graph, interaction, keys, model_lineage, orchestration, ranking, reconstruct, replica, search, source_target, sqlfacts
+from .registry import QUERIES, SQL, query  # noqa: F401
 from .tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def text(c: str) -> F.Column:
     return F.col(c).cast("string")
 
@@ -101,32 +89,41 @@ def cross_revision_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {PRODUCERS_SQL},
-ends as (select distinct psys sys, pflow flow from hit join st using (trigger_id) where ok and status = 'resolved_unique' and cast(trigger_id as bigint) % 61 = 0)
-select cast(s_nationkey as varchar) producer_system, cast(s_suppkey as varchar) producer_flow_id from supplier
-where not exists (select 1 from ends where sys = cast(s_nationkey as varchar) and flow = cast(s_suppkey as varchar))""")
+ends as (select psys sys, pflow flow from hit where ok union select cast(c_nationkey as varchar), cast(o_custkey as varchar) from orders join customer on o_custkey = c_custkey),
+flows as (select cast(s_nationkey as varchar) sys, cast(s_suppkey as varchar) flow from supplier union select cast(c_nationkey as varchar), cast(c_custkey as varchar) from customer
+  union select cast(p_size % 25 as varchar), cast(p_partkey as varchar) from part)
+select sys producer_system, flow producer_flow_id from flows where not exists (select 1 from ends where ends.sys = flows.sys and ends.flow = flows.flow)""")
 def isolated_flows(spark: SparkSession, d: str) -> DataFrame:
-    """SNK3: flows that take part in no dependency."""
+    """SNK3: of the dependency table, the flows (suppliers, customers and parts) that take part in no dependency or gap."""
     p = producers(spark, d)
-    e = orchestration.cross_edges(orchestration.resolve_triggers(triggers(spark, d), p), p)
-    flows = table(spark, d, "supplier").select(text("s_nationkey").alias("system_id"), F.lit("r1").alias("revision_id"), text("s_suppkey").alias("flow_id"))
-    # Customers' flows are no supplier flows, so only producer ends matter; few triggers, so that some flows stay alone.
-    ends = e.where("status = 'resolved_unique' and cast(trigger_id as bigint) % 61 = 0").select(F.col("producer_system").alias("system_id"), F.col("producer_flow_id").alias("flow_id")).distinct()
-    return flows.join(ends, ["system_id", "flow_id"], "left_anti").select(F.col("system_id").alias("producer_system"), F.col("flow_id").alias("producer_flow_id"))
+    r = orchestration.resolve_triggers(triggers(spark, d), p)
+    flow = lambda t, n, k: table(spark, d, t).select(n.cast("string").alias("system_id"), F.lit("r1").alias("revision_id"), text(k).alias("flow_id"))
+    flows = flow("supplier", F.col("s_nationkey"), "s_suppkey").union(flow("customer", F.col("c_nationkey"), "c_custkey")).union(flow("part", F.col("p_size") % 25, "p_partkey")).distinct()
+    t = orchestration.dependency_table(orchestration.cross_edges(r, p), orchestration.trigger_gaps(r), flows)
+    return t.where("row_kind = 'flow'").select("producer_system", "producer_flow_id")
 
 
 # ---- building blocks
 
 
+def nation_suppliers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 4).alias("rest"), text("s_suppkey").alias("id"))
+
+
+@query("select s_nationkey nation, s_suppkey % 4 rest, array_to_string(list_sort(list(cast(s_suppkey as varchar))), ',') candidates from supplier group by 1, 2")
+def candidate_lists(spark: SparkSession, d: str) -> DataFrame:
+    """A1, A4: the candidates of each key, once."""
+    return keys.candidate_lists(nation_suppliers(spark, d), ["nation", "rest"], "id").select("nation", "rest", F.array_join("candidates", ",").alias("candidates"))
+
+
 @query("""
-select c_custkey, case when n = 1 then 'confirmed' when n > 1 then 'ambiguous' else 'gap' end status, cast(n as int) candidate_count, coalesce(ids, '') candidates from (
-  select c_custkey, count(s_suppkey) n, array_to_string(list_sort(list(lpad(cast(s_suppkey as varchar), 8, '0')) filter (where s_suppkey is not null)), ',') ids
+select c_custkey, case when n = 1 then 'confirmed' when n > 1 then 'ambiguous' else 'gap' end status, cast(n as int) candidate_count, case when n = 1 then one end candidate from (
+  select c_custkey, count(distinct s_suppkey) n, min(cast(s_suppkey as varchar)) one
   from customer left join supplier on s_nationkey = c_nationkey and s_suppkey % 4 = c_custkey % 4 group by 1)""")
 def resolve_unique_status(spark: SparkSession, d: str) -> DataFrame:
-    """A1: customers' suppliers by nation and residue, counted."""
+    """A1: customers' suppliers by nation and residue, counted; named where there is just one."""
     left = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 4).alias("rest"))
-    right = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 4).alias("rest"), F.lpad(text("s_suppkey"), 8, "0").alias("id"))
-    r = keys.resolve_unique(left, right, ["nation", "rest"], "id")
-    return r.select("c_custkey", "status", F.col("candidate_count").cast("int").alias("candidate_count"), F.coalesce(F.array_join("candidates", ","), F.lit("")).alias("candidates"))
+    return keys.resolve_unique(left, nation_suppliers(spark, d), ["nation", "rest"], "id").select("c_custkey", "status", "candidate_count", "candidate")
 
 
 @query("select o_custkey, o_orderkey, o_orderstatus from orders qualify o_orderstatus = 'F' or not bool_or(o_orderstatus = 'F') over (partition by o_custkey)")
@@ -185,12 +182,12 @@ def containment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def with_checkpoints(spark: SparkSession) -> None:
-    """Traversals checkpoint to the shared folder; only where the cluster names none (tests), one is set."""
+    """Traversals checkpoint to the shared folder; only a local master (tests) may do without one that the cluster names."""
     if not spark.sparkContext.getCheckpointDir():
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            import tempfile
-
+            if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             root = tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(root)
 
@@ -205,34 +202,42 @@ def closure_reachability(spark: SparkSession, d: str) -> DataFrame:
     return graph.closure(containment(spark, d), seeds)
 
 
-HOPS_SQL = """hops as (
-  select 'n' || c_nationkey src, 'p' || (l_partkey % 40) dst from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where l_linenumber = 1 and l_quantity > 48
-  union select 'p' || (l_partkey % 40), 's' || (l_suppkey % 40) from lineitem where l_linenumber = 2 and l_quantity > 49)"""
-
-
-@query(f"""with {HOPS_SQL}, p as (select a.src start, b.dst "end", a.dst via from hops a join hops b on a.dst = b.src where a.src like 'n%')
+@query("""
+with p as (select distinct 'o' || l_orderkey start, 's' || l_suppkey via, 'n' || s_nationkey "end" from lineitem join supplier on s_suppkey = l_suppkey)
 select start, "end", count(*) path_count, case when count(*) = 1 then 'confirmed' else 'ambiguous' end status, min(start || '>' || via || '>' || "end") first_path from p group by 1, 2""")
 def shortest_unique_path(spark: SparkSession, d: str) -> DataFrame:
-    """Nation to supplier group over part groups: is the shortest way the only one?"""
+    """Order to supplier's nation: is the shortest way the only one?"""
     with_checkpoints(spark)
-    line = table(spark, d, "lineitem")
-    name = lambda p, c: F.concat(F.lit(p), (F.col(c) % 40).cast("string"))
-    one = line.where("l_linenumber = 1 and l_quantity > 48").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    e = one.select(F.concat(F.lit("n"), text("c_nationkey")).alias("src"), name("p", "l_partkey").alias("dst")).union(line.where("l_linenumber = 2 and l_quantity > 49").select(name("p", "l_partkey"), name("s", "l_suppkey"))).distinct()
-    starts = e.where("src like 'n%'").select(F.col("src").alias("node")).distinct()
-    found = graph.paths(e, starts, max_hops=2, max_paths=1_000_000, max_branching=1_000_000).where("end like 's%'")
+    name = lambda p, c: F.concat(F.lit(p), text(c))
+    line = table(spark, d, "lineitem").select(name("o", "l_orderkey").alias("src"), name("s", "l_suppkey").alias("dst")).distinct()
+    e = line.union(table(spark, d, "supplier").select(name("s", "s_suppkey"), name("n", "s_nationkey")))
+    starts = line.select(F.col("src").alias("node")).distinct()
+    found = graph.paths(e, starts, max_hops=2, max_paths=1_000_000, max_branching=1_000_000).where("end like 'n%'")
     best = graph.shortest_unique(found, ["start", "end"])
     return best.groupBy("start", "end").agg(F.max("path_count").alias("path_count"), F.max("status").alias("status"), F.min(F.array_join("path", ">")).alias("first_path"))
 
 
 @query("""
-select l_orderkey, l_partkey, cast(sum(w) as bigint) surplus from (
-  select l_orderkey, l_partkey, 1 w from lineitem where l_linenumber <= 3 union all select l_orderkey, l_partkey, -1 from lineitem where l_returnflag <> 'R')
+with e as (select distinct 'o' || l_orderkey src, 's' || l_suppkey dst from lineitem where l_returnflag in ('A', 'N')),
+r as (select *, row_number() over (partition by dst order by src) n, count(*) over (partition by dst) c from e)
+select dst start, src "end", 1 hops, c > 50 truncated from r where n <= 50""")
+def bounded_reverse_paths(spark: SparkSession, d: str) -> DataFrame:
+    """SRC7: from suppliers back to orders, over lines of a probable confidence or better; 50 branches are the feature."""
+    with_checkpoints(spark)
+    sure = F.when(F.col("l_returnflag") == "A", "confirmed").when(F.col("l_returnflag") == "N", "probable").otherwise("candidate")
+    e = table(spark, d, "lineitem").select(F.concat(F.lit("o"), text("l_orderkey")).alias("src"), F.concat(F.lit("s"), text("l_suppkey")).alias("dst"), sure.alias("confidence"))
+    starts = table(spark, d, "supplier").select(F.concat(F.lit("s"), text("s_suppkey")).alias("node"))
+    return graph.attribute_paths(e, starts, graph.REVERSE, max_hops=1).select("start", "end", "hops", "truncated")
+
+
+@query("""
+select l_orderkey, flag, cast(sum(w) as bigint) surplus from (
+  select l_orderkey, l_returnflag flag, 1 w from lineitem union all select l_orderkey, case when l_discount > 0.05 then 'R' else l_returnflag end, -1 from lineitem)
 group by 1, 2 having sum(w) <> 0""")
 def multiset_diff(spark: SparkSession, d: str) -> DataFrame:
-    """V2: two projections of lineitem, repeats counted."""
+    """V2: two readings of lineitem, repeats counted."""
     line = table(spark, d, "lineitem")
-    return compare.multiset_difference(line.where("l_linenumber <= 3").select("l_orderkey", "l_partkey"), line.where("l_returnflag <> 'R'").select("l_orderkey", "l_partkey"))
+    return compare.multiset_difference(line.select("l_orderkey", F.col("l_returnflag").alias("flag")), line.select("l_orderkey", F.when(F.col("l_discount") > 0.05, "R").otherwise(F.col("l_returnflag")).alias("flag")))
 
 
 # ---- source to target
@@ -404,7 +409,7 @@ def row_hash_provenance_merge(spark: SparkSession, d: str) -> DataFrame:
 # ---- model lineage and replica
 
 LINEAGE_SQL = """
-req as (select 'm.T' || p_brand fqcn, 'f' || p_size field, count(*) n, min(p_type) rel, min(case when p_partkey % 11 = 0 then 'observed_candidate' else 'observed_exact' end) ms from part where p_partkey % 3 = 0 group by 1, 2),
+req as (select 'm.T' || p_brand fqcn, 'f' || p_size field, count(*) n, min(p_type) rel, min(case when p_partkey % 11 = 0 then 'observed_candidate' else 'observed_exact' end) ms from part group by 1, 2),
 want as (select distinct 'm.T' || p_brand fqcn, 'f' || p_size field from part),
 gated as (
   select w.fqcn, w.field, case when r.n = 1 and ms = 'observed_exact' then 'rep.' || rel end replica_relation, case when r.n = 1 and ms = 'observed_exact' then 'col_' || w.field end replica_column,
@@ -436,7 +441,7 @@ def relation_variant_lineage(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     brand, field, kind = F.concat(F.lit("m.T"), F.col("p_brand")), F.concat(F.lit("f"), text("p_size")), F.col("p_type")
     requests = p.select(brand.alias("fqcn"), field.alias("field")).distinct()
-    m = p.where("p_partkey % 3 = 0").select(brand.alias("fqcn"), field.alias("field"), F.concat(F.lit("rep."), kind).alias("relation"), F.concat(F.lit("col_"), field).alias("column"), F.when(k % 11 == 0, "observed_candidate").otherwise("observed_exact").alias("mapping_status"))
+    m = p.select(brand.alias("fqcn"), field.alias("field"), F.concat(F.lit("rep."), kind).alias("relation"), F.concat(F.lit("col_"), field).alias("column"), F.when(k % 11 == 0, "observed_candidate").otherwise("observed_exact").alias("mapping_status"))
     terminal = F.concat(F.lit("rep."), F.upper(kind), F.when(k % 3 == 0, "").when(k % 3 == 1, "_hist").otherwise("_DELTA"))
     target = F.concat(F.lit("mart."), F.col("p_brand"))
     lineage = p.select(
@@ -465,11 +470,11 @@ def column_ambiguity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with t as (select distinct c_nationkey s, s_nationkey t from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where l_quantity > 45)
+with t as (select distinct c_nationkey s, s_nationkey t from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey)
 select s relation, 'outgoing' direction, t other from t union all select t, 'incoming', s from t where s <> t""")
 def direction_index(spark: SparkSession, d: str) -> DataFrame:
     """Nations that trade, seen from both ends."""
-    j = table(spark, d, "lineitem").where("l_quantity > 45").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return replica.direction_index(j.select(F.col("c_nationkey").alias("source_relation"), F.col("s_nationkey").alias("target_relation")).distinct())
 
 
@@ -486,10 +491,12 @@ from nation left join a on a.type_id = n_nationkey left join cols on cols.type_i
 def replica_keys(spark: SparkSession, d: str) -> DataFrame:
     """Nations as tables, supplier-derived key annotations, customer-derived field mappings."""
     tables = table(spark, d, "nation").select(F.col("n_nationkey").alias("type_id"), text("n_nationkey").alias("fqcn"), text("n_nationkey").alias("entity_mapping_id"))
-    s = table(spark, d, "supplier").where("s_suppkey % 10 < 4").select(F.col("s_nationkey").alias("type_id"), (F.col("s_suppkey") % 3).alias("k"), F.concat(F.lit("f"), (F.col("s_suppkey") % 6).cast("string")).alias("f")).distinct()
+    # most suppliers carry an annotation that names no key, most customers a mapping that is no exact one
+    keyed, exact = F.col("s_suppkey") % 10 < 4, F.col("c_custkey") % 97 == 0
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("type_id"), F.when(keyed, F.col("s_suppkey") % 3).otherwise(3).alias("k"), F.concat(F.lit("f"), (F.col("s_suppkey") % 6).cast("string")).alias("f")).distinct()
     arg = F.struct(F.when(F.col("k") < 2, "id").otherwise("code").alias("name"), F.lit("").alias("raw"), F.col("f").alias("literal_value"))
-    ann = s.select("type_id", F.element_at(F.array(F.lit("MetaEntity"), F.lit("MetaRootEntity"), F.lit("MetaDictionary")), (F.col("k") + 1).cast("int")).alias("annotation_name"), F.array(arg).alias("arguments"))
-    maps = table(spark, d, "customer").where("c_custkey % 97 = 0").select(text("c_nationkey").alias("logical_type_name"), text("c_nationkey").alias("entity_mapping_id"), F.concat(F.lit("f"), (F.col("c_custkey") % 8).cast("string")).alias("logical_field_name"), F.lit("col").alias("physical_column_name"), F.lit("observed_exact").alias("mapping_status"))
+    ann = s.select("type_id", F.element_at(F.array(*map(F.lit, ("MetaEntity", "MetaRootEntity", "MetaDictionary", "MetaNote"))), (F.col("k") + 1).cast("int")).alias("annotation_name"), F.array(arg).alias("arguments"))
+    maps = table(spark, d, "customer").select(text("c_nationkey").alias("logical_type_name"), text("c_nationkey").alias("entity_mapping_id"), F.concat(F.lit("f"), (F.col("c_custkey") % 8).cast("string")).alias("logical_field_name"), F.lit("col").alias("physical_column_name"), F.when(exact, "observed_exact").otherwise("observed_candidate").alias("mapping_status"))
     effective = spark.createDataFrame([], "type_id int, field_name string, field_id string")
     return replica.map_keys(tables, ann, effective, maps).select("type_id", "key_status", "key_gap")
 
@@ -498,30 +505,45 @@ def replica_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with l as (select n_nationkey k, s_suppkey, s_suppkey % 3 = 0 proven from supplier join nation on s_nationkey = n_nationkey),
-b as (select k, bool_or(proven) any_p from l group by 1), ll as (select l.* from l join b using (k) where proven or not any_p),
-r as (select c_nationkey k, c_custkey from customer where c_mktsegment = 'BUILDING' and c_acctbal < -800)
-select coalesce(ll.k, r.k) nationkey, s_suppkey, c_custkey, case when s_suppkey is null then 'not_proven' when proven then 'proven' else 'crossing_observed_egress_not_proven' end left_status,
-       case when c_custkey is null then 'not_proven' else 'proven' end right_status
-from ll full outer join r on ll.k = r.k where c_custkey is not null or proven""")
+with l as (select o_custkey k, o_orderkey, o_orderstatus = 'F' proven from orders),
+b as (select k, bool_or(proven) any_p from l group by 1), ll as (select l.* from l join b using (k) where proven or not any_p)
+select coalesce(ll.k, s_suppkey) k, o_orderkey, s_name, case when o_orderkey is null then 'not_proven' when proven then 'proven' else 'crossing_observed_egress_not_proven' end left_status,
+       case when s_name is null then 'not_proven' else 'proven' end right_status
+from ll full outer join supplier on ll.k = s_suppkey where s_name is not null or proven""")
 def two_branch_outer_view(spark: SparkSession, d: str) -> DataFrame:
-    """K4: per nation, suppliers (some proven) against indebted builders."""
-    left = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nationkey"), "s_suppkey", (F.col("s_suppkey") % 3 == 0).alias("proven"))
-    right = table(spark, d, "customer").where("c_mktsegment = 'BUILDING' and c_acctbal < -800").select(F.col("c_nationkey").alias("nationkey"), "c_custkey")
-    return bridge.two_branches(left, right, "nationkey", "proven").select("nationkey", "s_suppkey", "c_custkey", "left_status", "right_status")
+    """K4: orders (finished ones are proven) by customer number, against suppliers of the number."""
+    left = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", (F.col("o_orderstatus") == "F").alias("proven"))
+    right = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_name")
+    return bridge.two_branches(left, right, "k", "proven").select("k", "o_orderkey", "s_name", "left_status", "right_status")
 
 
 @query("""
-with e as (select o_orderkey, o_custkey % 300 k, o_orderstatus st, o_orderpriority pr from orders where o_orderkey % 5 = 0),
-r as (select o_orderkey rk, o_custkey % 300 k, o_orderstatus st, o_orderpriority pr from orders where o_orderkey % 25 = 1),
-t1 as (select o_orderkey, rk, 1 tier from e join r using (k, st, pr)),
-t2 as (select o_orderkey, rk, 2 tier from (select * from e where not exists (select 1 from r where r.k = e.k and r.st = e.st and r.pr = e.pr)) e join r using (k, st))
-select * from t1 union all select * from t2 union all select o_orderkey, null, 0 from e where not exists (select 1 from r where r.k = e.k and r.st = e.st)""")
+with e as (select c_custkey endpoint, c_mktsegment t, 'n' || c_nationkey f, 'p' || (c_custkey % 7) p, case when c_custkey % 3 = 0 then '' else 'a' end attr, case when c_custkey % 6 = 0 then 'g' else '' end gap from customer),
+seg as (select list_sort(list(distinct c_mktsegment)) xs from customer),
+l as (select s_suppkey lin, xs[cast(s_suppkey % len(xs) + 1 as int)] t, 'n' || s_nationkey f, 'p' || (s_suppkey % 7) p, s_suppkey % 4 <> 0 good, case when s_suppkey % 8 = 4 then 'lost' else '' end gap from supplier, seg),
+seen as (select t, f, to_json(list_sort(list(distinct p))) ps from l where good group by 1, 2),
+lost as (select t, f, min_by(gap, lin) gap from l where not good group by 1, 2),
+one as (select e.*, lin, l.gap rgap, 1 tier from e join l using (t, f, p) where good),
+two as (select e.*, lin, l.gap rgap, 2 tier from e join l using (t, f) where good and not exists (select 1 from one where one.endpoint = e.endpoint)),
+rows as (select * from one union all select * from two union all select e.*, null, null, 0 from e where not exists (select 1 from one where one.endpoint = e.endpoint) and not exists (select 1 from two where two.endpoint = e.endpoint)),
+x as (select rows.*, 'right_context_not_exact:' || cast(ps as varchar) inexact, coalesce(nullif(lost.gap, ''), 'profile_lineage_not_confirmed') missing from rows left join seen using (t, f) left join lost using (t, f))
+select endpoint, lin, case when attr = '' then 'unresolved_kpk_egress' when tier = 1 then 'confirmed_exact_ucp_semantic_path_and_kpk_egress' when tier = 2 then 'context_ambiguous' else 'unresolved_profile_lineage' end join_status,
+  case when tier = 1 and attr <> '' then rgap when tier = 1 then coalesce(nullif(gap, ''), 'kpk_consumer_attribute_not_observed') when tier = 2 and attr <> '' then inexact
+       else concat_ws(';', nullif(gap, ''), case when tier = 2 then inexact else missing end) end gap from x""")
 def tiered_exact_composition(spark: SparkSession, d: str) -> DataFrame:
-    """K2: the strictest of two matches."""
-    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 300).alias("k"), F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("pr"))
-    right = o.where("o_orderkey % 25 = 1").withColumnRenamed("o_orderkey", "rk")
-    return bridge.best_tier(o.where("o_orderkey % 5 = 0"), right, [["k", "st", "pr"], ["k", "st"]], ["o_orderkey"]).select("o_orderkey", "rk", "tier")
+    """K2: customers as evidence, suppliers as lineage: the same full path, else the same field, else the first gap."""
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    name = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    e = table(spark, d, "customer").select(
+        k.alias("endpoint"), F.col("c_mktsegment").alias("source_type"), name("n", F.col("c_nationkey")).alias("source_field"), name("p", k % 7).alias("source_path"),
+        F.when(k % 3 == 0, "").otherwise("a").alias("egress_attribute"), F.when(k % 6 == 0, "g").otherwise("").alias("egress_gap"),
+    )
+    segments = F.broadcast(table(spark, d, "customer").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("xs")))  # one row of a handful of segments
+    lineage = table(spark, d, "supplier").crossJoin(segments).select(
+        s.alias("lin"), F.element_at("xs", (s % F.size("xs") + 1).cast("int")).alias("source_type"), name("n", F.col("s_nationkey")).alias("source_field"), name("p", s % 7).alias("source_path"),
+        F.when(s % 4 == 0, "gap").otherwise("confirmed").alias("status"), F.when(s % 8 == 4, "lost").otherwise("").alias("gap"), s.alias("input_ordinal"),
+    )
+    return bridge.compose(e, lineage).select("endpoint", "lin", "join_status", "gap")
 
 
 @query("""
@@ -561,7 +583,7 @@ def object_search_exact_substring(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def object_search_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    """Q2, F1: the edit-distance score, our own metric."""
+    """Q2, F1: the weighted ratio of every name."""
     r = table(spark, d, "customer").select(F.lit("customer").alias("record_kind"), text("c_custkey").alias("record_id"), F.col("c_name").alias("name"), F.lit("").alias("file"))
     return search.search(r, "Custmer#000000100", 20).select("record_kind", "record_id", "name", "match_kind", "score", "rank", "truncated")
 
@@ -584,14 +606,14 @@ def unique_identity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with s as (select l_orderkey k, 'l' || l_linenumber || '-' || l_partkey || '-' || l_suppkey id, case l_returnflag when 'A' then 'a' else 'b' end kind from lineitem),
-seen as (select distinct s.* from s join orders on k = o_orderkey where o_orderstatus = 'P')
-select kind record_kind, count(*) record_count from (select s.* from s where exists (select 1 from orders where o_orderkey = k and o_orderstatus = 'P')) group by 1""")
+with s as (select l_orderkey k, 'l' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_orderkey id, case l_returnflag when 'A' then 'a' else 'b' end kind from lineitem),
+seen as (select * from s where exists (select 1 from orders where o_orderkey = k and o_orderstatus = 'P'))
+select kind record_kind, count(*) record_count, array_to_string(list_sort(list(id) filter (where n <= 3)), ',') sample from (select *, row_number() over (partition by kind order by id) n from seen) group by 1""")
 def execution_context(spark: SparkSession, d: str) -> DataFrame:
-    """Q12: lines of open orders by kind."""
-    rec = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.concat(F.lit("l"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey")).alias("record_id"), F.when(F.col("l_returnflag") == "A", "a").otherwise("b").alias("record_kind"))
+    """Q12: lines of open orders by kind, with the first three of each."""
+    rec = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.concat(F.lit("l"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", "l_orderkey")).alias("record_id"), F.when(F.col("l_returnflag") == "A", "a").otherwise("b").alias("record_kind"))
     seen = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("key"))
-    return search.execution_context(rec, seen).select("record_kind", "record_count")
+    return search.execution_context(rec, seen).select("record_kind", "record_count", F.array_join("sample", ",").alias("sample"))
 
 
 @query("""
@@ -613,13 +635,14 @@ def rank_contiguity_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with o as (select l_orderkey, list(distinct l_suppkey % 20) part from lineitem group by 1), w as (select list(distinct s_suppkey % 20) whole from supplier where s_suppkey % 20 < 17)
+with o as (select l_orderkey, list(distinct case when l_returnflag = 'R' then 20 + l_linenumber else l_suppkey % 20 end) part from lineitem group by 1), w as (select list(distinct s_suppkey % 20) whole from supplier)
 select l_orderkey, len(list_filter(part, lambda x: not list_contains(whole, x))) = 0 subset from o, w""")
 def evidence_subset_check(spark: SparkSession, d: str) -> DataFrame:
     """R2: is an order's evidence among what is supplied?"""
-    whole = table(spark, d, "supplier").where("s_suppkey % 20 < 17").agg(F.collect_set(F.col("s_suppkey") % 20).alias("whole"))
-    part = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_suppkey") % 20).alias("part"))
-    return part.crossJoin(F.broadcast(whole)).select("l_orderkey", ranking.is_subset(F.col("part"), F.col("whole")).alias("subset"))  # one row
+    whole = table(spark, d, "supplier").agg(F.collect_set(F.col("s_suppkey") % 20).alias("whole"))
+    used = F.when(F.col("l_returnflag") == "R", 20 + F.col("l_linenumber").cast("long")).otherwise(F.col("l_suppkey") % 20)
+    part = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(used).alias("part"))
+    return part.crossJoin(F.broadcast(whole)).select("l_orderkey", ranking.is_subset(F.col("part"), F.col("whole")).alias("subset"))  # one row of at most 20 values
 
 
 @query("""
@@ -647,31 +670,44 @@ def best_anchor_argmax(spark: SparkSession, d: str) -> DataFrame:
     return interaction.best_anchor(tries, flows, ["user_id"]).select("user_id", "attempt", "longest", "leaving", "path_count")
 
 
+def planned_sources(spark: SparkSession, d: str) -> DataFrame:
+    k, o = F.col("c_custkey"), F.col("o_custkey")
+    url = F.when(k % 5 == 0, "").when(k % 7 == 0, F.concat(F.lit("ssh://g/"), k.cast("string"))).otherwise(F.concat(F.lit("https://g/"), k.cast("string")))
+    s = table(spark, d, "customer").select(k.alias("repository_id"), url.alias("repository_url"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("c"), (F.col("c_nationkey") % 3).cast("string"))).alias("resolved_commit"))
+    p = table(spark, d, "orders").select(
+        F.concat(F.lit("https://g/"), o.cast("string")).alias("repository_url"), F.concat(F.lit("c"), (F.col("o_orderkey") % 3).cast("string")).alias("resolved_commit"), F.col("o_orderstatus").alias("system_id"),
+        F.col("o_orderkey").alias("ordinal"), text("o_orderkey").alias("revision_id"),
+    )
+    return interaction.source_plan(interaction.bundle_plan(interaction.published_matches(s, p)))
+
+
 @query("""
-with s as (select c_custkey repository_id, case when c_custkey % 5 = 0 then '' when c_custkey % 7 = 0 then 'ssh://g/' || (c_custkey % 40) else 'https://g/' || (c_custkey % 40) end url, case when c_custkey % 3 = 0 then '' else 'c' || (c_custkey % 11) end commit_ from customer),
-p as (select 'https://g/' || (o_custkey % 40) url, 'c' || (o_custkey % 11) commit_, o_custkey % 2 sys from orders where o_orderkey % 400 = 1),
-m as (select url, commit_, count(distinct sys) n from p group by 1, 2)
+with s as (select c_custkey repository_id, case when c_custkey % 5 = 0 then '' when c_custkey % 7 = 0 then 'ssh://g/' || c_custkey else 'https://g/' || c_custkey end url, case when c_custkey % 3 = 0 then '' else 'c' || (c_nationkey % 3) end commit_ from customer),
+m as (select 'https://g/' || o_custkey url, 'c' || (o_orderkey % 3) commit_, count(distinct o_orderstatus) n from orders group by 1, 2)
 select repository_id, coalesce(n, 0) match_count, case when n = 1 then 'reuse_published_exact_revision' when n > 1 then 'resolve_published_revision_ambiguity' when url = '' then 'blocked_missing_git_location'
   when url not like 'https://%' then 'blocked_unsupported_git_scheme' when commit_ = '' then 'resolve_git_commit_then_check_publication' else 'prepare_missing_knowledge' end next_action
 from s left join m using (url, commit_)""")
 def source_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Customers as repositories, orders as published revisions."""
-    k = F.col("c_custkey")
-    tail = (k % 40).cast("string")
-    url = F.when(k % 5 == 0, "").when(k % 7 == 0, F.concat(F.lit("ssh://g/"), tail)).otherwise(F.concat(F.lit("https://g/"), tail))
-    s = table(spark, d, "customer").select(k.alias("repository_id"), url.alias("repository_url"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("c"), (k % 11).cast("string"))).alias("resolved_commit"))
-    o = F.col("o_custkey")
-    p = table(spark, d, "orders").where("o_orderkey % 400 = 1").select(F.concat(F.lit("https://g/"), (o % 40).cast("string")).alias("repository_url"), F.concat(F.lit("c"), (o % 11).cast("string")).alias("resolved_commit"), (o % 2).cast("string").alias("system_id"), F.col("o_orderkey").alias("ordinal"), text("o_orderkey").alias("revision_id"))
-    r = interaction.source_plan(interaction.bundle_plan(interaction.published_matches(s, p)))
-    return r.select("repository_id", F.col("match_count").cast("long").alias("match_count"), "next_action")
+    """Customers as repositories, orders as published revisions of systems (their statuses)."""
+    return planned_sources(spark, d).select("repository_id", F.col("match_count").cast("long").alias("match_count"), "next_action")
+
+
+@query("""
+with s as (select c_custkey, case when c_custkey % 5 = 0 then '' when c_custkey % 7 = 0 then 'ssh://g/' || c_custkey else 'https://g/' || c_custkey end url, case when c_custkey % 3 = 0 then '' else 'c' || (c_nationkey % 3) end commit_ from customer),
+m as (select 'https://g/' || o_custkey url, 'c' || (o_orderkey % 3) commit_, count(distinct o_orderstatus) n from orders group by 1, 2)
+select count(*) selected_repositories, count(*) filter (where n = 1) already_published_exact, count(*) filter (where n is null or n <> 1) not_confirmed_ready, count(*) filter (where commit_ = '') unverified_source_snapshots
+from s left join m using (url, commit_)""")
+def source_plan_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The plan in numbers."""
+    return interaction.plan_summary(planned_sources(spark, d))
 
 
 @query("""
-with h as (select 'e' || (o_orderkey % 50) edge_id, o_custkey % 2 side, 'f' || (o_orderkey % 13) || '.' || o_orderpriority path from orders where o_orderkey % 3 = 0)
+with h as (select 'e' || (o_orderkey % 50) edge_id, o_custkey % 2 side, 'f' || (o_orderkey % 13) || '.' || o_orderpriority path from orders)
 select distinct edge_id, path field_path, 'a' source_repository, 'b' target_repository from h""")
 def boundary_field_probes(spark: SparkSession, d: str) -> DataFrame:
     """Orders as half-wires; a probe per edge and observed path of either side."""
-    o = table(spark, d, "orders").where("o_orderkey % 3 = 0")
+    o = table(spark, d, "orders")
     none = F.array().cast("array<string>")
     h = o.select(
         F.concat(F.lit("e"), (F.col("o_orderkey") % 50).cast("string")).alias("edge_id"), F.when(F.col("o_custkey") % 2 == 0, "a").otherwise("b").alias("repository_id"), F.col("o_orderkey").alias("position"), F.lit("i").alias("interface_id"), F.lit("P").alias("request_payload"),
@@ -753,20 +789,20 @@ def package_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with n as (select 'op' || (p_partkey % 5) op, 'b' || (p_partkey % 30) parent, replace(p_type, ' ', '_') field, p_partkey id from part where p_partkey % 2 = 0)
+with n as (select 'op' || (p_partkey % 5) op, 'b' || (p_partkey % 30) parent, replace(p_type, ' ', '_') field, p_partkey id from part)
 select s_suppkey, id value_node_id, field from supplier join n on op = 'op' || (s_suppkey % 5) and parent = 'b' || (s_suppkey % 30)""")
 def child_expansion(spark: SparkSession, d: str) -> DataFrame:
     """Direct children of an anchor in its operation."""
     k = F.col("p_partkey")
-    n = table(spark, d, "part").where("p_partkey % 2 = 0").select(F.lit("field").alias("node_kind"), F.concat(F.lit("op"), (k % 5).cast("string")).alias("operation"), F.concat(F.lit("b"), (k % 30).cast("string"), F.lit("."), F.replace("p_type", F.lit(" "), F.lit("_"))).alias("display_ref"), k.alias("value_node_id"))
+    n = table(spark, d, "part").select(F.lit("field").alias("node_kind"), F.concat(F.lit("op"), (k % 5).cast("string")).alias("operation"), F.concat(F.lit("b"), (k % 30).cast("string"), F.lit("."), F.replace("p_type", F.lit(" "), F.lit("_"))).alias("display_ref"), k.alias("value_node_id"))
     s = F.col("s_suppkey")
     a = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("op"), (s % 5).cast("string")).alias("operation"), F.concat(F.lit("b"), (s % 30).cast("string")).alias("display_ref"))
     return interaction.child_expansion(a, n).select("s_suppkey", "value_node_id", "field")
 
 
 @query("""
-with f as (select o_orderkey, 'r' || (o_custkey % 6) repo, 'ref' || (o_orderkey % 40) ref, 'i' || (o_orderkey % 3) iface, 'P' || (o_orderkey % 4) payload from orders where o_orderkey % 10 = 0),
-n as (select p_partkey id, 'r' || (p_partkey % 6) repo, 'ref' || (p_partkey % 40) ref, 'i' || (p_partkey % 5) owner, 'P' || (p_size % 4) opowner from part where p_size < 9),
+with f as (select o_orderkey, 'r' || (o_custkey % 6) repo, 'ref' || (o_orderkey % 1500) ref, 'i' || (o_orderkey % 3) iface, 'P' || (o_orderkey % 4) payload from orders),
+n as (select p_partkey id, 'r' || (p_partkey % 6) repo, 'ref' || (p_partkey % 1500) ref, 'i' || (p_partkey % 5) owner, 'P' || (p_size % 4) opowner from part),
 j as (select f.o_orderkey, count(id) n, count(*) filter (where owner = iface) ni, count(*) filter (where opowner = payload) np, min(id) m, min(id) filter (where owner = iface) mi, min(id) filter (where opowner = payload) mp from f left join n using (repo, ref) group by f.o_orderkey, iface, payload)
 select o_orderkey, n candidate_count, case when n = 1 then 'exact_reference' when ni = 1 then 'exact_interface' when np = 1 then 'exact_payload_owner' end basis, case when n = 1 then m when ni = 1 then mi when np = 1 then mp end anchor_id,
   case when n = 1 or ni = 1 or np = 1 then 'resolved' else 'unresolved' end anchor_status from j""")
@@ -774,13 +810,13 @@ def anchor_resolution(spark: SparkSession, d: str) -> DataFrame:
     """The one node of a reference, else of an allowed interface, else of the payload's owner."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     name = lambda p, x: F.concat(F.lit(p), x.cast("string"))
-    a = table(spark, d, "orders").where("o_orderkey % 10 = 0").select(
-        text("o_orderkey").alias("edge_id"), F.lit("request").alias("role"), F.lit("f").alias("field_path"), name("r", c % 6).alias("source_repository"), F.lit(0).alias("attempt"), name("ref", k % 40).alias("ref"), F.lit("wire").alias("strategy"),
+    a = table(spark, d, "orders").select(
+        text("o_orderkey").alias("edge_id"), F.lit("request").alias("role"), F.lit("f").alias("field_path"), name("r", c % 6).alias("source_repository"), F.lit(0).alias("attempt"), name("ref", k % 1500).alias("ref"), F.lit("wire").alias("strategy"),
         F.array(name("i", k % 3)).alias("source_interfaces"), name("P", k % 4).alias("source_payload"), F.lit("http").alias("protocol"), F.lit("GET").alias("method"), F.lit("/x").alias("matched_identity"),
     )
     p = F.col("p_partkey")
     transport = F.struct(*[F.lit("").alias(x) for x in ("protocol", "endpoint", "payload_role", "interface_direction", "http_method")])
-    n = table(spark, d, "part").where("p_size < 9").select(name("r", p % 6).alias("repo_id"), name("ref", p % 40).alias("display_ref"), p.alias("value_node_id"), name("i", p % 5).alias("owner_ref"), F.concat(name("P", F.col("p_size") % 4), F.lit(".get")).alias("operation"), transport.alias("transport"))
+    n = table(spark, d, "part").select(name("r", p % 6).alias("repo_id"), name("ref", p % 1500).alias("display_ref"), p.alias("value_node_id"), name("i", p % 5).alias("owner_ref"), F.concat(name("P", F.col("p_size") % 4), F.lit(".get")).alias("operation"), transport.alias("transport"))
     r = interaction.resolve_anchors(a, n, "source")
     return r.select(F.col("edge_id").cast("long").alias("o_orderkey"), "candidate_count", "basis", "anchor_id", "anchor_status")
 
@@ -801,13 +837,13 @@ def journey_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with e as (select p_brand fqcn, count(*) n, min(case when p_size = 1 then '' else p_type end) t from part where p_size < 3 group by 1)
-select p_brand fqcn, n candidate_count, case when n > 1 then 'tsa_entity_mapping_ambiguous' when t = '' then 'tsa_entity_mapping_missing_table' end gap from (select distinct p_brand from part) x join e on fqcn = p_brand""")
+with e as (select p_brand || '.' || p_type || '.' || p_size fqcn, count(*) n, min(case when p_size = 1 then '' else p_type end) t from part group by 1)
+select fqcn, n candidate_count, case when n > 1 then 'tsa_entity_mapping_ambiguous' when t = '' then 'tsa_entity_mapping_missing_table' end gap from e""")
 def entity_mappings(spark: SparkSession, d: str) -> DataFrame:
-    """Brands as types, small parts as entity mappings: none is no row, several or no table is a gap."""
-    p = table(spark, d, "part")
-    types = p.select(F.col("p_brand").alias("type_id"), F.col("p_brand").alias("fqcn")).distinct()
-    m = p.where("p_size < 3").select(F.col("p_brand").alias("logical_type_name"), text("p_partkey").alias("mapping_id"), F.when(F.col("p_size") == 1, "").otherwise(F.col("p_type")).alias("physical_table_name"), F.lit("observed_exact").alias("mapping_status"))
+    """Kinds of parts as types, parts as entity mappings: several or no table is a gap."""
+    p = table(spark, d, "part").withColumn("fqcn", F.concat_ws(".", "p_brand", "p_type", text("p_size")))
+    types = p.select(F.col("fqcn").alias("type_id"), "fqcn").distinct()
+    m = p.select(F.col("fqcn").alias("logical_type_name"), text("p_partkey").alias("mapping_id"), F.when(F.col("p_size") == 1, "").otherwise(F.col("p_type")).alias("physical_table_name"), F.lit("observed_exact").alias("mapping_status"))
     return replica.map_entities(types, m).select("fqcn", "candidate_count", "gap")
 
 
@@ -824,10 +860,10 @@ def repository_readiness(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-select 'external:' || g group_key, count(*) requirement_count from (select cast(o_custkey % 7 as varchar) g from orders where o_orderkey % 2 = 0) group by 1""")
+select 'external:' || g group_key, count(*) requirement_count from (select cast(o_custkey % 7 as varchar) g from orders) group by 1""")
 def requirement_groups(spark: SparkSession, d: str) -> DataFrame:
     """External requirements by preparation group."""
-    o = table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.lit("needs_external_source").alias("state"), (F.col("o_custkey") % 7).cast("string").alias("preparation_group"), "o_orderkey")
+    o = table(spark, d, "orders").select(F.lit("needs_external_source").alias("state"), (F.col("o_custkey") % 7).cast("string").alias("preparation_group"), "o_orderkey")
     return interaction.group_requirements(o).select("group_key", "requirement_count")
 
 
@@ -850,31 +886,64 @@ def facts(spark: SparkSession) -> dict[str, DataFrame]:
     return sqlfacts.extract(spark, [(f"sql/targets/s{i}.sql", s) for i, s in enumerate(STATEMENTS)])
 
 
-@query()
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+#: the statements as rows, read by patterns: what the facts must agree with
+TEXTS_SQL = "q(i, s) as (values " + ", ".join(f"({i + 1}, {quoted(s)})" for i, s in enumerate(STATEMENTS)) + ")"
+
+
+@query(f"""with {TEXTS_SQL}, j as (select i, unnest(regexp_extract_all(s, '(LEFT |CROSS )?JOIN')) k, s from q)
+select 'repo:q' || i query_id, case k when 'LEFT JOIN' then 'LEFT' when 'CROSS JOIN' then 'CROSS' else 'INNER' end join_type, contains(s, ' USING ') by_using,
+  case when contains(s, ' ON ') then len(regexp_extract_all(regexp_extract(s, ' ON (.*)$', 1), '[a-z]\\.[a-z_]+ (=|>=|<) [a-z]\\.[a-z_]+')) + len(regexp_extract_all(s, ' ON n_regionkey = [a-z]')) when contains(s, ' USING ') then 1 else 0 end pairs from j""".replace("\\\\", "\\"))
 def sql_join_facts(spark: SparkSession, d: str) -> DataFrame:
     """Join edges of the statements."""
     e = facts(spark)["sql_join_edge"]
-    return e.select("query_id", "join_edge_id", "join_ordinal", "join_type", "predicate", "status", F.array_join("reasons", ",").alias("reasons"), "physical_join_confirmed", F.size("column_pairs").alias("pairs"), F.size("expression_links").alias("links"))
+    return e.select("query_id", "join_type", (F.size("using_columns") > 0).alias("by_using"), F.size("column_pairs").cast("long").alias("pairs"))
 
 
-@query("""select * from (values ('relation_kind', 'physical', 16), ('relation_kind', 'cte', 1), ('join_status', 'confirmed', 7), ('join_status', 'partial', 1), ('join_type', 'LEFT', 1), ('join_type', 'INNER', 6), ('join_type', 'CROSS', 1))
-t(what, value, n)""")
+@query(f"""with {TEXTS_SQL}, r as (select s, unnest(regexp_extract_all(s, '(?:FROM|JOIN) ([a-z]+)', 1)) name from q),
+j as (select unnest(regexp_extract_all(s, '(LEFT |CROSS )?JOIN')) k from q)
+select 'relation_kind' what, case when contains(s, 'WITH ' || name || ' AS') then 'cte' else 'physical' end value, cast(count(*) as int) n from r group by 1, 2
+union all select 'join_type', case k when 'LEFT JOIN' then 'LEFT' when 'CROSS JOIN' then 'CROSS' else 'INNER' end, cast(count(*) as int) from j group by 1, 2""")
 def fact_coverage_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Counts by kind, status and type."""
-    return sqlfacts.coverage(facts(spark)).where("what in ('relation_kind', 'join_status', 'join_type')").select("what", "value", F.col("n").cast("int").alias("n"))
+    """Counts by kind and type, against what patterns find in the texts."""
+    return sqlfacts.coverage(facts(spark)).where("what in ('relation_kind', 'join_type')").select("what", "value", F.col("n").cast("int").alias("n"))
 
 
-@query()
+def brand_statements(spark: SparkSession, d: str, make: Callable[[str], str]) -> list[tuple[str, str]]:
+    """A statement per brand (a bounded catalogue), as files are per target."""
+    brands = [r["p_brand"] for r in table(spark, d, "part").select("p_brand").distinct().orderBy("p_brand").collect()]
+    return [(f"sql/targets/{b}.sql", make(b)) for b in brands]
+
+
+@query("""
+with b as (select p_brand, row_number() over (order by p_brand) n from (select distinct p_brand from part))
+select 'repo:q' || n query_id, 'mart.t' || n target_name, u.* from b, (values ('id', 1, 'part', 'p_partkey'), ('id', 2, 'customer', 'c_custkey'), ('label', 1, 'supplier', 's_name'), ('label', 1, 'part', 'p_name'), ('label', 2, 'customer', 'c_name'), ('n', 1, null, null), ('n', 2, null, null))
+  u(target_column, branch, source_relation, source_column)""")
 def sql_lineage(spark: SparkSession, d: str) -> DataFrame:
-    """Columns of writes and where they come from."""
-    return sqlfacts.direct_lineage(facts(spark))
+    """A write per brand: columns by position, expressions over two relations, both branches of a union."""
+    brands = iter(range(1, 1 << 30))
+    make = lambda b: f"INSERT INTO mart.t{next(brands)} (id, label, n) SELECT a.p_partkey, CONCAT(s.s_name, a.p_name), 1 FROM part a JOIN supplier s ON a.p_size = s.s_suppkey WHERE a.p_brand = '{b}' UNION ALL SELECT c.c_custkey, c.c_name, 2 FROM customer c"
+    out = sqlfacts.direct_lineage(sqlfacts.extract(spark, brand_statements(spark, d, make)))
+    return out.select("query_id", "target_name", "target_column", "branch", "source_relation", "source_column")
 
 
-@query()
+@query("""
+with b as (select p_brand, row_number() over (order by p_brand) n from (select distinct p_brand from part))
+select 'sql/targets/' || p_brand || '.sql' file, 'repo:q' || n query_id, 'restored' status, 'SELECT a.p_partkey, s.s_name' || chr(10) || 'FROM part AS a' || chr(10) || 'INNER JOIN supplier AS s ON (a.p_size = s.s_suppkey)' || chr(10) || 'WHERE (a.p_brand = ' || chr(39) || p_brand || chr(39) || ')' || chr(10) as sql from b""")
 def sql_restore_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """The statements without CTEs and writes, rebuilt from their facts."""
+    """X1-X6, SNK11: a query per brand and file, found, rebuilt from its facts, and reported."""
     with_checkpoints(spark)
-    f = facts(spark)
+    f = sqlfacts.extract(spark, brand_statements(spark, d, lambda b: f"SELECT a.p_partkey, s.s_name FROM part a JOIN supplier s ON a.p_size = s.s_suppkey WHERE a.p_brand = '{b}'"))
+    found = reconstruct.discover_queries(f["sql_statement"]).where("status = 'found'")
+    rendered = render_facts(spark, f)
+    return found.select("file", "query_id").join(rendered, "query_id").select("file", "query_id", "status", "sql")
+
+
+def render_facts(spark: SparkSession, f: dict[str, DataFrame]) -> DataFrame:
+    """Queries of one scope, without CTEs and writes, as text."""
     node = lambda df: df.withColumnRenamed("scope_id", "node_id")
     plain = f["sql_select_scope"].groupBy("query_id").agg(F.count("*").alias("n"), F.min("scope_id").alias("root_id")).where("n = 1")
     rel = node(f["sql_relation"]).select("query_id", "node_id", F.col("relation_id").alias("sql_relation_id"), "relation_kind", "relation_name", "alias", "usage_role", F.array().cast("array<string>").alias("source_scope_ids"), F.lit("").alias("generator_expression"), F.lit("").alias("generator_wrapper_alias"))
@@ -882,15 +951,20 @@ def sql_restore_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     scopes = node(f["sql_select_scope"]).withColumn("distinct_clause", F.lit(""))
     none = spark.createDataFrame([], "query_id string, node_id string, operator string, distinct boolean, left_id string, right_id string")
     ctes = spark.createDataFrame([], "query_id string, cte_ordinal int, cte_name string, node_id string, column_aliases array<string>, recursive boolean")
-    return reconstruct.render_queries(plain, scopes, node(f["sql_projection"]), rel, joins, none, ctes).select("query_id", "sql", "status", "error")
+    return reconstruct.render_queries(plain, scopes, node(f["sql_projection"]), rel, joins, none, ctes)
 
 
-@query()
+@query("""
+with d as (select cast(o_orderkey as varchar) pair_id, o_orderkey k, o_orderstatus st from orders)
+select pair_id, '/status' path, 'value' reason, 'string:"' || st || '"' expected, 'string:"X"' actual from d where k % 5 = 0 and st <> 'X'
+union all select pair_id, '/tags', 'multiset', '["string:\\"a\\"", "string:\\"b\\""]', '["string:\\"a\\"", "string:\\"b\\"", "string:\\"c\\""]' from d where k % 2 <> 0
+union all select pair_id, '/list', 'array_length', '2', '1' from d where k % 3 = 0 union all select pair_id, '/n', 'type', 'integer', 'number' from d where k % 7 = 0
+union all select pair_id, '/only', 'missing_field', 'integer:1', null from d where k % 11 = 0""")
 def document_differences(spark: SparkSession, d: str) -> DataFrame:
-    """V1-V3: orders as pairs of JSON documents that differ in known ways."""
-    k = F.col("o_orderkey")
-    doc = lambda x, tags: F.to_json(F.struct(x.alias("status"), tags.alias("tags")))
-    a = doc(F.col("o_orderstatus"), F.array(F.lit("a"), F.lit("b")))
-    b = doc(F.when(k % 5 == 0, "X").otherwise(F.col("o_orderstatus")), F.when(k % 2 == 0, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("c"))))
+    """V1, V3: orders as pairs of JSON documents that differ in known ways."""
+    k, st = F.col("o_orderkey"), F.col("o_orderstatus")
+    body = lambda status, tags, items, n, more: F.concat(F.lit('{"status": "'), status, F.lit('", "tags": '), F.lit(tags) if isinstance(tags, str) else tags, F.lit(', "list": '), items, F.lit(', "n": '), n, more, F.lit("}"))
+    a = body(st, '["a", "b"]', F.lit("[1, 2]"), F.lit("1"), F.when(k % 11 == 0, ', "only": 1').otherwise(""))
+    b = body(F.when(k % 5 == 0, "X").otherwise(st), F.when(k % 2 == 0, '["b", "a"]').otherwise('["a", "b", "c"]'), F.when(k % 3 == 0, "[1]").otherwise("[1, 2]"), F.when(k % 7 == 0, "1.0").otherwise("1"), F.lit(""))
     pairs = table(spark, d, "orders").select(text("o_orderkey").alias("pair_id"), a.alias("expected"), b.alias("actual"))
     return compare.compare_documents(pairs, ["/tags"])

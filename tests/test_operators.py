@@ -1,10 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as t
-from plumbline.operators import bridge, compare, graph, interaction, keys, model_lineage, ranking, reconstruct, replica, search, source_target, sqlfacts
+from plumbline.operators import bridge, compare, fuzzy, graph, interaction, keys, model_lineage, ranking, reconstruct, replica, search, source_target, sqlfacts
 
 
 def one(spark, expr):
@@ -18,7 +19,6 @@ def test_text(spark):
     assert tuple(one(spark, t.relation_parts(F.lit("c")))) == ("", "c")
     assert one(spark, t.file_stem(F.lit("x/y/q.load.sql"))) == "q.load"
     assert one(spark, t.is_template(F.lit("%(a)"))) is False and one(spark, t.is_placeholder(F.lit("%(a)"))) is True
-    assert one(spark, t.similarity(F.lit("abcd"), F.lit("ABCE"))) == 75.0
 
 
 def test_closure_with_cycle(spark, rows):
@@ -27,6 +27,55 @@ def test_closure_with_cycle(spark, rows):
     assert rows(graph.closure(e, s), "node", "hops") == [("a", 0), ("b", 1), ("c", 2)]
 
 
+def test_closure_goes_on_as_far_as_there_is(spark, rows):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(40)], "src string, dst string")
+    s = spark.createDataFrame([("n0",)], "node string")
+    assert rows(graph.closure(e, s), "node", "hops") == sorted([(f"n{i}", i) for i in range(41)], key=str)
+    assert graph.closure(e, s, 30).count() == 31
+
+
+def test_paths_by_direction_and_confidence(spark):
+    e = spark.createDataFrame([("a", "b", "confirmed"), ("b", "c", "candidate"), ("x", "b", None), ("y", "b", "probable")], "src string, dst string, confidence string")
+    s = spark.createDataFrame([("b",)], "node string")
+    go = lambda *a: {tuple(r["path"]) for r in graph.attribute_paths(e, s, *a).collect()}
+    assert go("reverse") == {("b", "a"), ("b", "x"), ("b", "y")} and go("reverse", "confirmed") == {("b", "a"), ("b", "x")}
+    assert go("forward") == set() and go("forward", "candidate") == {("b", "c")}
+    with pytest.raises(ValueError):
+        go("sideways")
+
+
+def slow_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = [0] + [0] * len(b) if not b else [0, *_step(row, x, b)]
+    return row[-1]
+
+
+def _step(row, x, b):
+    out = [0]
+    for j, y in enumerate(b):
+        out.append(row[j] + 1 if x == y else max(out[-1], row[j + 1]))
+    return out[1:]
+
+
+def test_weighted_ratio():
+    """Published figures of the metric, and the common subsequence against the table of it."""
+    assert fuzzy.ratio("this is a test", "this is a test!") == pytest.approx(96.551724, abs=1e-5)
+    assert fuzzy.partial_ratio("this is a test", "this is a test!") == 100
+    assert fuzzy.token_ratio("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear") == fuzzy.token_ratio("fuzzy was a bear", "fuzzy fuzzy was a bear") == 100
+    assert fuzzy.weighted("this is a test", "this is a new test!!!") == pytest.approx(85.5)
+    assert fuzzy.weighted("this is a word", "THIS IS A WORD") == pytest.approx(21.428571, abs=1e-5)
+    assert fuzzy.weighted("", "a") == 0
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc d") for _ in range(rng.randrange(9))) for _ in range(2))
+        assert fuzzy.common(a, b) == slow_common(a, b) == fuzzy.common(b, a)
+        x, y = sorted((a, b), key=len)
+        if x:
+            every = [y[i:j] for i in range(len(y)) for j in range(i + 1, min(len(y), i + len(x)) + 1) if j - i == len(x) or i == 0 or j == len(y)]
+            assert fuzzy.partial_ratio(a, b) >= max(fuzzy.ratio(x, s) for s in every) - 1e-9
+
+
 def test_paths_are_simple_and_bounded(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("c", "d"), ("b", "d")], "src string, dst string")
     s = spark.createDataFrame([("a",)], "node string")
@@ -208,7 +257,9 @@ def test_search_ranks_exact_first(spark):
     r = spark.createDataFrame([("t", "1", "Orders", "", "a.sql"), ("t", "2", "orders_hist", "", ""), ("t", "3", "x", "", "orders.sql"), ("t", "4", "ordres", "", "")], "record_kind string, record_id string, name string, parent string, file string")
     got = search.search(r, "orders", 3).collect()
     assert [(x["record_id"], x["match_kind"], x["truncated"]) for x in got] == [("1", "exact", True), ("2", "fts5", True), ("3", "fts5", True)]
-    assert [x["match_kind"] for x in search.search(r, "or", 9).collect()] == []
+    # too short for substrings; as a stretch of two names it scores 90
+    assert [(x["record_id"], x["match_kind"], x["score"]) for x in search.search(r, "or", 9).collect()] == [("2", "fuzzy_candidate", 90.0), ("4", "fuzzy_candidate", 90.0)]
+    assert search.search(r, "or", 9, fuzzy=False).count() == 0
     ref = one(spark, search.selection_ref(("b", F.lit("x")), ("a", F.lit(1))))
     import hashlib
 
@@ -222,8 +273,30 @@ def test_search_ranks_exact_first(spark):
         ("[1,2]", "[2,1]", (), ["value", "value"]), ('{"x":[1,2,2]}', '{"x":[2,1,2]}', ("/x",), []), ('{"x":[1,2,2]}', '{"x":[2,1,1]}', ("/x",), ["multiset"]), ('"a"', '"a"', (), []),
     ],
 )
-def test_differences(a, b, free, reasons):
-    assert [d["reason"] for d in compare.differences(compare.strict_json(a), compare.strict_json(b), frozenset(free))] == reasons
+def test_differences(spark, a, b, free, reasons):
+    pairs = spark.createDataFrame([("p", a, b)], "pair_id string, expected string, actual string")
+    assert sorted(r["reason"] for r in compare.compare_documents(pairs, free).collect()) == reasons
+
+
+def test_differences_are_told_once_and_in_place(spark):
+    pairs = [
+        ("nested", '{"a":{"b":[1,{"c":2}]}}', '{"a":{"b":[1,{"c":3,"d":4}]}}'), ("kinds", '{"a":{"0":1}}', '{"a":[1]}'), ("gone", '{"a":{"b":{"c":1}}}', "{}"), ("short", '[[1,2,3],{"x":1}]', '[[1]]'),
+        ("escaped", '{"a/b":1,"c~d":2}', '{"a/b":2,"c~d":2}'), ("bad", '{"a":1,"a":1}', "{}"), ("null", "null", "{}"),
+    ]
+    got = {}
+    for r in compare.compare_documents(spark.createDataFrame(pairs, "pair_id string, expected string, actual string")).collect():
+        got.setdefault(r["pair_id"], set()).add((r["path"], r["reason"].split(":")[0]))
+    assert got == {
+        "nested": {("/a/b/1/c", "value"), ("/a/b/1/d", "unexpected_field")}, "kinds": {("/a", "type")}, "gone": {("/a", "missing_field")}, "short": {("", "array_length"), ("/0", "array_length")},
+        "escaped": {("/a~1b", "value")}, "bad": {("", "invalid_json")}, "null": {("", "type")},
+    }
+
+
+def test_unordered_pointers_must_name_arrays(spark):
+    pairs = spark.createDataFrame([("p", '{"x":[1]}', '{"x":1}'), ("q", '{"x":[1,2]}', '{"x":[2,1]}'), ("r", "{}", '{"x":[]}')], "pair_id string, expected string, actual string")
+    assert {(r["pair_id"], r["reason"].split(":")[0]) for r in compare.compare_documents(pairs, ["/x"]).collect()} == {("p", "invalid_policy"), ("r", "invalid_policy")}
+    with pytest.raises(ValueError):
+        compare.compare_documents(pairs, ["/x", "/x/0"])
 
 
 @pytest.mark.parametrize("bad", ['{"a":1,"a":2}', "NaN", "[Infinity]"])
@@ -232,9 +305,58 @@ def test_strict_json(bad):
         compare.strict_json(bad)
 
 
+# ---- collection of a revision's inputs
+
+
+def revision(spark, refs, values=True, column="id"):
+    expressions = [("id", "direct_column", "ID", "resolved"), ("upper(code)", "function", "", "resolved")]
+    candidates = spark.createDataFrame([("r", "Target", "final", "", ["c"], "mart.target", "confirmed_unique", 1)], "repo_id string, logical_target_name string, target_kind string, workflow_status string, workflow_contexts array<string>, recommended_target_relation string, target_relation_recommendation_status string, input_ordinal int")
+    rows = [("r", "target", column, 2, [("v1", refs), ("v2", [1])], expressions, 1)] if values else []
+    sources = spark.createDataFrame(rows, "repo_id string, logical_target_name string, target_column string, source_count int, sources array<struct<mapping_id:string,refs:array<int>>>, expressions array<struct<expression:string,expression_kind:string,output_name:string,resolution_status:string>>, input_ordinal int")
+    gaps = spark.createDataFrame([], "repo_id string, logical_target_name string, gap_id string, owner_id string, gap_kind string, severity string, message string, details struct<target_column:string,workflow_context_file:string,impact:string,mapping_basis:string,evidence:string>")
+    return source_target.collect_revision_inputs(candidates, sources, gaps)
+
+
+def test_revision_inputs_keep_all_sources_and_expressions(spark, rows):
+    got = revision(spark, [0, 1, 0])
+    assert {r["mapping_id"]: [e["expression"] for e in r["linked"]] for r in got["mappings"].collect()} == {"v1": ["id", "upper(code)"], "v2": ["upper(code)"]}
+    assert rows(got["fields"]) == [("mart.target", "id")] and {r["what"]: r["n"] for r in got["counts"].collect()}["mapping_rows"] == 2
+
+
+@pytest.mark.parametrize("refs, column", [([7], "id"), ([-1], "id"), ([0], "other"), ([None], "id")])
+def test_wrong_expression_references_fail(spark, refs, column):
+    with pytest.raises(keys.ConflictError):
+        revision(spark, refs, column=column)
+
+
+def test_targets_without_any_knowledge_fail(spark):
+    with pytest.raises(keys.ConflictError, match="no target-column knowledge"):
+        revision(spark, [], values=False)
+
+
+def test_usage_refs_name_the_usage(spark):
+    g = spark.createDataFrame([("g", "t", "c", "other", "", ["x"], "u1", "", "", "", ["r"])], "gap_id string, target_relation string, target_column string, gap_kind string, mapping_basis string, candidates array<string>, usage_id string, source_relation_name string, source_column string, evidence_text string, refs array<string>")
+    env = spark.createDataFrame([], "target_relation string, target_column string, template string, source_column string")
+    seen = spark.createDataFrame([("u1", ["a", "b"], ["z"])], "usage_id string, survivors array<string>, excluded array<string>")
+    r = source_target.classify_gaps(g, env, seen).first()
+    assert r["evidence_refs"] == ["candidate_relation_id:a", "candidate_relation_id:b", "excluded_relation_id:z", "r", "sql_column_usage_id:u1"] and r["candidate_ids"] == ["a", "b"]
+
+
 # ---- SQL
 
 
+def test_lineage_is_bound_by_position_and_branch(spark, rows):
+    f = sqlfacts.extract(spark, [
+        ("a.sql", "INSERT INTO t (x, y) SELECT a.id, b.id FROM p a JOIN q b ON a.k = b.k"), ("b.sql", "INSERT INTO t (x) SELECT a.id FROM p a UNION ALL SELECT b.id FROM q b"),
+        ("c.sql", "INSERT INTO t (x) SELECT CONCAT(a.u, b.v) FROM p a JOIN q b ON a.k = b.k"), ("d.sql", "INSERT INTO t (x) SELECT a.id FROM p a EXCEPT SELECT b.id FROM q b"),
+    ])
+    got = rows(sqlfacts.direct_lineage(f), "query_id", "target_column", "source_relation", "source_column")
+    assert got == [
+        ("repo:q1", "x", "p", "id"), ("repo:q1", "y", "q", "id"), ("repo:q2", "x", "p", "id"), ("repo:q2", "x", "q", "id"), ("repo:q3", "x", "p", "u"), ("repo:q3", "x", "q", "v"), ("repo:q4", "x", "p", "id"),
+    ]
+    assert f["sql_projection"].where("query_id = 'repo:q3'").first()["expression"] == "CONCAT(a.u, b.v)"
+
+
 def test_join_facts_follow_the_contract(spark):
     f = sqlfacts.extract(spark, [("a.sql", "SELECT a.x FROM a JOIN b ON b.id = a.id AND a.k < b.k AND a.z = 1"), ("b.sql", "SELECT a.x FROM a JOIN b USING (id) JOIN c USING (id)")])
     e = {(r["query_id"], r["join_ordinal"]): r for r in f["sql_join_edge"].collect()}
