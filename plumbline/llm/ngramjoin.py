@@ -350,7 +350,9 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, unit_s
     id or without words link with nothing, and stay, also where they repeat."""
     found = linked_rows(docs, width, percent, unit_shingles).where("component is not null").groupBy("doc_id", "t").agg(F.min("component").alias("component"), F.count("*").alias("copies"))
     found = stage_table(found, "components")
-    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("first"))
+    # Only groups of several rows lose any, so a large group is no hot key of the join while these fit a broadcast.
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.count("*").alias("rows"), F.max("copies").alias("most")).where("rows > 1 or most > 1").drop("rows", "most")
+    first = broadcast_if_small(stage_table(first, "first"), BROADCAST_ROWS)
     dropped = found.join(first, "component").where(F.struct("doc_id", "t") != F.col("first")).select("doc_id", "t")
     text_hash = fresh(docs, "text_hash")[0]
     # ids may be of another type than the links' whole numbers
