@@ -36,7 +36,7 @@ MAX_LETTERS = (1 << BITS) - 2
 PER_LANGUAGE, PER_LANGUAGE_CHARS = 1500, 6_000_000
 #: more languages than this share the sample that so many would have
 FULL_LANGUAGES = 40
-CHUNK = 500_000
+CHUNK, MEMO = 500_000, 1_000_000
 TEXTS = 400
 #: the false-rejection quantile, the length from which deviations count alike, and the least limit (0.4 bits at that length)
 ACCEPTED, FULL, LEAST = 0.99, 400, 8.0
@@ -126,9 +126,36 @@ def gram_bits(model: dict, keys: np.ndarray) -> np.ndarray:
     return -np.log2(np.maximum(p, 1e-12))
 
 
-def cross_entropies(texts: list[np.ndarray], models: list[dict]) -> np.ndarray:
-    """Bits per symbol of each symbol array (texts x models). Distinct grams of a chunk are looked up once."""
-    out = np.zeros((len(texts), len(models)))
+class GramBits:
+    """Bits of grams under each model, remembered in a sorted table of at most `MEMO` grams."""
+
+    def __init__(self, models: list[dict]):
+        self.models = models
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.bits = np.zeros(0, np.int64), np.zeros((0, len(self.models)))
+
+    def __call__(self, kinds: np.ndarray) -> np.ndarray:
+        """grams x models, for distinct grams."""
+        if len(self.keys) + len(kinds) > MEMO:
+            self.forget()
+        at = np.searchsorted(self.keys, kinds)
+        new = np.ones(len(kinds), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != kinds[inside]
+        if new.any():
+            keys = np.sort(kinds[new])
+            bits = np.stack([gram_bits(m, keys) for m in self.models], axis=1)
+            where = np.searchsorted(self.keys, keys)
+            self.keys, self.bits = np.insert(self.keys, where, keys), np.insert(self.bits, where, bits, axis=0)
+            at = np.searchsorted(self.keys, kinds)
+        return self.bits[at]
+
+
+def cross_entropies(texts: list[np.ndarray], bits_of: GramBits) -> np.ndarray:
+    """Bits per symbol of each symbol array (texts x models). Distinct grams are looked up once a chunk, and remembered."""
+    out = np.zeros((len(texts), len(bits_of.models)))
     at = 0
     while at < len(texts):
         end, n = at, 0
@@ -139,8 +166,9 @@ def cross_entropies(texts: list[np.ndarray], models: list[dict]) -> np.ndarray:
         code, kinds = pd.factorize(np.concatenate([gram_keys(s) for s in part]))
         sizes = np.array([len(s) - ORDER + 1 for s in part])
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        for j, m in enumerate(models):
-            out[at:end, j] = np.add.reduceat(gram_bits(m, kinds)[code], starts) / sizes
+        bits = bits_of(kinds)
+        for j in range(bits.shape[1]):
+            out[at:end, j] = np.add.reduceat(bits[:, j][code], starts) / sizes
         at = end
     return out
 
@@ -209,12 +237,13 @@ def calibrate(sample: DataFrame, model: dict) -> list[tuple[float, float]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        bits_of = GramBits(m["models"])
         for b in batches:
             for first in range(0, b.num_rows, TEXTS):
                 part = b.slice(first, TEXTS)
                 texts = [symbols(t, m["table"]) for t in part.column(1).to_pylist()]
                 at = [i for i, s in enumerate(texts) if s.any()]
-                h = cross_entropies([texts[i] for i in at], m["models"]) if at else np.zeros((0, 1))
+                h = cross_entropies([texts[i] for i in at], bits_of) if at else np.zeros((0, 1))
                 langs = part.column(0).to_pylist()
                 own = [h[j, m["names"].index(langs[i])] if langs[i] in m["names"] else np.nan for j, i in enumerate(at)]
                 yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in at], pa.string()), pa.array(own, pa.float64()), pa.array([len(texts[i]) - ORDER + 1 for i in at], pa.int64())], names=["lang", "bits", "n"])
@@ -236,8 +265,9 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        bits_of = GramBits(m["models"])
         for b in batches:
-            lang, score, bits, ok = judge(b.column(2).to_pylist(), m)
+            lang, score, bits, ok = judge(b.column(2).to_pylist(), m, bits_of)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(ok, pa.bool_())],
                 names=["doc_id", "held_out", "lang_pred", "score", "bits", "accepted"],
@@ -247,7 +277,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     return rows.mapInArrow(run, SCHEMA)
 
 
-def judge(texts: list[str | None], m: dict) -> tuple[list, list, list, list]:
+def judge(texts: list[str | None], m: dict, bits_of: GramBits) -> tuple[list, list, list, list]:
     """lang, score, bits and accepted of each text, a few texts at a time."""
     n = len(texts)
     lang, score, bits, ok = [UNDETERMINED] * n, [0.0] * n, [None] * n, [False] * n
@@ -256,7 +286,7 @@ def judge(texts: list[str | None], m: dict) -> tuple[list, list, list, list]:
         at = [i for i, s in enumerate(read) if s is not None and s.any()]
         if not at:
             continue
-        h = cross_entropies([read[i] for i in at], m["models"])
+        h = cross_entropies([read[i] for i in at], bits_of)
         best = h.argmin(axis=1)
         for j, i in enumerate(at):
             size, k = len(read[i]) - ORDER + 1, first + i
@@ -273,8 +303,10 @@ def keep_identified(docs: DataFrame, model: dict) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits_of = GramBits(shared.value["models"])
         for b in batches:
-            yield b.filter(pa.array(judge(b.column(at).to_pylist(), shared.value)[3], pa.bool_()))
+            yield b.filter(pa.array(judge(b.column(at).to_pylist(), shared.value, bits_of)[3], pa.bool_()))
+        del bits_of
         give_back()
 
     return docs.mapInArrow(run, docs.schema)
