@@ -10,6 +10,8 @@ An observation on one side never proves a crossing: crossings stay candidates.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -356,6 +358,42 @@ def readiness(repositories: DataFrame) -> DataFrame:
     return repositories.withColumn("readiness", r)
 
 
+#: fixed values: the tool that a revision must offer, and what a revision's status says of it
+REQUIRED_TOOL = "resolve_attribute_paths"
+REVISION_STATUSES = {"ready": "ready", "server_unavailable": "server_unavailable", "missing_revision": "missing_compatible_revision"}
+#: fixed values: states of an unresolved boundary's requirement
+AMBIGUOUS_STATE, MATERIAL_STATE = "ambiguous", "material_gap"
+
+
+def readiness_inputs(repositories: DataFrame, bindings: DataFrame, revisions: DataFrame, boundaries: DataFrame, tool: str = REQUIRED_TOOL) -> DataFrame:
+    """What `readiness` decides on, from published facts. repositories: repository_id; bindings: repository_id, system_id,
+    revision_id; revisions: system_id, revision_id, status, available_tools; boundaries (a row per probed side):
+    repository_id, anchor_status, requirement_state (null where nothing can be prepared, ambiguous, material_gap, or a
+    boundary that can). Adds boundary_anchor_count and boundary_anchor_missing_count. A repository is bound by one exact
+    binding; boundaries count only where its revision can be read."""
+    one = bindings.groupBy("repository_id").agg(F.count("*").alias("__n"), F.min(F.struct("system_id", "revision_id")).alias("__b")).where("__n = 1")
+    r = repositories.join(one, "repository_id", "left").select("repository_id", F.col("__b").isNotNull().alias("bound"), F.col("__b.system_id").alias("system_id"), F.col("__b.revision_id").alias("revision_id"))
+    s = revisions.groupBy("system_id", "revision_id").agg(F.max_by(F.struct("status", "available_tools"), "status").alias("__s"))
+    r = r.join(s, ["system_id", "revision_id"], "left")
+    status = clean("__s.status")
+    open_side = F.col("anchor_status") == "unresolved"
+    state = F.when(open_side, clean("requirement_state")).otherwise("")
+    b = boundaries.groupBy("repository_id").agg(
+        F.count("*").alias("boundary_anchor_count"), F.count_if(open_side).alias("boundary_anchor_missing_count"), F.max(state == AMBIGUOUS_STATE).alias("ambiguous"),
+        F.max(~state.isin("", AMBIGUOUS_STATE, MATERIAL_STATE)).alias("external_boundary"), F.max(state == MATERIAL_STATE).alias("material_gap"),
+    )
+    named = F.create_map(*[F.lit(x) for pair in REVISION_STATUSES.items() for x in pair])
+    kind = F.coalesce(F.try_element_at(named, status), F.lit("revision_unavailable"))
+    r = r.join(b, "repository_id", "left").withColumn("__kind", kind)
+    no = F.lit(False)
+    return r.select(
+        "repository_id", "system_id", "revision_id", "bound", (F.col("__kind") != "server_unavailable").alias("server_ok"), (F.col("__kind") != "missing_compatible_revision").alias("revision_compatible"),
+        (F.col("__kind") == "ready").alias("revision_available"), F.coalesce(F.array_contains("__s.available_tools", F.lit(tool)), no).alias("tools_ok"),
+        *[F.coalesce(c, no).alias(c) for c in ("ambiguous", "external_boundary", "material_gap")],
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("boundary_anchor_count", "boundary_anchor_missing_count")],
+    )
+
+
 def readiness_status(repositories: DataFrame, deep: bool) -> DataFrame:
     every = F.min(F.col("readiness") == "ready")
     return repositories.agg(F.when(every, "ready" if deep else "prerequisites_satisfied").otherwise("not_ready").alias("status"))
@@ -377,6 +415,42 @@ def preparation_status() -> Column:
     )
 
 
+def preparation_loop(check: Callable[[], tuple[bool, DataFrame]], prepare: Callable[[str], str], budget: int | None = None) -> dict:
+    """Rounds of preparation until a repository set is ready, the budget is used up, a group stops, or no group is new.
+
+    check tells whether all is ready, and the open requirements (state, preparation_group, ...); prepare takes a group's
+    key and returns its outcome: published, awaiting_publication, no_progress, blocked or step_limit. A group is tried
+    once. A requirement whose source owner is not resolved, or that is ambiguous, blocks before anything is prepared.
+    Groups of one edge are few, so they are handled on the driver; what a group does is the caller's."""
+    ready, open_ = check()
+    if ready:
+        return {"status": "already_prepared", "rounds": 0, "outcomes": {}}
+    outcomes: dict[str, str] = {}
+    rounds, exhausted, stopped, no_new = 0, False, False, False
+    blocking = F.col("state").isin("external_source_owner_unresolved", "ambiguous")
+    while not (ready or exhausted or stopped or no_new):
+        fresh = [] if open_.where(blocking).limit(1).count() else sorted(r["group_key"] for r in group_requirements(open_).collect() if r["group_key"] not in outcomes)
+        if not fresh:
+            no_new, stopped = bool(outcomes), not outcomes
+            break
+        rounds += 1
+        for key in fresh:
+            if budget is not None and len(outcomes) >= budget:
+                exhausted = True
+                break
+            outcomes[key] = prepare(key)
+            if outcomes[key] in ("awaiting_publication", "blocked", "no_progress"):
+                stopped = True
+                break
+        ready, open_ = check()
+    seen = set(outcomes.values())
+    status = (
+        "prepared" if ready else "budget_exhausted" if exhausted else "awaiting_publication" if "awaiting_publication" in seen
+        else "no_progress" if "no_progress" in seen else "step_limit" if "step_limit" in seen else "no_progress" if no_new else "blocked"
+    )
+    return {"status": status, "rounds": rounds, "outcomes": outcomes}
+
+
 def published_matches(sources: DataFrame, published: DataFrame) -> DataFrame:
     """sources (repository_id, repository_url, resolved_commit) with their exact published revisions: per system the
     highest (ordinal, revision_id); match_count counts systems."""

@@ -121,11 +121,12 @@ def trigger_gaps(resolved: DataFrame) -> DataFrame:
 
 
 def build_topology(revisions: DataFrame, records: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """edges, gaps, flows and counts of pinned revisions."""
+    """edges, gaps, flows and counts of pinned revisions. Producers and resolved triggers are checkpointed (the session needs
+    a checkpoint folder): edges, gaps and counts all read them."""
     check_revisions(revisions, records)
     flows = records["ctl_flow"]
-    producers = select_producers(active_producers(flows, records["ctl_flow_entity"])).withColumn("published", statistics(F.col("published_stats_json")))
-    resolved = resolve_triggers(eligible_triggers(records["ctl_trigger"], flows, records["ctl_dependency"]), producers)
+    producers = select_producers(active_producers(flows, records["ctl_flow_entity"])).withColumn("published", statistics(F.col("published_stats_json"))).checkpoint()
+    resolved = resolve_triggers(eligible_triggers(records["ctl_trigger"], flows, records["ctl_dependency"]), producers).checkpoint()
     edges = local_edges(records["ctl_dependency"]).unionByName(cross_edges(resolved, producers))
     gaps = trigger_gaps(resolved)
     n = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")

@@ -109,6 +109,7 @@ edges as (select (select n from loc) + (select count(*) from hit where ok) n)
 def topology_records(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     """A revision per nation: suppliers and customers as flows, lines as their entities, orders as triggers; urgent orders are
     resolved locally."""
+    with_checkpoints(spark)
     r1, parts = F.lit("r1").alias("revision_id"), F.broadcast(table(spark, d, "part").agg(F.count("*").alias("n")))  # one row
     flow = lambda t, p, k, n, a: table(spark, d, t).select(text(n).alias("system_id"), r1, name(p, k).alias("flow_id"), (F.col(a) >= 0).alias("active"))
     flows = flow("supplier", "s", "s_suppkey", "s_nationkey", "s_acctbal").union(flow("customer", "c", "c_custkey", "c_nationkey", "c_acctbal"))
@@ -592,3 +593,24 @@ def expandable_shape(spark: SparkSession, d: str) -> DataFrame:
     shape = p.select(F.concat_ws(".", F.lit("b"), "p_brand", "p_type").alias("raw_path"), F.lit(False).alias("is_collection")).union(p.select(branch, F.col("p_brand") <= "Brand#3").distinct())
     parents = p.select(branch.alias("field_path"), (F.col("p_brand") <= "Brand#4").alias("expandable")).distinct()
     return interaction.shape_fields(shape, parents)
+
+
+@query("""
+with b as (select o_custkey k, count(distinct o_orderstatus) n, min(o_orderstatus) st from orders group by 1),
+v as (select l_suppkey k, count(*) n, count(*) filter (where l_returnflag = 'R') miss, bool_or(l_returnflag = 'R' and l_quantity > 49) amb, bool_or(l_returnflag = 'R' and l_quantity between 48 and 49) ext, bool_or(l_returnflag = 'R' and l_quantity < 3) mat from lineitem group by 1)
+select c_custkey, case when b.n is null or b.n <> 1 then 'missing_binding' when c_custkey % 3 = 0 and st = 'F' then 'server_unavailable' when c_custkey % 3 = 1 and st = 'F' then 'missing_compatible_revision' when st = 'O' then 'revision_unavailable'
+    when st = 'P' and c_custkey % 2 = 0 then 'missing_required_tool' when amb then 'preparation_ambiguous' when ext then 'preparable_external_boundary' when mat then 'material_semantic_gap' else 'ready' end readiness,
+  coalesce(v.n, 0) boundary_anchor_count, coalesce(miss, 0) boundary_anchor_missing_count
+from customer left join b on b.k = c_custkey left join v on v.k = c_custkey""")
+def derived_readiness(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as repositories, bound by their orders' one status; lines as probed boundaries."""
+    k, q = F.col("c_custkey"), F.col("l_quantity")
+    repositories = table(spark, d, "customer").select(text("c_custkey").alias("repository_id"))
+    bindings = table(spark, d, "orders").select(text("o_custkey").alias("repository_id"), F.col("o_orderstatus").alias("system_id"), text("o_custkey").alias("revision_id")).distinct()
+    status = F.when((F.col("st") == "F") & (k % 3 == 0), "server_unavailable").when((F.col("st") == "F") & (k % 3 == 1), "missing_revision").when(F.col("st") == "O", "archived").otherwise("ready")
+    tools = F.when((F.col("st") == "P") & (k % 2 == 0), F.array(F.lit("other"))).otherwise(F.array(F.lit("other"), F.lit(interaction.REQUIRED_TOOL)))
+    revisions = table(spark, d, "customer").withColumn("st", F.explode(F.array(*map(F.lit, "FOP")))).select(F.col("st").alias("system_id"), text("c_custkey").alias("revision_id"), status.alias("status"), tools.alias("available_tools"))
+    state = F.when(q > 49, "ambiguous").when(q >= 48, "external_boundary").when(q < 3, "material_gap")
+    sides = table(spark, d, "lineitem").select(text("l_suppkey").alias("repository_id"), F.when(F.col("l_returnflag") == "R", "unresolved").otherwise("resolved").alias("anchor_status"), state.alias("requirement_state"))
+    r = interaction.readiness(interaction.readiness_inputs(repositories, bindings, revisions, sides))
+    return r.select(F.col("repository_id").cast("long").alias("c_custkey"), "readiness", "boundary_anchor_count", "boundary_anchor_missing_count")

@@ -39,6 +39,28 @@ def check_counts(tables: Mapping[str, DataFrame], manifest: Mapping[str, int]) -
         raise ValueError(f"records read differ from the manifest: {wrong}")
 
 
+class ReadCache:
+    """Reads of pinned revisions, each made once per batch: kept under their whole identity, and never if they failed. The
+    tables are persisted on the executors (lost parts are read again) until close."""
+
+    def __init__(self) -> None:
+        self.kept: dict[tuple, DataFrame] = {}
+        self.hits = 0
+
+    def read(self, kind: str, identity: tuple, get: Callable[[], DataFrame]) -> DataFrame:
+        key = (kind, *identity)
+        if key in self.kept:
+            self.hits += 1
+        else:
+            self.kept[key] = get().persist()
+        return self.kept[key]
+
+    def close(self) -> None:
+        for df in self.kept.values():
+            df.unpersist()
+        self.kept.clear()
+
+
 class PageRange(InputPartition):
     def __init__(self, offset: int):
         self.offset = offset

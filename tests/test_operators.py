@@ -421,3 +421,44 @@ def test_readiness_and_labels(spark):
     j = spark.createDataFrame([], "edge_id string, role string, field_path string")
     with pytest.raises(keys.ConflictError):
         interaction.human_rows(j, g)
+
+
+def need(spark, *states):
+    return spark.createDataFrame([(s, g) for s, g in states], "state string, preparation_group string")
+
+
+@pytest.mark.parametrize("outcomes, budget, status", [
+    ({}, None, "prepared"), ({"external:b": "no_progress"}, None, "no_progress"), ({"external:a": "awaiting_publication"}, None, "awaiting_publication"), ({}, 1, "budget_exhausted"), ({"external:a": "blocked"}, None, "blocked"),
+    ({"external:a": "step_limit", "external:b": "step_limit"}, None, "step_limit"), ({"external:a": "idle"}, None, "no_progress"),
+])
+def test_preparation_goes_on_until_it_ends(spark, outcomes, budget, status):
+    done = []
+
+    def check():
+        left = [g for g in ("a", "b") if f"external:{g}" not in done]
+        return not left, need(spark, *[("needs_external_source", g) for g in left])
+
+    def prepare(key):
+        if key not in outcomes:
+            done.append(key)
+        return outcomes.get(key, "published")
+
+    got = interaction.preparation_loop(check, prepare, budget)
+    assert got["status"] == status and len(got["outcomes"]) <= (budget or 2)
+
+
+def test_preparation_ends_before_it_begins(spark):
+    fail = lambda key: pytest.fail("nothing is to be prepared")
+    assert interaction.preparation_loop(lambda: (True, need(spark)), fail)["status"] == "already_prepared"
+    for state in ("ambiguous", "external_source_owner_unresolved"):
+        assert interaction.preparation_loop(lambda: (False, need(spark, (state, "a"), ("needs_external_source", "b"))), fail)["status"] == "blocked"
+    assert interaction.preparation_loop(lambda: (False, need(spark)), fail)["status"] == "blocked"
+
+
+def test_reversed_comparisons_keep_their_predicate(spark):
+    """Columns are put left to right; operator and predicate stay as written, and the predicate is what counts."""
+    f = sqlfacts.extract(spark, [("a.sql", "SELECT a.x FROM a JOIN b ON b.hi > a.lo")])
+    pair = f["sql_join_edge"].first()["column_pairs"][0]
+    assert (pair["left_column"], pair["right_column"], pair["operator"], pair["predicate"]) == ("lo", "hi", ">", "(b.hi > a.lo)")
+    edges = f["sql_join_edge"]
+    assert "expression_links" in sqlfacts.bulk_joins(edges).columns and "expression_links" not in sqlfacts.context_joins(edges).columns

@@ -75,3 +75,83 @@ def test_stream_keeps_one_result_per_key(spark, tmp_path):
     for _ in range(2):
         incremental.apply_per_batch(incremental.read_facts(spark, src, "k string, v int"), lambda df: df.select("k", (F.col("v") * 2).alias("w")), out, ["k"], str(tmp_path / "ck")).awaitTermination(120)
     assert {(r["k"], r["w"]) for r in spark.read.parquet(out).collect()} == {("a", 2), ("b", 4)}
+
+
+def test_reads_are_kept_under_their_identity_and_never_failures(spark):
+    cache, calls = records.ReadCache(), []
+
+    def get(n):
+        calls.append(n)
+        if n < 0:
+            raise ValueError("unavailable")
+        return spark.range(n)
+
+    for _ in range(2):
+        assert cache.read("nodes", ("s", "r1"), lambda: get(3)).count() == 3
+        with pytest.raises(ValueError):
+            cache.read("nodes", ("s", "r2"), lambda: get(-1))
+    assert cache.read("paths", ("s", "r1"), lambda: get(4)).count() == 4
+    assert calls == [3, -1, -1, 4] and cache.hits == 1
+    cache.close()
+    assert not cache.kept
+
+
+def test_page_size_of_candidates_is_a_parameter(spark):
+    sizes = []
+
+    def fetch(offset, limit):
+        sizes.append(limit)
+        return {"total": 5, "items": [(i,) for i in range(5)][offset : offset + limit]}
+
+    reader = records.PagedReader(fetch, 2)
+    assert [p.offset for p in reader.partitions()] == [0, 2, 4]
+    assert [x for p in reader.partitions() for x in reader.read(p)] == [(i,) for i in range(5)]
+
+
+def test_json_documents(spark, tmp_path):
+    (tmp_path / "one.json").write_text('{"k": "a", "v": 1}')
+    (tmp_path / "list.json").write_text('[{"k": "a", "v": 1}, {"k": "b", "v": 2}]')
+    (tmp_path / "envelope.json").write_text('{"items": [{"k": "c", "v": 3}]}')
+    read = lambda name, *a: sorted(map(tuple, records.read_documents(spark, str(tmp_path / name), *a).collect()))
+    assert read("one.json", "k string, v int") == [("a", 1)] and read("list.json", "k string, v int") == [("a", 1), ("b", 2)]
+    assert read("envelope.json", "k string, v int", "items") == [("c", 3)] or read("envelope.json", "k:string,v:int", "items") == [("c", 3)]
+
+
+def test_rows_are_ordered_by_six_columns_first(spark, tmp_path):
+    from plumbline.operators.source_target import ROW_COLUMNS
+
+    row = lambda **v: tuple(v.get(c.replace("-", "_"), "") for c in ROW_COLUMNS)
+    rows = [row(T_trg_schema="b", T_trg="a", T_trg_platform="1"), row(T_trg_schema="a", T_trg="z", T_trg_platform="2")]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in ROW_COLUMNS))
+    sinks.write_rows(df, str(tmp_path / "o"), ["d"] * len(ROW_COLUMNS))
+    lines = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "o").glob("part-*")).splitlines()
+    assert lines[0] == ",".join(ROW_COLUMNS) and lines[1] == ",".join(["d"] * len(ROW_COLUMNS)) and [x[0] for x in lines[2:]] == ["2", "1"]
+    with pytest.raises(ValueError):
+        sinks.write_rows(df, str(tmp_path / "p"), ["d"])
+
+
+def test_replica_reports(spark, tmp_path):
+    t = spark.createDataFrame([("rep.a", "A", "MetaEntity", "entity_id", "id", "id_col", "confirmed_declared_identity_mapped", ""), ("rep.b", "B", "", "", "", "", "gap", "none")], "replica_relation string, fqcn string, key_annotation string, key_kind string, key_logical_field string, key_replica_column string, key_status string, key_gap string")
+    f = spark.createDataFrame([], "replica_relation string, replica_column string, fqcn string, field string, field_type string, field_description string, description_status string, mapping_status string, gap string")
+    r = spark.createDataFrame([("rep.a", "parent", "reference", "rep.b", "", "confirmed_ucp_relationship_projected_to_replicas", "not_observed", "x")], "source_relation string, relationship_field string, relationship_kind string, target_relation string, target_key string, status string, physical_join_status string, gap string")
+    sinks.write_replica_model({"tables": t, "fields": f, "relationships": r}, str(tmp_path))
+    read = lambda n: "".join(p.read_text() for p in (tmp_path / n).glob("part-*")).splitlines()
+    assert read("keys") == ["table,logical_pk,key_kind,logical_pk_status,physical_pk_status,gap", "rep.a,id_col,entity_id,confirmed,not_observed,", "rep.b,,,gap,not_observed,none"]
+    assert read("links")[1] == "rep.a,parent,rep.b,,confirmed,not_observed" and len(read("fields")) == 1
+
+
+def test_audit_and_progress(spark):
+    import json
+
+    gaps = spark.createDataFrame([("A",), ("A",), ("B",)], "gap_type string")
+    assert json.loads(sinks.audit(gaps, spark.range(4), {"pages": 2})) == {"row_count": 4, "gap_count": 3, "gaps_by_type": {"A": 2, "B": 1}, "retrieval": {"pages": 2}}
+    assert json.loads(sinks.progress_line("done", n=1)) == {"event": "done", "n": 1}
+
+
+def test_replica_graph_and_sql_files(spark, tmp_path):
+    r = spark.createDataFrame([("a", "b", "f"), ("a", "b", "f")], "source_relation string, target_relation string, relationship_field string")
+    assert sinks.graph_text(sinks.replica_graph(r)).count("-->|f|") == 1
+    q = spark.createDataFrame([("q1", "SELECT 1", "restored"), ("q2", None, "unresolved")], "query_id string, sql string, status string")
+    sinks.write_sql_files(q, str(tmp_path / "s"))
+    found = {p.parent.name: p.read_text() for p in (tmp_path / "s").glob("*/part-*")}
+    assert found == {"query_id=q1": "SELECT 1\n"}
