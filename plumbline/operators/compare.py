@@ -1,7 +1,7 @@
 """Strict comparison of JSON documents and of row sets.
 
 Documents are flattened to one row per value: its route (the keys and positions that lead to it, each with the kind of
-container it is in), path (JSON pointer), kind and text. Two documents are compared by one full outer join on the route,
+container it is in), path (JSON pointer), kind and text. Two documents are set against each other by one aggregate per route,
 so values meet only where all containers around them are of one kind. What one side alone has is a difference if the
 other side has the object that should hold it; positions past the end of an array are told by the array's length.
 """
@@ -12,13 +12,15 @@ import json
 from collections.abc import Iterable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: fixed values: reasons of a difference
 TYPE, MISSING, UNEXPECTED, LENGTH, VALUE, MULTISET = "type", "missing_field", "unexpected_field", "array_length", "value", "multiset"
 INVALID, POLICY = "invalid_json", "invalid_policy"
-FLAT = "pair_id string, side string, route string, parent_route string, path string, in_object boolean, kind string, value string"
+NAMES = ["pair_id", "side", "route", "parent_route", "path", "in_object", "kind", "value"]
+FLAT = ", ".join(f"{n} {'boolean' if n == 'in_object' else 'string'}" for n in NAMES)
 
 
 def strict_json(text: str) -> Any:
@@ -70,43 +72,45 @@ def flatten_documents(pairs: DataFrame, unordered: frozenset[str]) -> DataFrame:
     """Values of both sides (FLAT). A text that is not strict JSON, or lacks an array at an unordered pointer, is one row
     of its side without a route."""
 
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for r in pdf.itertuples(index=False):
+            for pair, side, text in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
-                    found = list(flatten(strict_json(r.document), unordered))
-                    lost = sorted(unordered - {f[2] for f in found if f[4] == "multiset"})
+                    found = list(flatten(strict_json(text), unordered))
+                    lost = sorted(unordered - {f[2] for f in found if f[4] == "multiset"}) if unordered else []
                     if lost:
                         found = [(None, None, lost[0], False, POLICY, "an unordered pointer must name an array in both documents")]
                 except (ValueError, TypeError) as e:
                     found = [(None, None, "", False, INVALID, str(e))]
-                out += [(r.pair_id, r.side, *f) for f in found]
-            yield pd.DataFrame(out, columns=["pair_id", "side", "route", "parent_route", "path", "in_object", "kind", "value"])
+                out += [(pair, side, *f) for f in found]
+            columns = list(zip(*out)) or [()] * len(NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if n == "in_object" else pa.string()) for n, c in zip(NAMES, columns)], names=NAMES)
 
     sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("document")) for s in ("expected", "actual")]))
-    return pairs.select("pair_id", sides.alias("d")).select("pair_id", "d.*").mapInPandas(run, FLAT)
+    return pairs.select(F.col("pair_id").cast("string").alias("pair_id"), sides.alias("d")).select("pair_id", "d.*").mapInArrow(run, FLAT)
 
 
 def compare_documents(pairs: DataFrame, unordered: Iterable[str] = ()) -> DataFrame:
-    """pairs (pair_id, expected, actual: JSON texts) -> pair_id, path, reason, expected, actual. A pair with a refused text
-    or pointer has one difference, that names why. Arrays at the unordered pointers are compared as multisets; such a
+    """pairs (pair_id, expected, actual: JSON texts) -> pair_id, path, reason, expected, actual (the session needs a
+    checkpoint folder). pair_id is unique. A pair with a refused text or pointer has one difference, that names why. Arrays at the unordered pointers are compared as multisets; such a
     pointer inside another fails."""
     free = frozenset(unordered)
     if any(a != b and b.startswith(f"{a}/") for a in free for b in free):
         raise ValueError("an unordered array cannot hold another")
-    flat = flatten_documents(pairs, free)
+    # Read three times: once for refused texts, once to set the sides against each other, once for the objects that hold.
+    flat = flatten_documents(pairs, free).checkpoint()
     refused = flat.where("route is null").groupBy("pair_id").agg(F.min(F.struct(F.when(F.col("side") == "expected", 0).otherwise(1).alias("n"), "path", "kind", "value")).alias("r"))
     refused = refused.select("pair_id", F.col("r.path").alias("path"), F.concat_ws(": ", "r.kind", "r.value").alias("reason"), F.lit(None).cast("string").alias("expected"), F.lit(None).cast("string").alias("actual"))
     sound = flat.where("route is not null").join(refused.select("pair_id"), "pair_id", "left_anti")
-    side = lambda name, p: sound.where(F.col("side") == name).select("pair_id", "route", *[F.col(c).alias(f"{p}_{c}") for c in ("parent_route", "path", "in_object", "kind", "value")])
-    both = side("expected", "a").join(side("actual", "b"), ["pair_id", "route"], "full_outer")
+    # One aggregate instead of a join of the sides: a route occurs once on each.
+    side = lambda name, p: [F.max(F.when(F.col("side") == name, F.col(c))).alias(f"{p}_{c}") for c in ("parent_route", "path", "in_object", "kind", "value")]
+    both = sound.groupBy("pair_id", "route").agg(*side("expected", "a"), *side("actual", "b"))
     alone_a, alone_b = F.col("b_kind").isNull(), F.col("a_kind").isNull()
-    containers = sound.where("kind = 'object'").select("pair_id", F.col("route").alias("holder"), F.when(F.col("side") == "expected", "actual").otherwise("expected").alias("lacks")).distinct()
-    both = both.withColumn("holder", F.coalesce("a_parent_route", "b_parent_route")).withColumn("lacks", F.when(alone_a, "expected").when(alone_b, "actual"))
+    differ = alone_a | alone_b | (F.col("a_kind") != F.col("b_kind")) | ((F.col("a_kind") != "object") & (F.col("a_value") != F.col("b_value")))
+    both = both.where(differ).withColumn("holder", F.coalesce("a_parent_route", "b_parent_route")).withColumn("lacks", F.when(alone_a, "expected").when(alone_b, "actual"))
     # the object on the other side that should hold what one side alone has
+    containers = sound.where("kind = 'object'").select("pair_id", F.col("route").alias("holder"), F.when(F.col("side") == "expected", "actual").otherwise("expected").alias("lacks"))
     both = both.join(containers.withColumn("held", F.lit(True)), ["pair_id", "holder", "lacks"], "left")
     same_kind, array = F.col("a_kind") == F.col("b_kind"), F.col("a_kind") == "array"
     reason = (
