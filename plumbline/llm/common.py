@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once, however often body refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id falls into fold 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % F.lit(modulus), F.lit(0)).cast("int")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import fresh, stage_table
+from .common import bind, fresh, stage_table
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -94,11 +94,6 @@ def normal_tail(z: Column) -> Column:
     return F.when(z >= 0, F.lit(0.0)).otherwise(x * x / 2 * 0.4342944819 + F.lit(0.3990899342) - F.log10(poly))
 
 
-def bind(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import bind, lower_ascii
 from .components import connected_components
 
 CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
@@ -39,35 +39,39 @@ def path_of(url: Column) -> Column:
 
 def without_dots(path: Column) -> Column:
     """path without its "." and ".." segments."""
-    ended = F.when(path.rlike(r"/\.\.?$"), F.concat(path, F.lit("/"))).otherwise(path)
-    kept = F.aggregate(
-        F.split(ended, "/"),
+    fold = lambda p: F.aggregate(
+        F.split(F.when(p.rlike(r"/\.\.?$"), F.concat(p, F.lit("/"))).otherwise(p), "/"),
         F.expr("cast(array() as array<string>)"),
         lambda acc, s: F.when(s == ".", acc).when((s == "..") & (F.size(acc) > 1), F.slice(acc, F.lit(1), F.size(acc) - 1)).when(s == "..", acc).otherwise(F.concat(acc, F.array(s))),
     )
-    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.array_join(kept, "/")).otherwise(path)
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.array_join(fold(path), "/")).otherwise(path)
 
 
 def node_of(url: Column) -> Column:
     """Normal form of an absolute URL; null where there is none."""
-    scheme = F.lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1))
-    port = F.when(scheme == "http", F.regexp_replace(host_of(url), ":(80)?$", "")).when(scheme == "https", F.regexp_replace(host_of(url), ":(443)?$", "")).otherwise(host_of(url))
-    path = without_dots(path_of(url))
-    return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), port, F.when(path == "", "/").otherwise(path), F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)))
+    scheme, query = F.lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1)), F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    parts = F.struct(scheme.alias("scheme"), host_of(url).alias("host"), path_of(url).alias("path"), query.alias("query"))
+
+    def joined(u: Column) -> Column:
+        port = F.when(u["scheme"] == "http", ":(80)?$").when(u["scheme"] == "https", ":(443)?$").otherwise("$^")
+        path = F.when(u["path"] == "", "/").otherwise(bind(u["path"], without_dots))
+        return F.concat(u["scheme"], F.lit("://"), F.regexp_replace(u["host"], port, F.lit("")), path, u["query"])
+
+    return F.when(url.contains("://"), bind(parts, joined))
 
 
 def resolve(base: Column, ref: Column) -> Column:
     """Absolute form of a reference found on the page at base; null for one to the page itself or of another kind."""
-    site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    return (
-        F.when((ref == "") | ref.startswith("#"), None)
-        .when(ref.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), ref)
-        .when(ref.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), None)
-        .when(ref.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), ref))
-        .when(ref.startswith("/"), F.concat(site, ref))
-        .when(ref.startswith("?"), F.concat(F.regexp_extract(base, r"(?s)^([^?#]*)", 1), ref))
-        .otherwise(F.concat(F.regexp_replace(folder, "([^/])$", "$1/"), ref))
+    return bind(
+        ref,
+        lambda r: F.when((r == "") | r.startswith("#"), None)
+        .when(r.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), r)
+        .when(r.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), None)
+        .when(r.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), r))
+        .when(r.startswith("/"), F.concat(F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1), r))
+        .when(r.startswith("?"), F.concat(F.regexp_extract(base, r"(?s)^([^?#]*)", 1), r))
+        .otherwise(F.concat(F.regexp_replace(folder, "([^/])$", "$1/"), r)),
     )
 
 
@@ -78,13 +82,16 @@ def decoded(ref: Column) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(src, dst) nodes of all canonical links and immediate redirects declared in the pages' HTML."""
+    """(src, dst) nodes of all canonical links and immediate redirects declared in the pages' HTML. Each pattern is a
+    projection of its own, as what a CASE refers to often is computed as often."""
     p = pages.select("url", "html").where(F.col("url").contains("://") & F.col("html").rlike(r"(?i)canonical|http-equiv"))
-    declared = resolve(F.col("url"), decoded(F.regexp_extract("html", BASE, 1)))
     found = F.concat(F.regexp_extract_all("html", F.lit(CANONICAL), F.lit(1)), F.regexp_extract_all("html", F.lit(REFRESH), F.lit(1)))
-    refs = p.select("url", F.coalesce(declared, F.col("url")).alias("base"), F.explode(F.array_distinct(found)).alias("ref"))
-    links = refs.select(node_of(F.col("url")).alias("src"), node_of(resolve(F.col("base"), decoded(F.col("ref")))).alias("dst"))
-    return links.where("dst is not null and src != dst")
+    p = p.select("url", "html", found.alias("found")).where(F.size("found") > 0)
+    p = p.select("url", F.regexp_extract("html", BASE, 1).alias("base"), F.explode(F.array_distinct("found")).alias("ref"))
+    p = p.select("url", decoded(F.col("base")).alias("base"), decoded(F.col("ref")).alias("ref"))
+    p = p.select("url", F.coalesce(resolve(F.col("url"), F.col("base")), F.col("url")).alias("base"), "ref")
+    p = p.select("url", resolve(F.col("base"), F.col("ref")).alias("to"))
+    return p.select(node_of(F.col("url")).alias("src"), node_of(F.col("to")).alias("dst")).where("dst is not null and src != dst")
 
 
 def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
