@@ -1,8 +1,13 @@
 """Nulls in any column, empty and very long texts, ties and repeated rows, empty tables, clashing column names."""
 
+import os
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
+sys.path.insert(0, os.path.dirname(__file__))
+
 import corpus_pipeline
 from plumbline.llm import decontam, langid, lmscore, mixing, ngramjoin, permindex, secretscan, tokencount, toxicity, urlfilter
 
@@ -124,3 +129,66 @@ def test_pipeline_on_odd_tables(spark, docs, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = [r["doc_id"] for r in got if r["doc_id"] is not None]
     assert len(ids) == len(set(ids)) and {1, 6} <= set(ids) and {2, 3, 4, 5, 7}.isdisjoint(ids)
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    """Each stage against a plain version, on what the stage before it kept."""
+    import random
+    import re
+
+    from test_methods import brute_components, secrets_brute
+
+    rng = random.Random(11)
+    vocabulary = {"en": "the cat sat on a warm mat while rain fell over green hills and birds sang", "de": "der hund lief durch den wald und die katze schlief im warmen haus am fluss"}
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    rows = []
+    for i in range(160):
+        lang = "de" if i % 3 == 0 else "en"
+        text = " ".join(rng.choice(vocabulary[lang].split()) for _ in range(rng.randrange(30, 60)))
+        if i % 10 == 4:
+            text = rows[-1][1] + " again"
+        if i % 10 == 6:
+            text += f" {item}, and more"
+        if i % 10 == 8:
+            text += f" password = hunter{i:06d} end"
+        rows.append((i, text, lang, f"s{i % 3}" if i % 7 else None, len(text)))
+    rows += [(200, "1234 5678 !!", "en", "s1", 12), (201, None, "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    spark.createDataFrame([(1, item), (None, "no such words here at all in any of the documents")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    state, seen = docs, []
+    for name, stage in corpus_pipeline.STAGES:
+        state = stage(spark, state, str(tmp_path))
+        seen.append(sorted(map(tuple, state.collect()), key=str))
+        if len(seen) < 5:
+            assert state.columns == docs.columns
+            state = spark.createDataFrame(seen[-1], docs.schema)
+    kept, single, cut, masked, mixed = seen
+    assert {200, 201}.isdisjoint({r[0] for r in kept}) and len(kept) >= 155 and set(kept) <= set(rows)
+
+    kept = sorted(kept)
+    groups = {}
+    for r, (_, c) in zip(kept, brute_components([r[1] for r in kept], 80, 5)):
+        groups.setdefault(c, r)  # rows come by id
+    assert sorted(single) == sorted(groups.values()) and len(single) < len(kept)
+
+    def without_item(text):
+        return re.sub(item.replace(" ", r"\W+"), "", text)
+
+    assert sorted(cut) == sorted((i, without_item(t), lang, s, len(without_item(t))) for i, t, lang, s, _ in single) and sum(r[1] != o[1] for r, o in zip(sorted(cut), sorted(single))) >= 10
+
+    def mask(text):
+        out, at = "", 0
+        for start, _, end in secrets_brute(text):
+            if start >= at:
+                out += text[at:start] + "[SECRET]"
+            at = max(at, end)
+        return out + text[at:]
+
+    assert sorted(masked) == sorted((i, mask(t), lang, s, n) for i, t, lang, s, n in cut) and sum("[SECRET]" in r[1] for r in masked) >= 10
+
+    by = {}
+    for (i, t, _, s, _), r in zip(sorted(masked), sorted(mixed)):
+        assert (r[0], r[1], r[2]) == (i, s, len(t.split())) and r[-1] == r[-2] * r[2] <= 3 * r[2]
+        by.setdefault(s, []).append(r)
+    for group in by.values():
+        assert sum(r[2] for r in group) == group[0][3] and abs(sum(r[-1] for r in group) - group[0][4]) <= 0.02 * group[0][4] + 30
