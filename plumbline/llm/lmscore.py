@@ -43,7 +43,8 @@ from .common import LOWER_BYTES, fold, give_back, stage_table
 
 BLOCK_WORDS = 1_000_000
 SLICE_TOKENS = 1 << 18
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 25
+MOST_TASKS = 100_000
 SLICES = 64
 PROBES = 3
 LOAD = 0.15
@@ -289,10 +290,13 @@ def score_texts(docs: DataFrame, block_words: int = BLOCK_WORDS, filter_bits: in
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs. filter_bits: about the
     size of a part of the filter; there are as many parts as the corpus needs."""
     blocks = gather_blocks(docs, block_words)
-    n_words = blocks.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    words = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
+    n_words, n_blocks = blocks.agg(F.coalesce(F.sum(words), F.lit(0)), F.count("*")).first()
     # a word adds one token and one pair at most
     parts = max(1, -int(-2 * n_words * PROBES / LOAD // filter_bits))
-    levels = stage_table(gram_rows(blocks, parts).groupBy("part").applyInPandas(fill_and_read, LEVEL_SCHEMA), "levels")
+    # a task for each part and block, so that what a task reads does not grow with the corpus
+    grams = gram_rows(blocks, parts).repartition(min(parts, MOST_TASKS), "part")
+    levels = stage_table(grams.groupBy("part").applyInPandas(fill_and_read, LEVEL_SCHEMA), "levels")
     r = levels.where("block is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "n_kinds", "mass", "n_pairs", "once")]).first()
     model = {"n": r["n_tokens"], "v": r["n_kinds"], "mass": r["mass"] + r["n_kinds"] + 1, "lam": min(0.9, 1 - r["once"] / r["n_pairs"]) if r["n_pairs"] else 0.0}
 
@@ -302,7 +306,8 @@ def score_texts(docs: DataFrame, block_words: int = BLOCK_WORDS, filter_bits: in
         ids = [None if pd.isna(x) else int(x) for x in r["doc_id"]]
         return score_block(ids, list(r["held"]), np.asarray(r["n"], np.int64), open_up(r["ids"], np.int32), np.frombuffer(r["hashes"], np.uint64), *read, model)
 
-    left = blocks.select("block", "doc_id", "held", "n", "ids", "hashes").groupBy("block")
-    right = levels.where("block is not null").select("block", "part", "word_n", "word_q", "pair_q").groupBy("block")
-    scored = left.cogroup(right).applyInPandas(run, SCHEMA)
+    tasks = min(max(n_blocks, 1), MOST_TASKS)
+    left = blocks.select("block", "doc_id", "held", "n", "ids", "hashes").repartition(tasks, "block")
+    right = levels.where("block is not null").select("block", "part", "word_n", "word_q", "pair_q").repartition(tasks, "block")
+    scored = left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(run, SCHEMA)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model["n"])).cast("long").alias("train_tokens"), "base_score", "score")
