@@ -1,7 +1,7 @@
 """Strict comparison of JSON documents and of row sets.
 
-Documents are flattened to one row per value: its route (the keys and positions that lead to it, each with the kind of
-container it is in), path (JSON pointer), kind and text. Two documents are set against each other by one aggregate per route,
+Documents are flattened to one entry per value: its route (the keys and positions that lead to it, each with the kind of
+container it is in), path (JSON pointer), kind and text. Two documents are set against each other by a join on the route,
 so values meet only where all containers around them are of one kind. What one side alone has is a difference if the
 other side has the object that should hold it; positions past the end of an array are told by the array's length.
 """
@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 #: fixed values: reasons of a difference
 TYPE, MISSING, UNEXPECTED, LENGTH, VALUE, MULTISET = "type", "missing_field", "unexpected_field", "array_length", "value", "multiset"
 INVALID, POLICY = "invalid_json", "invalid_policy"
-NAMES = ["pair_id", "side", "route", "parent_route", "path", "in_object", "kind", "value"]
-FLAT = ", ".join(f"{n} {'boolean' if n == 'in_object' else 'string'}" for n in NAMES)
+NAMES = ["pair_id", "path", "reason", "expected", "actual"]
 
 
 def strict_json(text: str) -> Any:
@@ -68,59 +67,63 @@ def flatten(document: Any, unordered: frozenset[str]) -> Iterator[tuple]:
             todo.append((f"{route}{'.' if what == 'object' else '#'}{step}", route, path + step, what == "object", x))
 
 
-def flatten_documents(pairs: DataFrame, unordered: frozenset[str]) -> DataFrame:
-    """Values of both sides (FLAT). A text that is not strict JSON, or lacks an array at an unordered pointer, is one row
-    of its side without a route."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for pair, side, text in zip(*(c.to_pylist() for c in batch.columns)):
-                try:
-                    found = list(flatten(strict_json(text), unordered))
-                    lost = sorted(unordered - {f[2] for f in found if f[4] == "multiset"}) if unordered else []
-                    if lost:
-                        found = [(None, None, lost[0], False, POLICY, "an unordered pointer must name an array in both documents")]
-                except (ValueError, TypeError) as e:
-                    found = [(None, None, "", False, INVALID, str(e))]
-                out += [(pair, side, *f) for f in found]
-            columns = list(zip(*out)) or [()] * len(NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if n == "in_object" else pa.string()) for n, c in zip(NAMES, columns)], names=NAMES)
-
-    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("document")) for s in ("expected", "actual")]))
-    return pairs.select(F.col("pair_id").cast("string").alias("pair_id"), sides.alias("d")).select("pair_id", "d.*").mapInArrow(run, FLAT)
+def flat_values(text: str | None, unordered: frozenset[str]) -> dict[str, tuple]:
+    """Values of a document by route; what is no strict JSON raises."""
+    if text is None:
+        raise ValueError("no document")
+    return {f[0]: f[1:] for f in flatten(strict_json(text), unordered)}
+
+
+def refusal(sides: list[str | None], unordered: frozenset[str]) -> tuple[list[dict[str, tuple]], tuple | None]:
+    """Both sides' values, or the one difference that names why the first unfit side is refused."""
+    out: list[dict[str, tuple]] = []
+    for text in sides:
+        try:
+            out.append(flat_values(text, unordered))
+        except (ValueError, TypeError, RecursionError) as e:
+            return out, ("", f"{INVALID}: {e}", None, None)
+        lost = unordered - {path for _, path, _, what, _ in out[-1].values() if what == "multiset"}
+        if lost:
+            return out, (min(lost), f"{POLICY}: an unordered pointer must name an array in both documents", None, None)
+    return out, None
+
+
+def value_differences(expected: dict[str, tuple], actual: dict[str, tuple]) -> Iterator[tuple]:
+    """(path, reason, expected, actual) by an outer join of the sides on the route."""
+    shown = {"multiset": "array"}
+    for one, other, reason in ((expected, actual, MISSING), (actual, expected, UNEXPECTED)):
+        for route in one.keys() - other.keys():
+            parent, path, in_object, _, value = one[route]
+            # the other side has the object that should hold it
+            if in_object and parent in other and other[parent][3] == "object":
+                yield (path, reason, value, None) if reason == MISSING else (path, reason, None, value)
+    for route in expected.keys() & actual.keys():
+        (_, path, _, kind_a, a), (*_, kind_b, b) = expected[route], actual[route]
+        if kind_a != kind_b:
+            yield path, TYPE, shown.get(kind_a, kind_a), shown.get(kind_b, kind_b)
+        elif a != b and kind_a != "object":
+            yield path, {"array": LENGTH, "multiset": MULTISET}.get(kind_a, VALUE), a, b
 
 
 def compare_documents(pairs: DataFrame, unordered: Iterable[str] = ()) -> DataFrame:
-    """pairs (pair_id, expected, actual: JSON texts) -> pair_id, path, reason, expected, actual (the session needs a
-    checkpoint folder). pair_id is unique. A pair with a refused text or pointer has one difference, that names why. Arrays at the unordered pointers are compared as multisets; such a
-    pointer inside another fails."""
+    """pairs (pair_id, expected, actual: JSON texts) -> pair_id, path, reason, expected, actual. The sides of a pair stand in
+    one row, so pairs are compared where they are read, without a shuffle; rows that repeat a pair_id are pairs of their own.
+    A pair with a refused text or pointer has one difference, that names why. Arrays at the unordered pointers are compared
+    as multisets; such a pointer inside another fails."""
     free = frozenset(unordered)
     if any(a != b and b.startswith(f"{a}/") for a in free for b in free):
         raise ValueError("an unordered array cannot hold another")
-    # Read three times: once for refused texts, once to set the sides against each other, once for the objects that hold.
-    flat = flatten_documents(pairs, free).checkpoint()
-    refused = flat.where("route is null").groupBy("pair_id").agg(F.min(F.struct(F.when(F.col("side") == "expected", 0).otherwise(1).alias("n"), "path", "kind", "value")).alias("r"))
-    refused = refused.select("pair_id", F.col("r.path").alias("path"), F.concat_ws(": ", "r.kind", "r.value").alias("reason"), F.lit(None).cast("string").alias("expected"), F.lit(None).cast("string").alias("actual"))
-    sound = flat.where("route is not null").join(refused.select("pair_id"), "pair_id", "left_anti")
-    # One aggregate instead of a join of the sides: a route occurs once on each.
-    side = lambda name, p: [F.max(F.when(F.col("side") == name, F.col(c))).alias(f"{p}_{c}") for c in ("parent_route", "path", "in_object", "kind", "value")]
-    both = sound.groupBy("pair_id", "route").agg(*side("expected", "a"), *side("actual", "b"))
-    alone_a, alone_b = F.col("b_kind").isNull(), F.col("a_kind").isNull()
-    differ = alone_a | alone_b | (F.col("a_kind") != F.col("b_kind")) | ((F.col("a_kind") != "object") & (F.col("a_value") != F.col("b_value")))
-    both = both.where(differ).withColumn("holder", F.coalesce("a_parent_route", "b_parent_route")).withColumn("lacks", F.when(alone_a, "expected").when(alone_b, "actual"))
-    # the object on the other side that should hold what one side alone has
-    containers = sound.where("kind = 'object'").select("pair_id", F.col("route").alias("holder"), F.when(F.col("side") == "expected", "actual").otherwise("expected").alias("lacks"))
-    both = both.join(containers.withColumn("held", F.lit(True)), ["pair_id", "holder", "lacks"], "left")
-    same_kind, array = F.col("a_kind") == F.col("b_kind"), F.col("a_kind") == "array"
-    reason = (
-        F.when(alone_a, F.when(F.col("a_in_object") & F.col("held"), MISSING)).when(alone_b, F.when(F.col("b_in_object") & F.col("held"), UNEXPECTED))
-        .when(~same_kind, TYPE).when((F.col("a_kind") == "object") | (F.col("a_value") == F.col("b_value")), None)
-        .when(array, LENGTH).when(F.col("a_kind") == "multiset", MULTISET).otherwise(VALUE)
-    )
-    shown = lambda p: F.when(F.col("reason") == TYPE, F.regexp_replace(f"{p}_kind", "^multiset$", "array")).otherwise(F.col(f"{p}_value"))
-    told = both.withColumn("reason", reason).where("reason is not null")
-    return told.select("pair_id", F.coalesce("a_path", "b_path").alias("path"), "reason", shown("a").alias("expected"), shown("b").alias("actual")).unionByName(refused)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for pair, *texts in zip(*(c.to_pylist() for c in batch.columns)):
+                sides, refused = refusal(texts, free)
+                out += [(pair, *d) for d in ([refused] if refused else sorted(value_differences(*sides), key=lambda d: d[:2]))]
+            columns = list(zip(*out)) or [()] * len(NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=NAMES)
+
+    return pairs.select(F.col("pair_id").cast("string"), "expected", "actual").mapInArrow(run, ", ".join(f"{n} string" for n in NAMES))
 
 
 def multiset_difference(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -962,7 +962,6 @@ union all select pair_id, '/list', 'array_length', '2', '1' from d where k % 3 =
 union all select pair_id, '/only', 'missing_field', 'integer:1', null from d where k % 11 = 0""")
 def document_differences(spark: SparkSession, d: str) -> DataFrame:
     """V1, V3: orders as pairs of JSON documents that differ in known ways."""
-    with_checkpoints(spark)
     k, st = F.col("o_orderkey"), F.col("o_orderstatus")
     body = lambda status, tags, items, n, more: F.concat(F.lit('{"status": "'), status, F.lit('", "tags": '), F.lit(tags) if isinstance(tags, str) else tags, F.lit(', "list": '), items, F.lit(', "n": '), n, more, F.lit("}"))
     a = body(st, '["a", "b"]', F.lit("[1, 2]"), F.lit("1"), F.when(k % 11 == 0, ', "only": 1').otherwise(""))
