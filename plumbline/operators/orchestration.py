@@ -136,9 +136,9 @@ def build_topology(revisions: DataFrame, records: Mapping[str, DataFrame]) -> di
 
 def dependency_table(edges: DataFrame, gaps: DataFrame, flows: DataFrame) -> DataFrame:
     """One table of dependencies, gaps and the flows that take no part in either."""
-    ends = edges.select(F.col("producer_system").alias("system_id"), F.col("producer_revision").alias("revision_id"), F.col("producer_flow_id").alias("flow_id")).union(
-        edges.select("consumer_system", "consumer_revision", "consumer_flow_id")
-    )
+    # both ends of an edge from one reading of the edges
+    end = lambda side: F.struct(F.col(f"{side}_system").alias("system_id"), F.col(f"{side}_revision").alias("revision_id"), F.col(f"{side}_flow_id").alias("flow_id"))
+    ends = edges.select(F.explode(F.array(end("producer"), end("consumer"))).alias("end")).select("end.*")
     ends = ends.union(gaps.select("consumer_system", "consumer_revision", "consumer_flow_id")).distinct()
     alone = flows.withColumn("flow_id", verbatim("flow_id")).join(ends, [*REVISION, "flow_id"], "left_anti")
     rows = edges.withColumn("row_kind", F.lit("dependency")).unionByName(gaps.drop("candidate_revisions").withColumn("row_kind", F.lit("gap")), allowMissingColumns=True)

@@ -20,6 +20,9 @@ def text(c: str) -> F.Column:
 
 # ---- orchestration
 
+#: fixed values: the return flags of the tables' specification, in order
+RETURN_FLAGS = ("A", "N", "R")
+
 
 def producers(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers' part lines as published entities."""
@@ -29,8 +32,10 @@ def producers(spark: SparkSession, d: str) -> DataFrame:
         text("l_suppkey").alias("flow_id"), "l_returnflag", "l_quantity",
     )
     key = ["profile", "entity_id", "system_id", "revision_id"]
-    rows = rows.groupBy(*key, "flow_id").agg(F.array_sort(F.collect_set("l_returnflag")).alias("published"), F.max(F.col("l_quantity") > 40).alias("direct"))
-    return keys.precedence(rows, key, F.col("direct"))
+    # One boolean a flag instead of a set: an aggregate of fixed width stays in generated code and never falls back to sorting.
+    flags = rows.groupBy(*key, "flow_id").agg(F.max(F.col("l_quantity") > 40).alias("direct"), *[F.max(F.col("l_returnflag") == f).alias(f"is_{f}") for f in RETURN_FLAGS])
+    published = F.array_compact(F.array(*[F.when(F.col(f"is_{f}"), f) for f in RETURN_FLAGS]))
+    return keys.precedence(flags.select(*key, "flow_id", published.alias("published"), "direct"), key, F.col("direct"))
 
 
 def triggers(spark: SparkSession, d: str) -> DataFrame:
