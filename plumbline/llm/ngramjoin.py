@@ -1,4 +1,5 @@
-"""N-gram Jaccard self-join by vertical partitioning, and its connected components.
+"""N-gram Jaccard self-join and its connected components: prefix filtering finds the candidates, whose overlaps are counted in
+vertical fragments of the shingle order and summed per pair (inside a unit, not as fragments dealt over the cluster).
 
 A document's set holds its distinct shingles of `width` words (64-bit hashes); one of fewer words is a single
 shingle, one without words has an empty set. Two documents link when 100 * common >= percent * union.
