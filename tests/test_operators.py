@@ -299,6 +299,13 @@ def test_unordered_pointers_must_name_arrays(spark):
         compare.compare_documents(pairs, ["/x", "/x/0"])
 
 
+def test_pairs_that_repeat_an_id_or_lack_a_document(spark):
+    pairs = spark.createDataFrame([("p", "[1]", "[2]"), ("p", "[1]", "[1]"), ("p", "{}", "[]"), (None, "1", "1.0"), ("n", None, "1"), ("m", "1", None)], "pair_id string, expected string, actual string")
+    got = sorted((str(r["pair_id"]), r["path"], r["reason"].split(":")[0]) for r in compare.compare_documents(pairs).collect())
+    assert got == [("None", "", "type"), ("m", "", "invalid_json"), ("n", "", "invalid_json"), ("p", "", "type"), ("p", "/0", "value")]
+    assert compare.compare_documents(pairs.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("bad", ['{"a":1,"a":2}', "NaN", "[Infinity]"])
 def test_strict_json(bad):
     with pytest.raises(ValueError):
