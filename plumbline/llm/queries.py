@@ -1,11 +1,11 @@
-"""The ten operators as queries over the driver's tables, and DuckDB SQL for those that SQL can express."""
+"""The operators as queries over the driver's tables, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lmscore, mixing, ngramjoin, permindex, secretscan, sql, tokencount, toxicity, urlfilter
+from . import alignment, decontam, langid, lmscore, mixing, ngramjoin, packing, permindex, secretscan, sql, tokencount, toxicity, urlfilter
 from .common import table
 
 #: fixed values: the URL rules of the query
@@ -73,11 +73,24 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    return alignment.align_and_count(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_toxicity, op3_language_id, op4_ngram_jaccard, op5_nearest_neighbours, op6_secret_scan,
-        op7_token_counts, op8_decontaminate, op9_mix_sources, op10_lm_score,
+        op7_token_counts, op8_decontaminate, op9_mix_sources, op10_lm_score, op11_pack, op13_align,
     )
 }
 #: The others learn models, search approximately or test randomness: they are tested against brute force instead.
