@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontam, langid, lmscore, mixing, ngramjoin, packing, permindex, secretscan, sql, tokencount, toxicity, urlfilter
+from . import alignment, decontam, langid, lexsearch, lmscore, mixing, ngramjoin, packing, permindex, secretscan, sql, tokencount, toxicity, urlfilter
 from .common import table
 
 #: fixed values: the URL rules of the query
@@ -79,6 +79,10 @@ def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -90,8 +94,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_toxicity, op3_language_id, op4_ngram_jaccard, op5_nearest_neighbours, op6_secret_scan,
-        op7_token_counts, op8_decontaminate, op9_mix_sources, op10_lm_score, op11_pack, op13_align,
+        op7_token_counts, op8_decontaminate, op9_mix_sources, op10_lm_score, op11_pack, op12_search, op13_align,
     )
 }
 #: The others learn models, search approximately or test randomness: they are tested against brute force instead.
-SQL: dict[str, str] = {"op1_url_filter": sql.OP1, "op4_ngram_jaccard": sql.OP4, "op8_decontaminate": sql.OP8, "op9_mix_sources": sql.OP9}
+SQL: dict[str, str] = {"op1_url_filter": sql.OP1, "op4_ngram_jaccard": sql.OP4, "op8_decontaminate": sql.OP8, "op9_mix_sources": sql.OP9, "op12_search": sql.OP12}

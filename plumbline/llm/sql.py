@@ -99,3 +99,18 @@ g0 as (select *, coalesce(q is not null and cum <= rest, false) once, rest - coa
 {_closing(3)}
 select doc_id, size, source_size, target, cast((copies + cast(once as int)) * size as bigint) taken from g3
 """
+
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), {FOLD}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12 = rf"""
+with d as (select row_number() over () k, doc_id, {_TERMS} ws from documents),
+i as (select row_number() over () q, item_id, {_TERMS} ws from benchmark),
+tot as (select count(*) n, cast(sum(len(ws)) as bigint) l from d where len(ws) > 0),
+it as (select q, item_id, term, count(*) times from (select q, item_id, unnest(ws) term from i) group by all),
+p as (select k, doc_id, term, n, count(*) tf from (select k, doc_id, cast(len(ws) as bigint) n, unnest(ws) term from d) where term in (select term from it) group by all),
+w as (select term, cast(floor(1000 * ln((2 * tot.n + 2)::double / (2 * count(*) + 1)::double)) as bigint) w from p, tot group by term, tot.n),
+c as (select k, doc_id, p.term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * p.n * tot.n) // tot.l)))) c from p join w using (term), tot),
+s as (select q, item_id, k, doc_id, cast(sum(times * c) as bigint) score from c join it using (term) group by all having sum(times * c) > 0),
+r as (select *, row_number() over (partition by q order by score desc, doc_id asc nulls last) rank from s)
+select item_id, cast(rank as int) rank, doc_id, score from r where rank <= 20
+"""
