@@ -92,7 +92,7 @@ def words_of(text: str) -> list[str]:
 class Encoder:
     """encode(text): packed little-endian 32-bit ids, as the library gives them without special tokens around."""
 
-    def __init__(self, model: str, facts: dict, added_as_text: bool = False, most: int = 350_000):
+    def __init__(self, model: str, facts: dict, added_as_text: bool = False, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(model)
