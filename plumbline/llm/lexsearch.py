@@ -7,7 +7,8 @@ lists, by blocks of rows, highest first, in the shared folder. Lists are shared
 1. the heads of all lists give each item candidates; the exact scores of the best of them bound its k-th score from below;
 2. that bound over the number of the item's lists is a uniform threshold: every posting that reaches it is fetched. What was
    not fetched adds less than the threshold a list, so a document with no fetched posting is out, and a document's fetched
-   sum and what its other lists could still add tell whether it can reach the bound, which the fetched sums raise;
+   sum and what its other lists could still add tell whether it can reach the bound, which the exact scores of the highest
+   sums raise. Lists are shared, so a posting is sent once, however many items ask for it;
 3. exact scores of the documents left are looked up, and the k highest stay.
 
 Null text has no term; such documents, and those without words, count nowhere. Repeated rows are documents of their own, on
@@ -34,8 +35,11 @@ WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)
 TERMS, BROADCAST_ROWS = 1_000_000, 1_000_000
 #: a list's rows in one block: this many, or a 2,048th of all postings if that is less
 LIST_BLOCK, LIST_BLOCKS = 65_536, 2_048
-#: heads and exactly scored candidates of the first phase, in multiples of k
-HEADS = 5
+#: rows of a list's head and exactly scored candidates, in multiples of k
+HEADS, CANDIDATES = 50, 5
+#: the uniform threshold is this part of what would do: postings are sent once for all items, so more of them cost little, and
+#: what is left unread bounds documents the closer
+FINER = 8
 
 
 def item_terms(items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,6 +107,12 @@ def exact_scores(lists: DataFrame, wanted: DataFrame, candidates: DataFrame) ->
     return found.groupBy("q", "row", "doc_id").agg(F.sum(F.col("times") * F.col("c")).alias("score"))
 
 
+def likeliest(seen: DataFrame, k: int) -> DataFrame:
+    """(q, row) of the highest partial sums s of each q, as a staged table."""
+    first = F.row_number().over(W.partitionBy("q").orderBy(F.col("s").desc(), "row"))
+    return stage_table(seen.withColumn("r", first).where(F.col("r") <= CANDIDATES * k).select("q", "row"), "candidates")
+
+
 def tput(lists: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """q, doc_id, score, rank of each q's k highest rows. lists: t, row, doc_id, c; wanted: q, t, times; staged tables."""
     by_c = W.partitionBy("t").orderBy(F.col("c").desc(), "row")
@@ -113,21 +123,22 @@ def tput(lists: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     # first phase
     added = F.col("times") * F.col("c")
     seen = heads.join(broadcast_if_small(wanted, BROADCAST_ROWS), "t").groupBy("q", "row").agg(F.sum(added).alias("s"))
-    first = F.row_number().over(W.partitionBy("q").orderBy(F.col("s").desc(), "row"))
-    candidates = stage_table(seen.withColumn("r", first).where(F.col("r") <= HEADS * k).select("q", "row"), "candidates")
-    bound = stage_table(kth_highest(exact_scores(lists, wanted, candidates), "score", k, "bound"), "bounds")
+    bound = stage_table(kth_highest(exact_scores(lists, wanted, likeliest(seen, k)), "score", k, "bound"), "bounds")
 
-    # second phase: the threshold is bound / lists, kept as a product so that nothing is rounded
+    # second phase: the threshold is bound / lists / FINER, kept as a product so that nothing is rounded
     number = wanted.groupBy("q").agg(F.count("*").alias("lists")).join(bound, F.col("q") == F.col("qk"), "left")
     number = number.select(F.col("q").alias("qn"), "lists", F.coalesce("bound", F.lit(0)).alias("bound"))
-    under = F.least(F.col("times") * F.col("most"), F.ceil(F.col("bound") / F.col("lists")))  # what an unfetched posting stays below, or reaches
-    limits = stage_table(wanted.join(number, F.col("q") == F.col("qn")).drop("qn").withColumn("under", under), "limits")
-    fetched = lists.join(broadcast_if_small(limits, BROADCAST_ROWS), "t").where(added * F.col("lists") >= F.col("bound"))
-    sums = stage_table(fetched.groupBy("q", "row").agg(F.sum(added).alias("s"), F.sum("under").alias("met")), "sums")
-    raised = kth_highest(sums, "s", k, "raised")
-    whole = limits.groupBy("q").agg(F.sum("under").alias("all"), F.max("bound").alias("bound")).join(raised, F.col("q") == F.col("qk"), "left")
-    whole = stage_table(whole.select(F.col("q").alias("qw"), "all", F.greatest("bound", F.coalesce("raised", F.lit(0))).alias("bound")), "raised")
-    able = sums.join(broadcast_if_small(whole, BROADCAST_ROWS), F.col("q") == F.col("qw")).where(F.col("s") + F.col("all") - F.col("met") >= F.col("bound"))
+    under = F.least(F.col("times") * F.col("most"), F.ceil(F.col("bound") / (FINER * F.col("lists"))))  # an unfetched posting adds no more
+    limits = wanted.join(number, F.col("q") == F.col("qn")).drop("qn").withColumn("under", under)
+    limits = stage_table(limits.withColumn("all", F.sum("under").over(W.partitionBy("q"))), "limits")
+    # A posting that any item asks for is sent once, to its row's partition; what it adds to each item is summed there.
+    least = limits.groupBy(F.col("t").alias("tl")).agg(F.min(F.col("bound") / (FINER * F.col("lists") * F.col("times"))).alias("least"))
+    fetched = lists.join(broadcast_if_small(least, BROADCAST_ROWS), F.col("t") == F.col("tl")).where(F.col("c") + 1 >= F.col("least")).select("t", "row", "c").repartition("row")
+    fetched = fetched.join(broadcast_if_small(limits, BROADCAST_ROWS), "t").where(added * FINER * F.col("lists") >= F.col("bound"))
+    sums = fetched.groupBy("q", "row").agg(F.sum(added).alias("s"), F.sum(added - F.col("under")).alias("more"), F.first("all").alias("all"), F.first("bound").alias("bound"))
+    able = stage_table(sums.where(F.col("all") + F.col("more") >= F.col("bound")).select("q", "row", "s", (F.col("all") + F.col("more")).alias("most")), "able")
+    raised = kth_highest(exact_scores(lists, wanted, likeliest(able, k)), "score", k, "raised")
+    able = able.join(broadcast_if_small(stage_table(raised, "raised"), BROADCAST_ROWS), F.col("q") == F.col("qk"), "left").where("raised is null or most >= raised")
 
     # third phase
     scored = exact_scores(lists, wanted, stage_table(able.select("q", "row"), "survivors"))
