@@ -65,6 +65,30 @@ def paths(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS, max_pat
     return out.select("start", "end", "path", "hops", "truncated")
 
 
+#: numbers of paths are held here, so that no sum overflows
+MOST_PATHS = 10**15
+
+
+def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, end, hops, path_count, path) for every node that starts reach: the fewest hops, how many paths have that many (at
+    most MOST_PATHS), and the first of them, by their names joined with ">".
+
+    Numbers are summed per node and round instead of listing paths: a round extends the last one's nodes, and every node carries one
+    path. Rounds go on until one finds nothing new; each is checkpointed."""
+    e = edges.select(F.col("src").alias("end"), "dst").where("end is not null and dst is not null").distinct().checkpoint()
+    front = starts.select(F.col("node").alias("start"), F.col("node").alias("end"), F.lit(0).alias("hops"), F.lit(1).cast("long").alias("path_count"), F.array("node").alias("path")).where("start is not null").distinct().checkpoint()
+    known, hop = front, 0
+    while True:
+        hop += 1
+        order = F.concat(F.array_join("path", ">"), F.lit(">"))
+        found = front.join(e, "end").groupBy("start", "dst").agg(F.least(F.sum("path_count"), F.lit(MOST_PATHS)).alias("path_count"), F.min_by("path", order).alias("path"))
+        found = found.join(known.select("start", F.col("end").alias("dst")), ["start", "dst"], "left_anti")
+        front = found.select("start", F.col("dst").alias("end"), F.lit(hop).alias("hops"), "path_count", F.concat("path", F.array("dst")).alias("path")).checkpoint()
+        if front.isEmpty():
+            return known.where("hops > 0")
+        known = known.union(front)
+
+
 def shortest_unique(found: DataFrame, keys: list[str]) -> DataFrame:
     """The path with fewest hops of each key if just one has that length; path_count says how many have."""
     w = W.partitionBy(*keys)

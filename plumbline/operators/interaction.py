@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -234,65 +233,17 @@ def reverse_proof(candidates: DataFrame, flows: DataFrame) -> DataFrame:
     return hit.groupBy("edge_id", "role", "field_path").agg(F.count("*").alias("n"), F.min("value_node_id").alias("anchor_id")).where("n = 1").drop("n")
 
 
-def external_origin_gaps(terminals: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Terminals that are a projected field whose parent is a typed invocation that is external or unresolved.
-    terminals: journey_id, occurrence_id; occurrences: occurrence_id, kind, parent_id, declared_type, status, property."""
-    own = occurrences.where(F.col("kind") == "field_projection").select("occurrence_id", "parent_id", "property")
-    up = occurrences.where((F.col("kind") == "invocation") & (F.col("status") == "external_or_unresolved") & (clean("declared_type") != "")).select(F.col("occurrence_id").alias("parent_id"), F.col("declared_type").alias("external_type"))
-    return terminals.join(own, "occurrence_id").join(up, "parent_id").select("journey_id", "external_type", "property", F.lit("source_external_origin_unresolved").alias("reason"))
-
-
-def external_evidence(gaps: DataFrame, published: DataFrame, paths: DataFrame) -> DataFrame:
-    """Exact (type, property) evidence in other repositories with a reverse path of one hop or more and a fine
-    confidence. covered tells whether every open terminal of the journey has some. published: repo_id, owner_type,
-    property, value_node_id; paths: value_node_id, hop_count, confidence, origin_id."""
-    good = paths.where((F.col("hop_count") > 0) & F.col("confidence").isin(*FINE))
-    found = published.join(good, "value_node_id").groupBy(F.col("owner_type").alias("external_type"), "property").agg(sorted_set(F.col("repo_id")).alias("repositories"), sorted_set(F.col("origin_id")).alias("origins"))
-    out = gaps.join(found, ["external_type", "property"], "left")
-    return out.withColumn("covered", F.min(F.col("origins").isNotNull()).over(W.partitionBy("journey_id"))).withColumn("reason", F.when(F.col("covered"), "source_external_origin_link_unproven").otherwise(F.col("reason")))
-
-
-def nested_origin_shared(parent_origins: Column, child_origins: Column) -> Column:
-    """A nested property's evidence counts only if it shares an origin with its ancestor's."""
-    return F.arrays_overlap(parent_origins, child_origins)
-
-
-def scalar_continuations(segments: DataFrame, callees: DataFrame) -> DataFrame:
-    """Segments continued through a resolved callee by its method, type and property. segments: journey_id,
-    callee_method_id, external_type, property; callees: method_id, owner_type, property, value_node_id."""
-    c = callees.select(F.col("method_id").alias("callee_method_id"), F.col("owner_type").alias("external_type"), "property", F.col("value_node_id").alias("next_node"))
-    return segments.join(c, ["callee_method_id", "external_type", "property"])
-
-
-def semantic_projection(segments: DataFrame) -> DataFrame:
-    """journey_id -> ordered distinct references of the deepest segment, if it is the only one of its depth and its
-    shortest path is unique. segments: journey_id, depth, hops, refs."""
-    w = W.partitionBy("journey_id")
-    deep = segments.withColumn("d", F.max("depth").over(w)).where("depth = d").withColumn("h", F.min("hops").over(w)).where("hops = h").withColumn("n", F.count("*").over(w))
-    return deep.where("n = 1").select("journey_id", F.array_distinct(F.filter("refs", lambda r: clean(r) != "")).alias("refs"))
-
-
 def nesting_ladder(candidates: DataFrame) -> DataFrame:
     """journey_id -> ladder: structural references from the innermost out, each the shortest one that ends with the rung
     before; a tie ends the climb. Collection marks ([]) do not count. candidates: journey_id, leaf, ref."""
-
-    def climb(pdf: pd.DataFrame) -> pd.DataFrame:
-        plain = lambda s: s.replace("[]", "")
-        rung, ladder = plain(pdf["leaf"].iloc[0]), []
-        refs = sorted(set(pdf["ref"].dropna()))
-        while True:
-            above = [r for r in refs if plain(r).endswith("." + rung)]
-            if not above:
-                break
-            least = min(plain(r).count(".") for r in above)
-            nearest = [r for r in above if plain(r).count(".") == least]
-            if len({plain(r) for r in nearest}) != 1:
-                break
-            ladder.append(nearest[0])
-            rung = plain(nearest[0])
-        return pd.DataFrame({"journey_id": [pdf["journey_id"].iloc[0]], "ladder": [ladder]})
-
-    return candidates.groupBy("journey_id").applyInPandas(climb, "journey_id string, ladder array<string>")
+    from .projection import climb
+
+    plain = lambda c: F.replace(c, F.lit("[]"), F.lit(""))
+    leaf = candidates.groupBy("journey_id").agg(plain(F.first("leaf")).alias("shape")).select("journey_id", F.lit("").alias("ref"), "shape", F.lit(0).alias("n"))
+    refs = candidates.where("ref is not null").select("journey_id", "ref", plain(F.col("ref")).alias("shape")).distinct()
+    refs = refs.withColumn("parts", F.split("shape", r"\.")).withColumn("n", F.size("parts")).withColumn("preference", F.lit(0)).withColumn("ident", F.col("shape"))
+    rungs = climb(leaf, refs).groupBy("journey_id").agg(F.array_sort(F.collect_list(F.when(F.col("rung") > 0, F.struct("rung", "ref"))))["ref"].alias("ladder"))
+    return rungs.select("journey_id", F.coalesce("ladder", F.array().cast("array<string>")).alias("ladder"))
 
 
 def longest_prefix(paths: DataFrame, parents: DataFrame, separator: str = ".", path: str = "path", parent: str = "parent") -> DataFrame:

@@ -17,8 +17,8 @@ ROW_COLUMNS = (
 )
 #: fixed values: columns that table metadata may fill; it can never name a source
 METADATA_COLUMNS = (
-    "T-trg-platform", "T-trg-instance", "UserName", "target_data_relevance", "target_data_hist", "target_data_freq", "T-src-platform", "T-src-instance",
-    "T-k", "T-hist-type", "T-hist-role", "codeDatamart", "Datamart.description_source", "Table.description_source", "T-trg-schema",
+    "T-trg-platform", "T-trg-instance", "T-trg-schema", "T-trg", "UserName", "T-trg-f", "target_data_relevance", "target_data_hist", "target_data_freq",
+    "T-k", "T-hist-type", "T-hist-role", "codeDatamart", "Datamart.description_source", "Table.description_source",
 )
 #: fixed values: gap types
 FRAMEWORK, BRIDGE, PLACEHOLDER, ENVIRONMENT, PRODUCER, CONTROL, CONVENTION, NON_TABLE, INSUFFICIENT = (
@@ -62,7 +62,7 @@ def flatten_mappings(mappings: DataFrame) -> DataFrame:
 
 
 def driver_status(c: Column | str) -> Column:
-    s = clean(c)
+    s = fold_case(c)
     return F.when(s.isin("resolved", "complete", "confirmed"), "resolved").when(s.isin("partial", "ambiguous"), s).otherwise("unresolved")
 
 
@@ -113,6 +113,8 @@ def collect_revision_inputs(candidates: DataFrame, value_sources: DataFrame, gap
     rows = own(value_sources)
     flat = flatten_mappings(rows.drop("logical_target_name", "target_key"))
     check_expression_refs(flat)
+    if "status" in flat.columns:
+        flat = flat.withColumn("driver_relation_status", driver_status("status")).drop("status")
     flat = flat.withColumn("linked", linked_expressions(F.col("refs"), F.col("expressions"))).drop("refs", "expressions", "source_count", "source_position")
     mappings = dedupe_mappings(flat).withColumnRenamed("target_relation", "workflow_target_logical_name")
     first = mappings.groupBy(fold_case("workflow_target_logical_name").alias("__t"), fold_case("target_column").alias("__c")).agg(F.min_by(clean("target_column"), "input_ordinal").alias("__spelling"))
@@ -364,3 +366,47 @@ def convention_gaps(mappings: DataFrame, resolved: DataFrame) -> DataFrame:
         no_texts().alias("candidate_ids"), "evidence_refs", no_texts().alias("source_gap_ids"), no_texts().alias("source_gap_kinds"),
     )
     return merge_gaps(typed)
+
+
+# ---- the whole build
+
+
+def build(mappings: DataFrame, environment: DataFrame, fields: DataFrame, gaps: DataFrame, survivors: DataFrame) -> dict[str, DataFrame]:
+    """rows, gaps and decisions of a mapping revision.
+
+    rows: the 26 columns of every proven primary source and expression, and of every observed target column without one; rows of
+    equal columns are one, with row_id, target_relation, target_column, source_relation, source_column, basis, mapping_ids and
+    primary_templates. A source column is told only if the decision's mappings observe just one; metadata fills allowed columns.
+    gaps: public, primary-source and convention gaps, typed and united.
+
+    mappings: as collapse_primary_sources, with immediate_source_column and linked (expressions); environment: semantic_key, status,
+    resolved_source_relation, gap_ids; fields: target_relation, target_column, input_ordinal and metadata columns; gaps: as
+    classify_gaps; survivors: as usage_survivors."""
+    decisions = collapse_primary_sources(mappings, environment).checkpoint()
+    usable = decisions.where(F.col("source_relation").isNotNull())
+    own = mappings.select(clean("mapping_id").alias("mapping_id"), first_filled("source_sql_column", "immediate_source_column").alias("observed"), "linked").where("mapping_id != ''")
+    seen = usable.select(*DECISION_KEY, F.explode("mapping_ids").alias("mapping_id")).join(own.select("mapping_id", "observed").where("observed != ''").distinct(), "mapping_id")
+    observed = seen.groupBy(*DECISION_KEY).agg(F.count_distinct("observed").alias("k"), F.min("observed").alias("observed")).where("k = 1").drop("k")
+    expressions = own.select("mapping_id", F.explode("linked").alias("e")).select("mapping_id", "e.expression", "e.expression_kind", first_filled("e.resolution_status", F.lit("resolved")).alias("resolution_status")).where(clean("expression_kind") != "")
+    proven = fan_out(usable, expressions).join(observed, DECISION_KEY, "left").withColumn("observed", F.coalesce("observed", F.lit("")))
+    cells = lambda source, column, expression: target_source_columns(F.col("target_relation"), F.col("target_column"), source, column, expression)
+    audit = ["target_relation", "target_column", "source_relation", "source_column", "basis", "mapping_ids", "primary_templates"]
+    proven = proven.select(*cells(F.col("source_relation"), F.col("observed"), F.col("expression")), "target_relation", "target_column", "source_relation", F.nullif("observed", F.lit("")).alias("source_column"), "basis", "mapping_ids", "primary_templates")
+
+    pair = lambda df, relation: df.select(clean(relation).alias("target_relation"), clean("target_column").alias("target_column")).where("target_relation != '' and target_column != ''")
+    targets = pair(fields, "target_relation").union(pair(mappings, "workflow_target_logical_name")).union(pair(gaps, "target_relation"))
+    ids = mappings.groupBy(clean("workflow_target_logical_name").alias("target_relation"), clean("target_column").alias("target_column")).agg(sorted_set(clean("mapping_id")).alias("mapping_ids"))
+    empty, none = F.lit(""), F.lit(None).cast("string")
+    bare = target_only(targets, usable).join(ids, ["target_relation", "target_column"], "left")
+    bare = bare.select(*cells(empty, empty, empty), "target_relation", "target_column", none.alias("source_relation"), none.alias("source_column"), F.lit("target_observed_primary_source_not_resolved").alias("basis"), F.coalesce("mapping_ids", no_texts()).alias("mapping_ids"), no_texts().alias("primary_templates"))
+
+    named = fields.withColumn("target_relation", clean("target_relation")).withColumn("target_column", clean("target_column"))
+    rows = with_metadata(proven.union(bare), named, ["target_relation", "target_column"])
+    visible = [F.col(f"`{c}`") for c in ROW_COLUMNS]
+    unite = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    rows = rows.groupBy(*visible).agg(*[F.min(c).alias(c) for c in audit[:4]], F.array_join(sorted_set(F.col("basis")), "+").alias("basis"), unite("mapping_ids"), unite("primary_templates")).withColumn("row_id", row_id(*visible))
+
+    public = classify_gaps(gaps, environment_index(environment), survivors)
+    notices = convention_gaps(mappings.withColumnRenamed("workflow_target_logical_name", "target_relation"), usable)
+    united = public.unionByName(residual_gaps(decisions, environment)).unionByName(notices).drop("gap_id")
+    return {"rows": rows, "gaps": merge_gaps(united), "decisions": decisions}
