@@ -21,7 +21,6 @@ CLAUSES = {
     "sort_by_clause": "SORT BY", "distribute_by_clause": "DISTRIBUTE BY", "cluster_by_clause": "CLUSTER BY", "limit_clause": "LIMIT", "offset_clause": "OFFSET",
 }
 SET_OPERATORS = ("UNION", "EXCEPT", "INTERSECT")
-MAX_DEPTH = 24
 KEY = ["query_id", "node_id"]
 
 
@@ -97,12 +96,13 @@ def render_set_operations(ops: DataFrame, done: DataFrame) -> DataFrame:
     return o.select(*KEY, F.when(error.isNull(), text).otherwise("").alias("text"), error.alias("error"))
 
 
-def render_queries(queries: DataFrame, scopes: DataFrame, projections: DataFrame, relations: DataFrame, joins: DataFrame, set_operations: DataFrame, ctes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def render_queries(queries: DataFrame, scopes: DataFrame, projections: DataFrame, relations: DataFrame, joins: DataFrame, set_operations: DataFrame, ctes: DataFrame) -> DataFrame:
     """queries (query_id, root_id) -> query_id, sql, status (restored, unresolved), error. ctes: query_id, cte_ordinal,
-    cte_name, node_id, column_aliases, recursive. Rounds are checkpointed (the session needs a checkpoint folder)."""
+    cte_name, node_id, column_aliases, recursive. Rounds go on until one renders
+    nothing new, so nesting has no limit but cycles; each is checkpointed (the session needs a checkpoint folder)."""
     spark = queries.sparkSession
     done = spark.createDataFrame([], "query_id string, node_id string, text string, error string, is_set boolean")
-    for _ in range(max_depth):
+    while True:
         open_scopes = scopes.join(done.select(*KEY), KEY, "left_anti")
         open_sets = set_operations.join(done.select(*KEY), KEY, "left_anti")
         new = render_scopes(open_scopes, projections, relations, joins, done).withColumn("is_set", F.lit(False)).unionByName(render_set_operations(open_sets, done).withColumn("is_set", F.lit(True))).checkpoint()

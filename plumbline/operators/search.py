@@ -39,10 +39,11 @@ def mapping_records(mappings: DataFrame) -> DataFrame:
 def search(records: DataFrame, query: str, limit: int, fuzzy: bool = True) -> DataFrame:
     """Best match of each record: exact name (any case), substring of name or file for queries of three characters
     or more, else a weighted ratio of 65 or more. Ranked by kind, score, name, record; truncated tells of more."""
+    query = query.strip()
     q = F.lit(query)
     want = fold_case(q)
     exact = fold_case("name") == want
-    part = F.lit(len(query.strip()) >= LEAST_LENGTH) & (fold_case("name").contains(want) | fold_case("file").contains(want))
+    part = F.lit(len(query) >= LEAST_LENGTH) & (fold_case("name").contains(want) | fold_case("file").contains(want))
     score = weighted_ratio(F.coalesce(F.col("name"), F.lit("")), q) if fuzzy else F.lit(0.0)
     kind = F.when(exact, 0).when(part, 1)
     if fuzzy:

@@ -63,7 +63,7 @@ def revision_inputs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 @query(f"with {INPUTS_SQL} select distinct rel workflow_target_logical_name, id mapping_id, min_by(col, o) target_column, cast(min_by(linked, o) as int) linked from m group by 1, 2")
 def revision_mappings(spark: SparkSession, d: str) -> DataFrame:
-    """SRC8, T1-T5, T7: a mapping per id of the eligible targets, with the expressions it refers to."""
+    """SRC8, T1-T3, T5, T7: a mapping per id of the eligible targets, with the expressions it refers to."""
     m = revision_inputs(spark, d)["mappings"]
     return m.select("workflow_target_logical_name", "mapping_id", "target_column", F.size("linked").alias("linked"))
 
@@ -155,7 +155,7 @@ def topology_edges(spark: SparkSession, d: str) -> DataFrame:
 select '  n' || substr(sha256(psys || chr(0) || 'r1' || chr(0) || pflow), 1, 16) || ' --> n' || substr(sha256(csys || chr(0) || 'r1' || chr(0) || cflow), 1, 16) line from e
 union select '  n' || substr(sha256(psys || chr(0) || 'r1' || chr(0) || pflow), 1, 16) || '["' || pflow || '"]' from e union select '  n' || substr(sha256(csys || chr(0) || 'r1' || chr(0) || cflow), 1, 16) || '["' || cflow || '"]' from e""")
 def dependency_graph_lines(spark: SparkSession, d: str) -> DataFrame:
-    """SNK2: the lines of the cross-revision graph."""
+    """SNK4: the lines of the cross-revision graph."""
     e = orchestration.build_topology(*topology_records(spark, d))["edges"]
     return sinks.dependency_graph(e.where("kind = 'cross_revision'"))
 
@@ -243,7 +243,7 @@ with m as (select 'm' || p_partkey id, p_brand stage, 'T' || (p_partkey % 5) tbl
 s as (select l_orderkey k, l_linenumber n, 'm' || l_partkey id, l_suppkey, l_quantity from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity) = 1)
 select cast(k as varchar) lineage_id, cast(count(*) filter (where m.id is null) as int) missing, cast(count(*) as int) steps from s left join m using (id) group by 1""")
 def relation_path_steps(spark: SparkSession, d: str) -> DataFrame:
-    """An order's lines as materialization steps; those of no known part are missing."""
+    """An order's lines as materialization steps; those of no known part are missing."""
     keyed = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("x"))
     steps = F.array_sort(F.collect_list(F.struct("l_linenumber", name("m", "x.l_partkey").alias("id"))))
     path = F.transform(steps, lambda s: F.struct(F.lit("observed_relation_materialization").alias("kind"), s["id"].alias("materialization_id")))
@@ -438,7 +438,7 @@ def response_validation(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select o_orderstatus status, count(*) row_count from orders group by 1")
 def rerank_status_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Results by status."""
+    """Results by status."""
     return ranking.status_counts(table(spark, d, "orders").select(F.col("o_orderstatus").alias("status")))
 
 
@@ -553,7 +553,7 @@ with j as (select o_orderkey k, cast(o_orderkey as varchar) e from orders)
 select e edge, 'http GET /x' interaction, 'field' || k crossing_attribute, case when k % 4 = 0 then 'не удалось определить источник атрибута внутри producer; ' else '' end || 'потенциальная межрепозиторная связь ещё не подтверждена' gap,
   'a: ' || case when k % 2 = 0 then 's.x → s.y' else '[unresolved source]' end || ' == http GET /x / request ==> b: t.z [GAP: ' || case when k % 4 = 0 then 'source_local_anchor_unresolved | ' else '' end || 'candidate_transport_crossing_unverified]' full_attribute_path from j""")
 def readable_journeys(spark: SparkSession, d: str) -> DataFrame:
-    """Journeys as a person reads them."""
+    """Journeys as a person reads them."""
     k = F.col("o_orderkey")
     j = table(spark, d, "orders").select(
         text("o_orderkey").alias("edge_id"), F.lit("request").alias("role"), name("field", k).alias("field_path"), F.lit("HTTP").alias("protocol"), F.lit("get").alias("method"), F.lit("/x").alias("matched_identity"), F.lit("a").alias("source_repository"), F.lit("b").alias("target_repository"),
@@ -566,7 +566,7 @@ def readable_journeys(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""select count(*) journey_count, count(*) filter (where o_orderkey % 4 <> 0) source_resolved, count(*) filter (where o_orderkey % 5 <> 0) target_resolved, count(*) filter (where o_orderkey % 5 = 0) target_terminal, count(*) filter (where o_orderkey % 3 = 0) payload_compatible from orders""")
 def journey_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Journeys in numbers."""
+    """Journeys in numbers."""
     k = F.col("o_orderkey")
     return interaction.journey_summary(table(spark, d, "orders").select(F.when(k % 4 == 0, "unresolved").otherwise("resolved").alias("source_status"), F.when(k % 5 == 0, "terminal").otherwise("resolved").alias("target_status"), (k % 3 == 0).alias("payload_compatible")))
 
@@ -575,7 +575,7 @@ def journey_totals(spark: SparkSession, d: str) -> DataFrame:
 with x as (select l_orderkey k, count(*) n from lineitem group by 1)
 select cast(o_orderkey as varchar) edge_id, case when o_orderkey % 9 = 0 then 'failed' when n is null then 'missing' else 'complete' end status from orders left join x on k = o_orderkey""")
 def edge_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """A record per edge; one failure leaves the others alone."""
+    """A record per edge; one failure leaves the others alone."""
     e = table(spark, d, "orders").select(text("o_orderkey").alias("edge_id"))
     n = table(spark, d, "lineitem").groupBy(text("l_orderkey").alias("edge_id")).agg(F.count("*").alias("journey_count"))
     out = e.join(n, "edge_id", "left").withColumn("error", F.when(F.col("edge_id").cast("long") % 9 == 0, "timeout"))

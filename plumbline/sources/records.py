@@ -153,10 +153,10 @@ def interaction_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, schema: str, envelope: str | None = None) -> DataFrame:
-    """JSON documents: one, an array, or an array in an envelope field."""
+    """JSON documents: one, an array, or an array in an envelope field. A malformed document is an error."""
     if envelope is None:
-        return spark.read.schema(schema).option("multiLine", True).json(path)
-    inner = spark.read.schema(f"{envelope} array<struct<{schema}>>").option("multiLine", True).json(path)
+        return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    inner = spark.read.schema(f"{envelope} array<struct<{schema}>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
     return inner.select(F.explode(envelope).alias("d")).select("d.*")
 
 
