@@ -34,6 +34,8 @@ ORDER = 5
 BITS = 12
 MAX_LETTERS = (1 << BITS) - 2
 PER_LANGUAGE, PER_LANGUAGE_CHARS = 1500, 6_000_000
+#: about so many whole texts of a language are learned from at least, whatever the languages, and all of one that has fewer
+LEAST_TEXTS = 50
 #: more languages than this share the sample that so many would have
 FULL_LANGUAGES = 40
 CHUNK, MEMO = 500_000, 1_000_000
@@ -175,17 +177,18 @@ def cross_entropies(texts: list[np.ndarray], bits_of: GramBits) -> np.ndarray:
 
 def sample_texts(docs: DataFrame, per_language: int) -> DataFrame:
     """(lang, text, calibration): about per_language texts and `PER_LANGUAGE_CHARS` characters of each language, by a hash
-    of doc_id (of the text where there is no id)."""
+    of doc_id (of the text where there is no id); `LEAST_TEXTS` or all of them at least, so no language is lost."""
     learn = docs.select("doc_id", "lang", "text").where((fold("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = learn.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars")).collect()
     if not sizes:
         return learn.select("lang", "text", F.lit(False).alias("calibration"))
     part = min(1.0, FULL_LANGUAGES / len(sizes))
-    rates = {r["lang"]: part * min(1.0, per_language / r["n"], PER_LANGUAGE_CHARS / max(1, r["chars"])) for r in sizes}
+    rates = {r["lang"]: max(min(1.0, LEAST_TEXTS / r["n"]), part * min(1.0, per_language / r["n"], PER_LANGUAGE_CHARS / max(1, r["chars"]))) for r in sizes}
     rate = F.element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col("lang"))
     key = (F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text")))
     u = F.pmod(F.xxhash64(*key, F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    held = F.pmod(F.xxhash64(*key, F.lit("calibration")), F.lit(10)) == 0
+    spared = [r["lang"] for r in sizes if r["n"] < LEAST_TEXTS]  # all of these languages' texts are counted
+    held = (F.pmod(F.xxhash64(*key, F.lit("calibration")), F.lit(10)) == 0) & ~F.col("lang").isin(spared)
     return learn.where(u < rate).select("lang", "text", held.alias("calibration"))
 
 

@@ -10,7 +10,8 @@ _NODE = r"""case when {ok} then lower(regexp_extract({u}, '^(.*?)://', 1, 's'))
 _HOST = rf"translate(regexp_extract({{u}}, '^.*?://([^/?#]*)', 1, 's'), {FOLD})"
 
 OP1 = rf"""
-with recursive p as (select page_id, url, html, contains(url, '://') ok from pages),
+with recursive p as (select page_id, url, contains(url, '://') ok,
+  regexp_replace(html, '<!--.*?(?:-->|\z)|<script\b.*?(?:</script\b[^>]*>|\z)|<textarea\b.*?(?:</textarea\b[^>]*>|\z)', '', 'gis') html from pages),
 h as (
   select page_id, url, html, ok, case when ok then {_HOST.format(u='url')} else '' end host, case when ok then regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') else '' end path from p),
 n as (

@@ -3,7 +3,7 @@
 Rules give a page its verdict where one fits. Decisions spread to aliases: nodes are URLs under the syntactic
 normalisation of the generic URL syntax (scheme and host in lower case, no default port, no fragment, no dot segments, "/"
 for an empty path); nothing else makes two URLs one. Redirect and canonical-link edges, all that a page's HTML declares,
-join nodes into components; references are resolved against the page or its base element, with character references
+join nodes into components; comments, scripts and text areas declare nothing; references are resolved against the page or its base element, with character references
 decoded. A page without a rule takes its component's decision: allow if any member is explicitly
 allowed, else block if any member is blocked, else allow.
 
@@ -25,6 +25,8 @@ from .components import connected_components
 CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
 REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*["']?\s*([^"'\s>]+)"""
 BASE = r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+#: what a browser does not read as markup: comments, and the text of scripts and text areas
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\b[^>]*>|\z)|<textarea\b.*?(?:</textarea\b[^>]*>|\z)"
 #: fixed values: character references that occur in URLs; & comes last, so nothing is decoded twice
 REFERENCES = (("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&#47;", "/"), ("&#x2f;", "/"), ("&#x2F;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
 
@@ -85,6 +87,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     """(src, dst) nodes of all canonical links and immediate redirects declared in the pages' HTML. Each pattern is a
     projection of its own, as what a CASE refers to often is computed as often."""
     p = pages.select("url", "html").where(F.col("url").contains("://") & F.col("html").rlike(r"(?i)canonical|http-equiv"))
+    p = p.select("url", F.regexp_replace("html", HIDDEN, "").alias("html"))
     found = F.concat(F.regexp_extract_all("html", F.lit(CANONICAL), F.lit(1)), F.regexp_extract_all("html", F.lit(REFRESH), F.lit(1)))
     p = p.select("url", "html", found.alias("found")).where(F.size("found") > 0)
     p = p.select("url", F.regexp_extract("html", BASE, 1).alias("base"), F.explode(F.array_distinct("found")).alias("ref"))
