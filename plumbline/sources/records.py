@@ -106,6 +106,68 @@ def paged_source(name: str, fetch: Callable[[int, int], dict], schema: str, limi
     return Paged
 
 
+class Chain(InputPartition):
+    def __init__(self, key: tuple[str, ...]):
+        self.key = key
+
+
+class TokenReader(DataSourceReader):
+    """One partition per chain of pages; a worker follows its tokens and passes items on page by page."""
+
+    def __init__(self, fetch: Callable[[tuple[str, ...], str], dict], chains: list[tuple[str, ...]], width: int):
+        self.fetch, self.chains, self.width = fetch, chains, width
+
+    def partitions(self) -> list[InputPartition]:
+        return [Chain(k) for k in self.chains]
+
+    def read(self, partition: Chain) -> Iterator[tuple]:
+        token, seen, complete = "", set(), True
+        while True:
+            listing = self.fetch(partition.key, token)
+            items = listing.get("items")
+            if not isinstance(items, list):
+                complete = False
+                break
+            for item in items:
+                if isinstance(item, tuple):
+                    yield (*partition.key, *item, None)
+            if not listing.get("truncated"):
+                break
+            token = str(listing.get("next_token") or "")
+            if token == "" or token in seen:
+                complete = False
+                break
+            seen.add(token)
+        yield (*partition.key, *[None] * self.width, complete)
+
+
+def token_source(name: str, fetch: Callable[[tuple[str, ...], str], dict], key: str, items: str, chains: list[tuple[str, ...]]) -> type[DataSource]:
+    """A data source class over token-paged listings: rows of key and item columns, and one closing row per chain, with complete
+    instead of an item. fetch(key, token) -> {"items": [tuples], "truncated": bool, "next_token": text}. A listing without items,
+    and a token that is missing or comes again, end their chain as incomplete: that is a result, not an error."""
+    width = len(T.StructType.fromDDL(items).fields)
+
+    class Tokens(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return f"{key}, {items}, complete boolean"
+
+        def reader(self, schema: T.StructType) -> DataSourceReader:
+            return TokenReader(fetch, chains, width)
+
+    return Tokens
+
+
+def catalogue(listed: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(items, manifest) of a token source: the items, and complete per chain. A chain that ended twice is complete only if
+    it was both times. `value_nodes` joins them."""
+    manifest = listed.where("complete is not null").groupBy(*key).agg(F.min("complete").alias("complete"))
+    return listed.where("complete is null").drop("complete"), manifest
+
+
 def observed_mappings(records: DataFrame, entities: DataFrame, logical_type: str | None = None, logical_field: str | None = None) -> DataFrame:
     """Field mappings by equality filters, with the physical table of their entity mapping if it is just one."""
     r = records

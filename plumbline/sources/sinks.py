@@ -1,4 +1,4 @@
-"""Result sinks: CSV with fixed columns, graphs as text, audits, idempotent results per key."""
+"""Result sinks: CSV with fixed columns, graphs as text, audits. Results per key are in `published`."""
 
 from __future__ import annotations
 
@@ -127,24 +127,6 @@ def graph_text(lines: DataFrame, direction: str = "LR") -> str:
     return "\n".join([f"flowchart {direction}", *[r["line"] for r in lines.toLocalIterator()]]) + "\n"
 
 
-def write_new_keys(results: DataFrame, path: str, key: list[str]) -> int:
-    """Append the results whose key is not there yet; a key that is there with another content fails. Returns the
-    number of new rows. A repeated run changes nothing; two writers at once may both append a key, so a path has one writer."""
-    spark = results.sparkSession
-    hashed = results.withColumn("content_hash", digest(F.to_json(F.struct(*sorted(results.columns)), {"ignoreNullFields": "false"})))
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
-        old = spark.read.schema(hashed.schema).parquet(path).select(*key, F.col("content_hash").alias("old_hash"))
-        both = hashed.join(old, key, "left")
-        if both.where("old_hash is not null and old_hash != content_hash").limit(1).count():
-            raise ValueError("a stored result differs from the new one under its key")
-        hashed = both.where("old_hash is null").drop("old_hash")
-    n = hashed.count()
-    if n:
-        hashed.write.mode("append").parquet(path)
-    return n
-
-
 def write_sql_files(rendered: DataFrame, path: str) -> None:
     """One text row per restored query under query_id=<id>; unresolved ones have no file."""
     rendered.where("status = 'restored'").select("query_id", "sql").write.mode("overwrite").partitionBy("query_id").text(path)

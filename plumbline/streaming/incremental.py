@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.sinks import write_new_keys
+from ..sources.published import write_new_keys
 
 
 def read_facts(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.sources import records, sinks
+from plumbline.sources import published, records, sinks
 from plumbline.streaming import incremental
 
 
@@ -47,10 +47,10 @@ def test_csv_sink(spark, tmp_path):
 def test_new_keys_only(spark, tmp_path):
     path = str(tmp_path / "r")
     df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
-    assert sinks.write_new_keys(df, path, ["k"]) == 2
-    assert sinks.write_new_keys(df.union(spark.createDataFrame([("c", 3)], "k string, v int")), path, ["k"]) == 1
+    assert published.write_new_keys(df, path, ["k"]) == 2
+    assert published.write_new_keys(df.union(spark.createDataFrame([("c", 3)], "k string, v int")), path, ["k"]) == 1
     with pytest.raises(ValueError):
-        sinks.write_new_keys(spark.createDataFrame([("a", 9)], "k string, v int"), path, ["k"])
+        published.write_new_keys(spark.createDataFrame([("a", 9)], "k string, v int"), path, ["k"])
 
 
 def test_graphs(spark):
@@ -74,7 +74,7 @@ def test_stream_keeps_one_result_per_key(spark, tmp_path):
     spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int").write.parquet(src)
     for _ in range(2):
         incremental.apply_per_batch(incremental.read_facts(spark, src, "k string, v int"), lambda df: df.select("k", (F.col("v") * 2).alias("w")), out, ["k"], str(tmp_path / "ck")).awaitTermination(120)
-    assert {(r["k"], r["w"]) for r in spark.read.parquet(out).collect()} == {("a", 2), ("b", 4)}
+    assert {(r["k"], r["w"]) for r in published.read(spark, out).collect()} == {("a", 2), ("b", 4)}
 
 
 def test_reads_are_kept_under_their_identity_and_never_failures(spark):
@@ -155,3 +155,86 @@ def test_replica_graph_and_sql_files(spark, tmp_path):
     sinks.write_sql_files(q, str(tmp_path / "s"))
     found = {p.parent.name: p.read_text() for p in (tmp_path / "s").glob("*/part-*")}
     assert found == {"query_id=q1": "SELECT 1\n"}
+
+
+def test_two_writers_store_no_key_twice(spark, tmp_path, monkeypatch):
+    """The second writer publishes between the first one's reading and its publishing."""
+    path = str(tmp_path / "r")
+    make = lambda *rows: spark.createDataFrame(list(rows), "k string, v int")
+    create, raced = published.Files.create, []
+
+    def late(self, version, body):
+        if not raced:
+            raced.append(1)
+            published.write_new_keys(make(("a", 1), ("b", 2)), path, ["k"])
+        return create(self, version, body)
+
+    monkeypatch.setattr(published.Files, "create", late)
+    assert published.write_new_keys(make(("b", 2), ("c", 3), ("c", 3)), path, ["k"]) == 1
+    assert sorted(map(tuple, published.read(spark, path).collect())) == [("a", 1), ("b", 2), ("c", 3)]
+    assert len(list((tmp_path / "r" / "data").iterdir())) == 2
+    raced.clear()
+    with pytest.raises(ValueError, match="differs"):
+        published.write_new_keys(make(("b", 9)), path, ["k"])
+    with pytest.raises(ValueError, match="under one key"):
+        published.write_new_keys(make(("z", 1), ("z", 2)), path, ["k"])
+    assert published.read(spark, path).count() == 3
+
+
+def test_a_killed_write_leaves_nothing(spark, tmp_path):
+    path = str(tmp_path / "r")
+    bad = spark.range(100).select(F.col("id").cast("string").alias("k"), F.when(F.col("id") == 77, F.raise_error(F.lit("lost"))).otherwise(1).cast("int").alias("v"))
+    with pytest.raises(Exception, match="lost"):
+        published.write_new_keys(bad, path, ["k"])
+    with pytest.raises(ValueError, match="nothing is published"):
+        published.read(spark, path)
+    assert published.write_new_keys(bad.where("k <> '77'"), path, ["k"]) == 99
+
+
+def test_stored_results_are_resumed_or_refused(spark, tmp_path):
+    path = str(tmp_path / "r")
+    packages = spark.createDataFrame([("h1", "c1"), ("h2", "c2")], "package_hash string, case_id string")
+    ask = lambda p=packages: [r["package_hash"] for r in published.pending(p, path, "package_hash", ["case_id"], ["ranked", "abstained"]).collect()]
+    assert ask() == ["h1", "h2"]
+    results = "package_hash string, case_id string, status string"
+    published.write_new_keys(spark.createDataFrame([("h1", "c1", "ranked")], results), path, ["package_hash"])
+    assert ask() == ["h2"]
+    manifest = published.batch_manifest(spark.createDataFrame([("h1", "c1", "ranked"), ("h2", "c2", "abstained")], results), 1).first()
+    assert tuple(manifest) == (2, 1, 1, {"abstained": 1, "ranked": 1})
+    with pytest.raises(ValueError, match="match case_id"):
+        ask(spark.createDataFrame([("h1", "other")], packages.schema))
+    published.write_new_keys(spark.createDataFrame([("h2", "c2", "started")], results), path, ["package_hash"])
+    with pytest.raises(ValueError, match="not terminal"):
+        ask()
+
+
+def test_a_query_that_fails_now_loses_its_statement(spark, tmp_path):
+    path, s = str(tmp_path / "q"), "query_id string, sql string, status string"
+    first = published.publish_sql(spark.createDataFrame([("q1", "SELECT 'é'", "restored"), ("q2", "SELECT 2", "restored"), ("q3", None, "unresolved")], s), path)
+    assert {r["query_id"]: r["bytes"] for r in first.collect()} == {"q1": 11, "q2": 8, "q3": None}
+    published.publish_sql(spark.createDataFrame([("q2", None, "unresolved"), ("q3", "SELECT 3", "restored")], s), path)
+    assert {r["query_id"]: r["sql"] for r in published.read(spark, path).collect()} == {"q1": "SELECT 'é'", "q3": "SELECT 3"}
+    published.verify_sql(spark, path)
+    published.publish_sql(spark.createDataFrame([("q1", None, "unresolved"), ("q3", None, "unresolved")], s), path)
+    assert published.read(spark, path).count() == 0
+
+
+def test_token_chains(spark):
+    """Whole, without items, with a token that comes again, with an empty one."""
+    nodes = "value_node_id string, operation string"
+
+    def fetch(key, token):
+        at = int(token or 0)
+        page = [(f"{key[0]}-{at}", "op"), "no item"]
+        if key[0] == "whole":
+            return {"items": page, "truncated": at < 3, "next_token": str(at + 1)}
+        if key[0] == "none":
+            return {"items": None}
+        return {"items": page, "truncated": True, "next_token": "" if key[0] == "empty" else str(at % 2 + 1)}
+
+    chains = [("whole", "field"), ("none", "field"), ("again", "field"), ("empty", "field")]
+    spark.dataSource.register(records.token_source("chains", fetch, "repo_id string, node_kind string", nodes, chains))
+    items, manifest = records.catalogue(spark.read.format("chains").load(), ["repo_id", "node_kind"])
+    assert {r["repo_id"]: r["complete"] for r in manifest.collect()} == {"whole": True, "none": False, "again": False, "empty": False}
+    got = sorted((r["value_node_id"], r["complete"]) for r in records.value_nodes(items, manifest, "field", "op").collect())
+    assert got == [("again-0", False), ("again-1", False), ("again-2", False), ("empty-0", False), *[(f"whole-{i}", True) for i in range(4)]]
