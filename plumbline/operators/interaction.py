@@ -350,11 +350,20 @@ def readiness_status(repositories: DataFrame, deep: bool) -> DataFrame:
     return repositories.agg(F.when(every, "ready" if deep else "prerequisites_satisfied").otherwise("not_ready").alias("status"))
 
 
+#: fixed values: states of a requirement that end preparation before it begins
+BLOCKING_STATES = ("external_source_owner_unresolved", "ambiguous")
+
+
+def preparation_key(requirements: DataFrame) -> Column:
+    """External requirements group by their preparation group, others by all they say."""
+    body = F.to_json(F.struct(*sorted(requirements.columns)))
+    return F.when(F.col("state") == "needs_external_source", F.concat(F.lit("external:"), F.coalesce("preparation_group", body))).otherwise(F.concat(F.lit("state:"), clean("state"), F.lit(":"), body))
+
+
 def group_requirements(requirements: DataFrame) -> DataFrame:
-    """group_key -> sorted requirements. External ones group by their preparation group, others by all they say."""
+    """group_key -> sorted requirements."""
     body = F.to_json(F.struct(*sorted(requirements.columns)))
-    key = F.when(F.col("state") == "needs_external_source", F.concat(F.lit("external:"), F.coalesce("preparation_group", body))).otherwise(F.concat(F.lit("state:"), clean("state"), F.lit(":"), body))
-    return requirements.groupBy(key.alias("group_key")).agg(F.array_sort(F.collect_list(body)).alias("requirements"), F.count("*").alias("requirement_count"))
+    return requirements.groupBy(preparation_key(requirements).alias("group_key")).agg(F.array_sort(F.collect_list(body)).alias("requirements"), F.count("*").alias("requirement_count"))
 
 
 def preparation_status() -> Column:
@@ -372,13 +381,14 @@ def preparation_loop(check: Callable[[], tuple[bool, DataFrame]], prepare: Calla
     check tells whether all is ready, and the open requirements (state, preparation_group, ...); prepare takes a group's
     key and returns its outcome: published, awaiting_publication, no_progress, blocked or step_limit. A group is tried
     once. A requirement whose source owner is not resolved, or that is ambiguous, blocks before anything is prepared.
-    Groups of one edge are few, so they are handled on the driver; what a group does is the caller's."""
+    Groups of one edge are few, so they are handled on the driver; what a group does is the caller's. `preparation.run` does
+    the same for many edges and can be resumed."""
     ready, open_ = check()
     if ready:
         return {"status": "already_prepared", "rounds": 0, "outcomes": {}}
     outcomes: dict[str, str] = {}
     rounds, exhausted, stopped, no_new = 0, False, False, False
-    blocking = F.col("state").isin("external_source_owner_unresolved", "ambiguous")
+    blocking = F.col("state").isin(*BLOCKING_STATES)
     while not (ready or exhausted or stopped or no_new):
         fresh = [] if open_.where(blocking).limit(1).count() else sorted(r["group_key"] for r in group_requirements(open_).collect() if r["group_key"] not in outcomes)
         if not fresh:

@@ -12,6 +12,7 @@ from .keys import page, sorted_set
 
 #: fixed values: match kinds in rank order, the least fuzzy score and the least length of a substring query
 KINDS, LEAST_FUZZY, LEAST_LENGTH = ("exact", "fts5", "fuzzy_candidate"), 65.0, 3
+MOST_HITS = 1000
 RECORD = ["record_kind", "record_id", "name", "parent", "file"]
 
 
@@ -38,8 +39,13 @@ def mapping_records(mappings: DataFrame) -> DataFrame:
 
 def search(records: DataFrame, query: str, limit: int, fuzzy: bool = True) -> DataFrame:
     """Best match of each record: exact name (any case), substring of name or file for queries of three characters
-    or more, else a weighted ratio of 65 or more. Ranked by kind, score, name, record; truncated tells of more."""
+    or more, else a weighted ratio of 65 or more. Ranked by kind, score, name, record; truncated tells of more. A blank
+    query and a limit that is not from 1 to MOST_HITS are refused."""
     query = query.strip()
+    if query == "":
+        raise ValueError("a search query cannot be blank")
+    if not 1 <= limit <= MOST_HITS:
+        raise ValueError(f"a limit is from 1 to {MOST_HITS}")
     q = F.lit(query)
     want = fold_case(q)
     exact = fold_case("name") == want
