@@ -100,5 +100,15 @@ def page(df: DataFrame, order: Sequence[Column | str], offset: int, limit: int)
     return out.withColumn("next_offset", F.when(F.col("has_more"), F.lit(offset + limit)))
 
 
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "n") -> DataFrame:
+    """df with a row's number, from 1, in a total order. Rows are sorted into ranges over the cluster and numbered in each; only
+    the ranges' sizes, one row per partition, meet in one task. The sorted rows are checkpointed, so that ranges stay as they are."""
+    ranged = df.orderBy(*order).withColumn("__range", F.spark_partition_id()).checkpoint()
+    before = F.coalesce(F.sum("__size").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__size")).withColumn("__before", before).drop("__size")
+    within = F.row_number().over(W.partitionBy("__range").orderBy(*order))
+    return ranged.join(F.broadcast(sizes), "__range").withColumn(name, (within + F.col("__before")).cast("long")).drop("__range", "__before")
+
+
 def count_by(df: DataFrame, *cols: str) -> DataFrame:
     return df.groupBy(*cols).agg(F.count("*").alias("row_count"))

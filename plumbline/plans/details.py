@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bridge, interaction, model_lineage, orchestration, ranking, replica, search, source_target
+from ..operators import bridge, interaction, keys, model_lineage, orchestration, ranking, replica, search, source_target
 from ..sources import records, sinks
 from .queries import with_checkpoints
 from .registry import query
@@ -264,12 +264,11 @@ with v as (select p_partkey, 'mart.' || p_brand r, 'c' || p_size c, ['base', 'hi
 select p_partkey, v variant, row_number() over (order by lower(r), lower(c), case v when 'base' then 1 when 'hist' then 2 else 3 end, lower(t), p_partkey) n from v""")
 def lineage_output_order(spark: SparkSession, d: str) -> DataFrame:
     """Rows by target, column, representation and terminal."""
-    from pyspark.sql import Window
-
+    with_checkpoints(spark)
     k = F.col("p_partkey")
     v = F.element_at(F.array(*map(F.lit, ("base", "hist", "delta"))), (k % 3 + 1).cast("int"))
     rows = table(spark, d, "part").select(k, v.alias("variant"), F.concat(F.lit("mart."), F.col("p_brand")).alias("target_relation"), name("c", "p_size").alias("target_column"), F.col("p_type").alias("terminal_relation"))
-    return rows.withColumn("n", F.row_number().over(Window.orderBy(*model_lineage.output_order(), "p_partkey")).cast("long")).select("p_partkey", "variant", "n")
+    return keys.numbered(rows, [*model_lineage.output_order(), "p_partkey"]).select("p_partkey", "variant", "n")
 
 
 # ---- replica reports

@@ -67,3 +67,16 @@ def test_searches_are_bounded(spark):
         with pytest.raises(ValueError):
             search.search(records, query, limit)
     assert search.search(records, " name ", 1000, fuzzy=False).first()["match_kind"] == "exact"
+
+
+def test_numbers_run_on_over_the_ranges(spark):
+    from plumbline.operators import keys
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(1000).repartition(5).select((F.col("id") % 10).alias("a"), "id")
+        got = keys.numbered(rows, [F.col("a").desc(), F.col("id")]).orderBy("n").collect()
+        assert keys.numbered(rows.limit(0), ["id"]).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r["n"] for r in got] == list(range(1, 1001)) and [(r["a"], r["id"]) for r in got] == sorted(((i % 10, i) for i in range(1000)), key=lambda x: (-x[0], x[1]))
