@@ -502,13 +502,13 @@ def value_catalogue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame,
 
 
 def source_side(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    with_checkpoints(spark)
     f = order_fields(spark, d)
     nodes, ops, complete = value_catalogue(spark, d)
     wires = nodes.where("node_kind = 'wire_field'")
-    leaf = f.join(wires.select(F.col("repo_id").alias("source_repository"), F.col("wire_path").alias("field_path"), "value_node_id"), ["source_repository", "field_path"])
+    leaves = wires.select(F.col("repo_id").alias("source_repository"), F.col("wire_path").alias("field_path"), "value_node_id")
     flows = wires.select(F.col("value_node_id").alias("anchor_id"), F.array("wire_path").alias("visited"))
-    proven = interaction.reverse_proof(leaf.select("edge_id", "role", "field_path", "value_node_id"), flows)
-    return f, interaction.source_fallback(f, interaction.payload_scoped_nodes(f, nodes, ops, "source"), interaction.route_wire_nodes(f, nodes), proven, complete)
+    return f, interaction.source_fallbacks(f, nodes, ops, leaves, flows, complete)
 
 
 @query(f"""with {FALLBACK_SQL} select edge_id, how fallback, case how when 'payload_instance' then ip when 'route_wire' then ir when 'counterpart_shape' then ishape end anchor_id,
