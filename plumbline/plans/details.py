@@ -536,9 +536,10 @@ sig as (select edge_id, op, ref, min(id) id from f join ops using (r, payload) j
 select edge_id, case when n = 1 then id end anchor_id, case when n = 1 then 'resolved' when n is null and r < 11 and r <> 3 then 'terminal' else 'unresolved' end anchor_status from f left join n using (edge_id)""")
 def target_fallbacks(spark: SparkSession, d: str) -> DataFrame:
     """Where a field goes on; nowhere after a complete scan is an end, not a gap."""
+    with_checkpoints(spark)
     f = order_fields(spark, d)
     nodes, ops, complete = value_catalogue(spark, d)
-    return interaction.fallback_status(f, interaction.payload_scoped_nodes(f, nodes, ops, "target"), complete, "target").select("edge_id", "anchor_id", "anchor_status")
+    return interaction.target_fallbacks(f, nodes, ops, complete).select("edge_id", "anchor_id", "anchor_status")
 
 
 @query("""select cast(o_orderkey as varchar) edge_id, 'journey-' || substr(sha256('{"edge_id":"' || o_orderkey || '","role":"request"}'), 1, 24) journey_id from orders""")
