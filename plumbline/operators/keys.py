@@ -110,5 +110,11 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "n") -> D
     return ranged.join(F.broadcast(sizes), "__range").withColumn(name, (within + F.col("__before")).cast("long")).drop("__range", "__before")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over the session's shuffle partitions, and left so: rows that are few but meet many others, or grow to
+    long lists, would be merged into a task or two by their bytes, or stay in the one task that read their file."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def count_by(df: DataFrame, *cols: str) -> DataFrame:
     return df.groupBy(*cols).agg(F.count("*").alias("row_count"))
