@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean
-from .graph import closure
+from .graph import reached
 from .keys import AMBIGUOUS, CONFIRMED, resolve_unique
 
 #: fixed values: reference states, the gap of a reference out of its document, coverage states
@@ -24,24 +24,48 @@ def effective_fields(types: DataFrame, inheritance: DataFrame, fields: DataFrame
     several ways reach counts once. Cycles end. complete is false where the type or a supertype extends something unresolved, so
     that fields may be missing or nearer. Rows without a type, a name or an id take no part; repeated rows count once.
 
-    Supertypes come by semi-naive rounds; the nearest by two map-side combined aggregates, without windows or lists."""
-    known = types.select(F.col("type_id").alias("node")).where(clean("node") != "")
+    A name goes down from its declaration as a row and stops where a nearer one stands (`nearest_declarations`), so rows are types
+    times names, not types times supertypes times declarations; nor are a type's supertypes listed for complete (`graph.reached`)."""
+    known = types.select("type_id").where(clean("type_id") != "").distinct()
     edge = inheritance.where(clean("subtype_id") != "")
-    resolved = edge.where(clean("supertype_id") != "").select(F.col("subtype_id").alias("src"), F.col("supertype_id").alias("dst"))
-    up = closure(resolved, known).select(F.col("seed").alias("type_id"), F.col("node").alias("owner"), F.col("hops").alias("distance"))
-    open_ended = edge.where(clean("supertype_id") == "").select(F.col("subtype_id").alias("owner")).distinct()
-    partial = up.join(open_ended, "owner").select("type_id").distinct().withColumn("complete", F.lit(False))
+    up = edge.where(clean("supertype_id") != "").select(F.col("supertype_id").alias("src"), F.col("subtype_id").alias("dst")).distinct().checkpoint()
+    open_ended = edge.where(clean("supertype_id") == "").select(F.col("subtype_id").alias("node"))
+    partial = reached(up, open_ended).select(F.col("node").alias("type_id"), F.lit(False).alias("complete"))
 
     own = fields.where((clean("type_id") != "") & (clean("field_name") != "") & (clean("field_id") != "")).select(F.col("type_id").alias("owner"), "field_name", "field_id")
-    at = up.join(own, "owner").groupBy("type_id", "field_name", "distance").agg(F.count_distinct("field_id").alias("n"), F.min(F.struct("field_id", "owner")).alias("first"))
-    near = at.groupBy("type_id", "field_name").agg(F.min(F.struct("distance", "n", "first")).alias("x"))
-    one = F.col("x.n") == 1
+    at = nearest_declarations(up, own).withColumnRenamed("node", "type_id").join(known, "type_id", "left_semi")
+    near = at.groupBy("type_id", "field_name").agg(F.max("distance").alias("distance"), F.count("*").alias("owners"), F.max("n").alias("n"), F.min(F.struct("field_id", "owner")).alias("first")).checkpoint()
+    # only declarations of several types at one distance are met again: an id may stand in more than one of them
+    several = at.join(near.where("owners > 1").select("type_id", "field_name"), ["type_id", "field_name"], "left_semi").select("type_id", "field_name", "owner")
+    several = several.join(own, ["owner", "field_name"]).groupBy("type_id", "field_name").agg(F.count_distinct("field_id").alias("n"))
+    columns = ["type_id", "field_name", "distance", "n", "first"]
+    near = near.where("owners = 1").select(columns).union(near.where("owners > 1").drop("n").join(several, ["type_id", "field_name"]).select(columns))
+    one = F.col("n") == 1
     return near.join(partial, "type_id", "left").select(
-        "type_id", "field_name", F.when(one, F.col("x.first.field_id")).alias("field_id"), F.when(one, F.col("x.first.owner")).alias("declaring_type_id"), F.col("x.distance").alias("distance"),
-        F.col("x.n").alias("declaration_count"), F.when(one, CONFIRMED).otherwise(AMBIGUOUS).alias("status"), (F.col("x.distance") > 0).alias("inherited"), F.coalesce("complete", F.lit(True)).alias("complete"),
+        "type_id", "field_name", F.when(one, F.col("first.field_id")).alias("field_id"), F.when(one, F.col("first.owner")).alias("declaring_type_id"), "distance",
+        F.col("n").alias("declaration_count"), F.when(one, CONFIRMED).otherwise(AMBIGUOUS).alias("status"), (F.col("distance") > 0).alias("inherited"), F.coalesce("complete", F.lit(True)).alias("complete"),
     )
 
 
+def nearest_declarations(edges: DataFrame, own: DataFrame) -> DataFrame:
+    """node, field_name, owner, n, field_id, distance: for each name and node the owners at the least distance against which edges (src
+    the supertype, dst the subtype) lead there, with the number of ids that declare it in the owner and the least of them.
+
+    own: owner, field_name, field_id. Semi-naive: what is nearest to a node is nearest to some supertype one step closer, so a round
+    extends only the last one's rows and drops names that a node has; fronts are checkpointed."""
+    e = edges.select(F.col("src").alias("node"), "dst")
+    front = own.groupBy("owner", "field_name").agg(F.count_distinct("field_id").alias("n"), F.min("field_id").alias("field_id"))
+    front = front.select(F.col("owner").alias("node"), "field_name", "owner", "n", "field_id", F.lit(0).alias("distance")).checkpoint()
+    known, hop = front, 0
+    while not front.isEmpty():
+        hop += 1
+        below = front.join(e, "node").select(F.col("dst").alias("node"), "field_name", "owner", "n", "field_id")
+        below = below.join(known.select("node", "field_name"), ["node", "field_name"], "left_anti").distinct()
+        front = below.withColumn("distance", F.lit(hop)).checkpoint()
+        known = known.union(front)
+    return known
+
+
 def pointer(ref: Column) -> Column:
     """The JSON pointer of a local reference, its escapes undone; null for any other."""
     return F.when(ref.startswith("#"), F.replace(F.replace(F.substring(ref, 2, 1_000_000), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))

@@ -31,6 +31,18 @@ def closure(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) ->
     return known
 
 
+def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """node: every node that any start reaches, the starts themselves included, each once; semi-naive like `closure`, but no row
+    carries its start."""
+    e = edges.select(F.col("src").alias("node"), "dst").where("node is not null and dst is not null")
+    front = starts.select("node").where("node is not null").distinct().checkpoint()
+    known = front
+    while not front.isEmpty():
+        front = front.join(e, "node").select(F.col("dst").alias("node")).join(known, "node", "left_anti").distinct().checkpoint()
+        known = known.union(front)
+    return known
+
+
 def attribute_paths(edges: DataFrame, starts: DataFrame, direction: str = FORWARD, minimum_confidence: str = "probable", max_hops: int = MAX_HOPS, max_paths: int = MAX_PATHS, max_branching: int = MAX_BRANCHING) -> DataFrame:
     """paths over edges (src, dst, confidence) of the least confidence or better, along them or against them."""
     if direction not in (FORWARD, REVERSE) or minimum_confidence not in CONFIDENCES:
