@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean, first_filled
 from .graph import closure, shortest_paths
 from .interaction import FINE
+from .keys import dealt
 
 NODE_COLUMNS = (
     "repo_id", "value_node_id", "node_kind", "display_ref", "operation", "occurrence_id", "occurrence_kind", "object_occurrence_id", "object_declared_type",
@@ -59,12 +60,14 @@ def sole(df: DataFrame, keys: list[str], *columns: Column) -> DataFrame:
 
 
 def semantic_refs(nodes: DataFrame) -> DataFrame:
-    """repo_id, value_node_id, display_ref, ref, object_type, collection, parts, shape, n of the field nodes that have a semantic
-    reference: their property after the declared type of their object, where that object is the only typed node of its occurrence."""
+    """repo_id, value_node_id, display_ref, ref, typed, collection, shape of the field nodes that have a semantic reference: their property after the declared type of their object, where that object is the only typed node of its occurrence."""
     nodes = catalogue(nodes)
     typed = sole(nodes.where("occurrence_id != '' and declared_type != ''"), ["repo_id", "occurrence_id"], F.min("display_ref").alias("object_display"), F.min("declared_type").alias("node_type"))
-    f = nodes.where("node_kind = 'field' and display_ref != ''").join(typed.withColumnRenamed("occurrence_id", "object_occurrence_id"), ["repo_id", "object_occurrence_id"], "left")
-    f = f.withColumn("object_type", first_filled("object_declared_type", "node_type")).withColumn("tail", first_filled("projected_field_tail", "property_name"))
+    f = nodes.where("node_kind = 'field' and display_ref != ''").select("repo_id", "object_occurrence_id", "value_node_id", "display_ref", "object_declared_type", first_filled("projected_field_tail", "property_name").alias("tail"))
+    # fields without an object ask for none, and are not sent to one task by their empty key
+    alone = f.where("object_occurrence_id = ''").select("*", *[F.lit(None).cast("string").alias(c) for c in ("object_display", "node_type")])
+    f = f.where("object_occurrence_id != ''").join(typed.withColumnRenamed("occurrence_id", "object_occurrence_id"), ["repo_id", "object_occurrence_id"], "left").unionByName(alone)
+    f = f.withColumn("object_type", first_filled("object_declared_type", "node_type"))
     simple = F.substring_index(clean(F.substring_index("object_type", "<", 1)), ".", -1)
     display, kind, owner = F.col("display_ref"), F.col("object_type"), clean("object_display")
     rest = F.substring(display, F.char_length(owner) + 2, F.char_length(display))
@@ -75,41 +78,56 @@ def semantic_refs(nodes: DataFrame) -> DataFrame:
         .when((kind != "") & (F.col("tail") != "") & ~display.contains("."), F.concat(kind, F.lit("."), F.col("tail")))
         .when(plain_path(display), display)
     )
-    f = f.withColumn("ref", ref).where(plain_path(F.replace("ref", F.lit("[]"), F.lit("")))).withColumn("parts", semantic_parts(F.col("ref")))
-    return f.select("repo_id", "value_node_id", "display_ref", "ref", "object_type", "collection", "parts", F.array_join("parts", ".").alias("shape"), F.size("parts").alias("n"))
+    # made by a generator, so that the filter does not repeat the whole expression
+    f = f.select("repo_id", "value_node_id", "display_ref", "object_type", "collection", F.explode(F.array(ref)).alias("ref")).where(plain_path(F.replace("ref", F.lit("[]"), F.lit(""))))
+    return f.select("repo_id", "value_node_id", "display_ref", "ref", (kind != "").alias("typed"), "collection", F.array_join(semantic_parts(F.col("ref")), ".").alias("shape"))
 
 
-def suffixes(first: int) -> Column:
-    """Dotted suffixes of parts, from the part at this place on (2: proper ones)."""
-    n = F.size("parts")
-    return F.when(n >= first, F.transform(F.sequence(F.lit(first), n), lambda i: F.array_join(F.slice("parts", i, n), "."))).otherwise(F.array().cast("array<string>"))
+def depth_of(shape: Column) -> Column:
+    """Number of a shape's parts."""
+    return F.char_length(shape) - F.char_length(F.replace(shape, F.lit("."))) + 1
+
+
+def suffixes() -> Column:
+    """Dotted suffixes of shape, itself included."""
+    parts = F.split("shape", r"\.")
+    n = F.size(parts)
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "."))
 
 
 def climb(front: DataFrame, refs: DataFrame) -> DataFrame:
     """journey_id, rung (from 0), ref, shape, n: from front up to ever longer references that end with the rung before.
 
-    refs: journey_id, ref, parts, shape, n, preference, ident. Each round joins the rungs to the references by equality of a suffix
-    and takes the shortest, by the least preference among those; two of another ident end the climb. It ends by itself, as
-    references only grow; rounds are checkpointed."""
-    by_suffix = refs.select("journey_id", "ref", "shape", "n", "preference", "ident", F.explode(suffixes(2)).alias("suffix")).checkpoint()
-    front = front.select("journey_id", F.lit(0).alias("rung"), "ref", "shape", "n").checkpoint()
-    out = front
-    while not front.isEmpty():
-        met = by_suffix.join(front.select("journey_id", F.col("shape").alias("suffix"), "rung"), ["journey_id", "suffix"])
-        level = met.groupBy("journey_id", "rung", "n", "preference").agg(F.count_distinct("ident").alias("k"), F.min(F.struct("ref", "shape")).alias("pick"))
-        best = level.groupBy("journey_id", "rung").agg(F.min(F.struct("n", "preference", "k", "pick")).alias("best")).where("best.k = 1")
-        front = best.select("journey_id", (F.col("rung") + 1).alias("rung"), "best.pick.ref", "best.pick.shape", "best.n").checkpoint()
-        out = out.union(front)
-    return out
+    front: a row per journey; refs: journey_id, ref, shape, n, preference, ident. A rung takes the shortest reference that ends with it,
+    by the least preference among those; two of another ident end the climb. A journey's references are gathered once, as one row,
+    and climbed there: no round moves them again. It ends by itself, as references only grow."""
+    gathered = refs.groupBy("journey_id").agg(F.collect_list(F.struct("n", "preference", "ref", "shape", "ident")).alias("all"))
+    rows = front.select("journey_id", F.array(F.struct("ref", "shape", "n")).alias("first")).join(gathered, "journey_id", "left")
+
+    def higher(at: Column, _: Column) -> Column:
+        """One rung more, or the same chain, closed."""
+        below = F.concat(F.lit("."), F.element_at(at["chain"], -1)["shape"])
+        bind = lambda value, use: F.transform(F.array(value), use)[0]
+        tied = lambda r, b: (r["n"] == b["n"]) & (r["preference"] == b["preference"]) & (r["ident"] != b["ident"])
+        closed = F.struct(F.lit(False).alias("open"), at["chain"].alias("chain"))
+        grown = lambda b: F.struct(F.lit(True).alias("open"), F.concat(at["chain"], F.array(F.struct(b["ref"].alias("ref"), b["shape"].alias("shape"), b["n"].alias("n")))).alias("chain"))
+        step = bind(F.filter("all", lambda r: r["shape"].endswith(below)), lambda met: bind(F.array_min(met), lambda b: F.when(b.isNull() | F.exists(met, lambda r: tied(r, b)), closed).otherwise(grown(b))))
+        return F.when(at["open"], step).otherwise(at)
+
+    chain = F.aggregate("all", F.struct(F.lit(True).alias("open"), F.col("first").alias("chain")), higher)["chain"]
+    out = rows.select("journey_id", F.posexplode(F.coalesce(chain, F.col("first"))).alias("rung", "r"))
+    return out.select("journey_id", "rung", "r.ref", "r.shape", "r.n").checkpoint()
 
 
 def observed_refs(journeys: DataFrame, path_nodes: DataFrame, refs: DataFrame) -> DataFrame:
-    """The semantic references on each path of the resolved journeys, each once, at its first position."""
+    """The semantic references on each path of the resolved journeys, each once, at its first position: journey_id, path_id, ref,
+    position, repo_id, typed, collection, shape, anchor (it is the journey's anchor). Dealt by journey."""
     live = journeys.where(clean("anchor_status") == "resolved").select("journey_id", "repo_id", clean("anchor_ref").alias("anchor_ref"))
     on = path_nodes.select("journey_id", "path_id", "position", "value_node_id").join(live, "journey_id").join(refs, ["repo_id", "value_node_id"])
-    rest = [c for c in on.columns if c not in ("journey_id", "path_id", "ref", "position")]
-    first = on.groupBy("journey_id", "path_id", "ref").agg(F.min(F.struct("position", *rest)).alias("f"))
-    return first.select("journey_id", "path_id", "ref", "f.*")
+    anchor = (F.col("display_ref") == F.col("anchor_ref")) | (F.col("ref") == F.col("anchor_ref"))
+    on = dealt(on.select("journey_id", "path_id", "ref", "position", "repo_id", "value_node_id", anchor.alias("anchor"), "typed", "collection", "shape"), "journey_id", rows=refs.count())
+    first = on.groupBy("journey_id", "path_id", "ref").agg(F.min(F.struct("position", "repo_id", "value_node_id", "anchor", "typed", "collection", "shape")).alias("f"))
+    return first.select("journey_id", "path_id", "ref", "f.*").drop("value_node_id")
 
 
 def target_projection(journeys: DataFrame, path_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -123,11 +141,12 @@ def target_projection(journeys: DataFrame, path_nodes: DataFrame, nodes: DataFra
     journeys: journey_id, repo_id, anchor_status, anchor_ref; path_nodes: journey_id, path_id, position, value_node_id."""
     refs = semantic_refs(nodes).checkpoint()
     seen = observed_refs(journeys, path_nodes, refs).checkpoint()
-    entry = seen.where((F.col("display_ref") != F.col("anchor_ref")) & (F.col("ref") != F.col("anchor_ref")) & (F.col("object_type") != "") & ~F.col("collection"))
-    entry = entry.groupBy("journey_id", "path_id").agg(F.min_by(F.struct("ref", "shape", "n"), "position").alias("e"))
-    entry = entry.groupBy("journey_id").agg(F.count_distinct("e.ref").alias("k"), F.min("e").alias("e")).where("k = 1").select("journey_id", "e.*").checkpoint()
-    found = seen.groupBy("journey_id", "ref").agg(F.min_by(F.struct("repo_id", "object_type", "collection", "parts", "shape", "n"), F.struct(F.col("object_type") == "", "path_id", "position")).alias("f"))
-    found = found.select("journey_id", "ref", "f.*").join(entry.select("journey_id"), "journey_id", "left_semi").withColumn("typed", F.col("object_type") != "").checkpoint()
+    of = depth_of(F.col("shape")).alias("n")
+    entry = seen.where(~F.col("anchor") & F.col("typed") & ~F.col("collection"))
+    entry = entry.groupBy("journey_id", "path_id").agg(F.min_by(F.struct("ref", "shape"), "position").alias("e"))
+    entry = entry.groupBy("journey_id").agg(F.count_distinct("e.ref").alias("k"), F.min("e").alias("e")).where("k = 1").select("journey_id", "e.*").select("journey_id", "ref", "shape", of).checkpoint()
+    found = seen.groupBy("journey_id", "ref").agg(F.min_by(F.struct("repo_id", "typed", "collection", "shape"), F.struct(~F.col("typed"), "path_id", "position")).alias("f"))
+    found = found.select("journey_id", "ref", "f.*").join(entry.select("journey_id"), "journey_id", "left_semi").select("*", of).checkpoint()
     plain = found.where(~F.col("collection"))
     rungs = climb(entry, plain.withColumn("preference", F.struct((~F.col("typed")).alias("untyped"), F.char_length("ref").alias("length"))).withColumn("ident", F.col("ref")))
 
@@ -138,15 +157,15 @@ def target_projection(journeys: DataFrame, path_nodes: DataFrame, nodes: DataFra
     head = lambda c: F.substring_index(c, ".", 1)
     other = same.where(~F.col("collection") & F.col("typed") & (head("shape") != head("deepest"))).groupBy("journey_id").agg(F.count_distinct("ref").alias("k"), F.min("ref").alias("ref")).where("k = 1")
 
-    around = found.where("collection").select("journey_id", "repo_id", "ref", "parts", "n", F.explode(suffixes(2)).alias("deepest")).join(last, ["journey_id", "deepest"])
-    around = around.select("journey_id", "repo_id", "ref", "parts", "n", "deepest", "depth").union(same.where("collection").select("journey_id", "repo_id", "ref", "parts", F.col("depth").alias("n"), "deepest", "depth"))
+    around = found.where("collection").join(last.drop("tail"), "journey_id").where(F.col("shape").endswith(F.concat(F.lit("."), "deepest")))
+    around = around.select("journey_id", "repo_id", "ref", "shape", "n", "deepest", "depth").union(same.where("collection").select("journey_id", "repo_id", "ref", "shape", F.col("depth").alias("n"), "deepest", "depth"))
     near = around.groupBy("journey_id", "n").agg(F.count_distinct("ref").alias("k"), F.min("ref").alias("ref")).groupBy("journey_id").agg(F.min(F.struct("n", "k", "ref")).alias("c")).select("journey_id", "c.*").checkpoint()
     tied = around.join(near.where("k > 1").select("journey_id", "n", "k"), ["journey_id", "n"])
-    ends = tied.select("journey_id", "repo_id", "ref", "k", "deepest", "depth", F.explode(suffixes(1)).alias("shape")).groupBy("journey_id", "repo_id", "k", "deepest", "depth", "shape").agg(F.count_distinct("ref").alias("met"))
+    ends = tied.select("journey_id", "repo_id", "ref", "k", "deepest", "depth", F.explode(suffixes()).alias("shape")).groupBy("journey_id", "repo_id", "k", "deepest", "depth", "shape").agg(F.count_distinct("ref").alias("met"))
     length = F.size(F.split("shape", r"\."))
     common = ends.where("met = k").groupBy("journey_id", "repo_id", "deepest", "depth").agg(F.max(F.struct(length.alias("n"), "shape")).alias("c")).select("journey_id", "repo_id", "deepest", "depth", "c.*")
     common = common.where((F.col("n") > F.col("depth")) & F.col("shape").endswith(F.concat(F.lit("."), F.col("deepest"))))
-    wanted = refs.where(~F.col("collection") & (F.col("object_type") != "")).select("repo_id", "shape", "ref").distinct()
+    wanted = refs.where(~F.col("collection") & F.col("typed")).select("repo_id", "shape", "ref").distinct()
     payload = common.join(wanted, ["repo_id", "shape"]).groupBy("journey_id").agg(F.count_distinct("ref").alias("k"), F.min("ref").alias("ref")).where("k = 1")
 
     at = lambda df, place, rung="0": df.select("journey_id", "ref", F.struct(F.lit(place).alias("place"), F.expr(rung).cast("int").alias("rung")).alias("at"))
