@@ -33,12 +33,12 @@ def closure(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) ->
 
 def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """node: every node that any start reaches, the starts themselves included, each once; semi-naive like `closure`, but no row
-    carries its start."""
-    e = edges.select(F.col("src").alias("node"), "dst").where("node is not null and dst is not null")
+    carries its start. Sides are merged, never broadcast: there may be many rounds, and each would pass the driver."""
+    e = edges.select(F.col("src").alias("node"), "dst").where("node is not null and dst is not null").distinct().checkpoint().hint("merge")
     front = starts.select("node").where("node is not null").distinct().checkpoint()
     known = front
     while not front.isEmpty():
-        front = front.join(e, "node").select(F.col("dst").alias("node")).join(known, "node", "left_anti").distinct().checkpoint()
+        front = front.join(e, "node").select(F.col("dst").alias("node")).join(known.hint("merge"), "node", "left_anti").distinct().checkpoint()
         known = known.union(front)
     return known
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, fold_case
-from .graph import closure
+from .graph import reached
 from .keys import first_wins, require_none, sorted_set
 
 #: fixed values: identity annotation -> (argument, key kind)
@@ -58,7 +58,7 @@ def selected_types(types: DataFrame, relationships: DataFrame, roots: DataFrame
         return types.select("type_id").distinct()
     good = relationships.where(~fold_case("resolution_status").isin(*UNRESOLVED))
     edges = good.select(clean("source_type_id").alias("src"), clean("target_type_id").alias("dst")).where("src != '' and dst != ''")
-    return closure(edges, resolve_roots(roots, types).select(F.col("type_id").alias("node"))).select(F.col("node").alias("type_id")).distinct()
+    return reached(edges, resolve_roots(roots, types).select(F.col("type_id").alias("node"))).select(F.col("node").alias("type_id"))
 
 
 def exact_only(mappings: DataFrame) -> DataFrame:
