@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import verbatim
-from .keys import last_wins, precedence, require_none
+from .keys import dealt, last_wins, precedence, require_none
 
 #: fixed values: the record kinds a revision must publish
 RECORD_KINDS = ("ctl_flow", "ctl_flow_entity", "ctl_trigger", "ctl_dependency", "ctl_dependency_gap", "ctl_entity", "ctl_schedule", "ctl_lock")
@@ -122,10 +122,13 @@ def trigger_gaps(resolved: DataFrame) -> DataFrame:
 
 def build_topology(revisions: DataFrame, records: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """edges, gaps, flows and counts of pinned revisions. Producers and resolved triggers are checkpointed (the session needs
-    a checkpoint folder): edges, gaps and counts all read them."""
+    a checkpoint folder): edges, gaps and counts all read them. What produces an entity is dealt by it, a bounded number a task, and
+    neither ranking moves it again."""
     check_revisions(revisions, records)
     flows = records["ctl_flow"]
-    producers = select_producers(active_producers(flows, records["ctl_flow_entity"])).withColumn("published", statistics(F.col("published_stats_json"))).checkpoint()
+    entities = records["ctl_flow_entity"]
+    active = dealt(active_producers(flows, entities), "profile", "entity_id", rows=entities.count())
+    producers = select_producers(active).withColumn("published", statistics(F.col("published_stats_json"))).checkpoint()
     resolved = resolve_triggers(eligible_triggers(records["ctl_trigger"], flows, records["ctl_dependency"]), producers).checkpoint()
     edges = local_edges(records["ctl_dependency"]).unionByName(cross_edges(resolved, producers))
     gaps = trigger_gaps(resolved)
