@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANKS = r"^[\s\x1C-\x1F\x85\xA0]+|[\s\x1C-\x1F\x85\xA0]+$"
+#: white space around a text
+BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
 
 
 def as_col(c: Column | str) -> Column:
@@ -13,8 +14,8 @@ def as_col(c: Column | str) -> Column:
 
 
 def clean(c: Column | str) -> Column:
-    """Text without surrounding white space; null becomes empty."""
-    return F.regexp_replace(F.coalesce(as_col(c).cast("string"), F.lit("")), BLANKS, "")
+    """Text without surrounding white space; null becomes empty. Trimmed, not matched: nearly every row of every table passes here."""
+    return F.btrim(F.coalesce(as_col(c).cast("string"), F.lit("")), F.lit(BLANKS))
 
 
 def verbatim(c: Column | str) -> Column:
