@@ -79,6 +79,15 @@ def paths(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS, max_pat
 
 #: numbers of paths are held here, so that no sum overflows
 MOST_PATHS = 10**15
+#: nodes that edges lead to are broadcast up to about this number, estimated before
+FEW_TARGETS = 500_000
+
+
+def few_targets(e: DataFrame) -> DataFrame | None:
+    """end: the nodes that edges (end, dst) lead to, to be broadcast; nothing, if they are many."""
+    if e.agg(F.approx_count_distinct("dst")).first()[0] > FEW_TARGETS:
+        return None
+    return F.broadcast(e.select(F.col("dst").alias("end")).distinct().checkpoint())
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -86,19 +95,31 @@ def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     most MOST_PATHS), and the first of them, by their names joined with ">".
 
     Numbers are summed per node and round instead of listing paths: a round extends the last one's nodes, and every node carries one
-    path. Rounds go on until one finds nothing new; each is checkpointed."""
-    e = edges.select(F.col("src").alias("end"), "dst").where("end is not null and dst is not null").distinct().checkpoint()
-    front = starts.select(F.col("node").alias("start"), F.col("node").alias("end"), F.lit(0).alias("hops"), F.lit(1).cast("long").alias("path_count"), F.array("node").alias("path")).where("start is not null").distinct().checkpoint()
-    known, hop = front, 0
-    while True:
+    path, without its ends; each is checkpointed. The first round is the starts' own edges, marked when edges are made distinct (both
+    lie by their source), and the last one finds nothing new.
+    While edges lead to few nodes, a round meets only those that the edges of the round before lead to, and there is none without any."""
+    e = edges.select(F.col("src").alias("end"), "dst").where("end is not null and dst is not null").repartition("end").distinct()
+    asked = starts.select(F.col("node").alias("end"), F.lit(True).alias("asked")).where("end is not null").distinct()
+    e = e.join(asked, "end", "left").checkpoint()
+    front = e.where("asked and end != dst").select(F.col("end").alias("start"), F.col("dst").alias("end"), F.lit(1).alias("hops"), F.lit(1).cast("long").alias("path_count"), F.array().cast("array<string>").alias("via"))
+    e = e.drop("asked")
+    known, hop, left, targets = front, 1, e.count(), few_targets(e)
+    while not front.isEmpty():
         hop += 1
-        order = F.concat(F.array_join("path", ">"), F.lit(">"))
-        found = front.join(e, "end").groupBy("start", "dst").agg(F.least(F.sum("path_count"), F.lit(MOST_PATHS)).alias("path_count"), F.min_by("path", order).alias("path"))
-        found = found.join(known.select("start", F.col("end").alias("dst")), ["start", "dst"], "left_anti")
-        front = found.select("start", F.col("dst").alias("end"), F.lit(hop).alias("hops"), "path_count", F.concat("path", F.array("dst")).alias("path")).checkpoint()
-        if front.isEmpty():
-            return known.where("hops > 0")
+        if targets is not None:
+            e, before = e.join(targets, "end", "left_semi").checkpoint(), left
+            left = e.count()
+            if left == 0:
+                break
+            targets = few_targets(e) if left < before else targets
+        # what no edge of the round leads to cannot be found again
+        seen = known if targets is None else known.join(targets, "end", "left_semi")
+        way = F.concat("via", F.array("end"))
+        found = front.join(e, "end").where("start != dst").groupBy("start", "dst").agg(F.least(F.sum("path_count"), F.lit(MOST_PATHS)).alias("path_count"), F.min_by(way, F.concat(F.array_join(way, ">"), F.lit(">"))).alias("via"))
+        found = found.join(seen.select("start", F.col("end").alias("dst")), ["start", "dst"], "left_anti")
+        front = found.select("start", F.col("dst").alias("end"), F.lit(hop).alias("hops"), "path_count", "via").checkpoint()
         known = known.union(front)
+    return known.select("start", "end", "hops", "path_count", F.concat(F.array("start"), "via", F.array("end")).alias("path"))
 
 
 def shortest_unique(found: DataFrame, keys: list[str]) -> DataFrame:
