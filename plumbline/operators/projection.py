@@ -321,14 +321,17 @@ def unresolved_callee_evidence(calls: DataFrame, nodes: DataFrame, flows: DataFr
 
 def source_projection(journeys: DataFrame, segments: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
     """journey_id, local_id, chain: the references on the one shortest reverse path from a journey's anchor to the local node that
-    its deepest segments consume, if they consume just one. journeys: journey_id, anchor_id; segments: journey_id, depth, local_id."""
-    deep = segments.where(clean("local_id") != "").groupBy("journey_id", "depth").agg(F.count_distinct("local_id").alias("k"), F.min("local_id").alias("local_id"))
-    deep = deep.groupBy("journey_id").agg(F.max(F.struct("depth", "k", "local_id")).alias("d")).where("d.k = 1").select("journey_id", "d.local_id")
-    wanted = journeys.join(deep, "journey_id").checkpoint()
-    found = shortest_paths(flows.select(F.col("dst").alias("src"), F.col("src").alias("dst")), wanted.select(F.col("anchor_id").alias("node")).distinct())
-    only = wanted.join(found.where("path_count = 1"), (F.col("anchor_id") == F.col("start")) & (F.col("local_id") == F.col("end")))
-    steps = only.select("journey_id", "local_id", F.posexplode(F.reverse("path")).alias("position", "value_node_id"))
+    its deepest segments consume, if they consume just one. journeys: journey_id, anchor_id; segments: journey_id, depth, local_id.
+
+    The ways are sought along the flow, from the local nodes: they are the same ones, and most of what flows into an anchor comes
+    from nodes that no journey asks for."""
+    place = F.struct(F.col("depth").isNull(), -F.col("depth"), "local_id")
+    deep = segments.where(clean("local_id") != "").groupBy("journey_id").agg(F.max(F.struct("depth", "local_id"))["local_id"].alias("local_id"), F.min(place)["local_id"].alias("least"))
+    wanted = journeys.join(deep.where("local_id = least").drop("least"), "journey_id").checkpoint()
+    found = shortest_paths(flows, wanted.select(F.col("local_id").alias("node")))
+    only = wanted.join(found.where("path_count = 1"), (F.col("local_id") == F.col("start")) & (F.col("anchor_id") == F.col("end")))
+    steps = only.select("journey_id", "local_id", F.posexplode("path").alias("position", "value_node_id"))
     shown = steps.join(catalogue(nodes).where(F.col("node_kind").isin(*SHOWN_KINDS) & (F.col("display_ref") != "")).select("value_node_id", "display_ref"), "value_node_id")
-    first = shown.groupBy("journey_id", "local_id", "display_ref").agg(F.min("position").alias("position"))
-    chain = first.groupBy("journey_id", "local_id").agg(F.array_sort(F.collect_list(F.struct("position", "display_ref")))["display_ref"].alias("chain"))
+    met = F.array_sort(F.collect_set(F.struct("position", "display_ref")))
+    chain = shown.groupBy("journey_id", "local_id").agg(F.array_distinct(met["display_ref"]).alias("chain"))
     return chain.where(F.size("chain") > 1)
