@@ -216,11 +216,38 @@ def fine_origins(paths: DataFrame) -> DataFrame:
     """value_node_id, origin_id: ends of reverse paths of one hop or more and a fine confidence; fields, where any is one.
     paths: value_node_id, hop_count, confidence, end_id, end_kind."""
     good = paths.where((F.col("hop_count") > 0) & F.col("confidence").isin(*FINE) & (clean("end_id") != "") & (F.col("end_id") != F.col("value_node_id")))
-    good = good.select("value_node_id", F.col("end_id").alias("origin_id"), (clean("end_kind") == "field").alias("is_field")).distinct()
+    good = good.select("value_node_id", F.col("end_id").alias("origin_id"), (clean("end_kind") == "field").alias("is_field")).distinct().checkpoint()
     any_field = good.groupBy("value_node_id").agg(F.max("is_field").alias("any_field"))
     return good.join(any_field, "value_node_id").where("is_field or not any_field").select("value_node_id", "origin_id").distinct()
 
 
+def covering_fields(gaps: DataFrame, scopes: DataFrame, nodes: DataFrame, origins: DataFrame) -> DataFrame:
+    """journey_id, terminal_id, repo_id, value_node_id, root_type, owner_type, property, relative, depth: the fields that cover the
+    required terminals of each journey whose terminals are all covered; as external_segments, which adds their origins.
+
+    No row is repeated for an origin, and none for a field of a journey that cannot be covered: whether a direct terminal has any
+    field is asked of distinct (repository, property, type), and a nested one without a direct property at its head has none.
+    origins: value_node_id, origin_id."""
+    owned = property_owners(catalogue(nodes), F.col("symbol")).join(origins.select("value_node_id").distinct(), "value_node_id", "left_semi")
+    fields = owned.select("repo_id", "value_node_id", "property", "owner_type", "owners", "all_owners").checkpoint()
+    g = gaps.select("journey_id", "terminal_id", F.col("parent_type").alias("root_type"), "property", "relative", F.try_element_at("relative", F.lit(1)).alias("head"), (F.size("relative") - 1).alias("depth")).distinct()
+    asked = g.where("root_type != '' and property != '' and depth >= 0").join(scopes.select("journey_id", "repo_id").distinct(), "journey_id").checkpoint()
+    typed = fields.where("owners = 1").withColumn("root_type", F.col("owner_type"))
+    direct = asked.where("depth = 0").join(typed.select("repo_id", "property", "root_type").distinct(), ["repo_id", "property", "root_type"], "left_semi").checkpoint()
+    nested = asked.where("depth > 0").join(direct.select("journey_id", F.col("property").alias("head")).distinct(), ["journey_id", "head"], "left_semi").checkpoint()
+    need = gaps.where(clean("terminal_id") != "").groupBy("journey_id").agg(F.count_distinct("terminal_id").alias("need"))
+    covered = lambda rows, enough: need.join(rows.groupBy("journey_id").agg(F.count_distinct("terminal_id").alias("have")), "journey_id").where(enough).select("journey_id")
+    open_ = covered(direct.select("journey_id", "terminal_id").union(nested.select("journey_id", "terminal_id")), "have >= need").checkpoint()
+    direct = direct.join(open_, "journey_id", "left_semi").join(typed, ["repo_id", "property", "root_type"]).checkpoint()
+    nested = nested.join(open_, "journey_id", "left_semi").join(fields.where("all_owners = 1"), ["repo_id", "property"]).checkpoint()
+    heads = nested.select("journey_id", "head").distinct()
+    known = direct.select("journey_id", F.col("property").alias("head"), "value_node_id").distinct().join(heads, ["journey_id", "head"], "left_semi").join(origins, "value_node_id").select("journey_id", "head", "origin_id").distinct()
+    shared = nested.select("journey_id", "head", "value_node_id").distinct().join(origins, "value_node_id").join(known, ["journey_id", "head", "origin_id"], "left_semi").select("journey_id", "head", "value_node_id").distinct()
+    columns = ["journey_id", "terminal_id", "repo_id", "value_node_id", "root_type", "owner_type", "property", "relative", "depth"]
+    found = direct.select(columns).union(nested.join(shared, ["journey_id", "head", "value_node_id"], "left_semi").select(columns)).checkpoint()
+    return found.join(covered(found, "have = need"), "journey_id", "left_semi")
+
+
 def external_segments(gaps: DataFrame, scopes: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """journey_id, terminal_id, repo_id, value_node_id, root_type, owner_type, property, relative, depth, origin_id: the external
     segments of each journey whose required terminals are all covered.
@@ -229,20 +256,8 @@ def external_segments(gaps: DataFrame, scopes: DataFrame, nodes: DataFrame, path
     reverse path leaves it; a nested one where it has exactly one typed owner and shares an origin with the direct property at the
     head of its path. Coverage is a relational division, by counts. scopes: journey_id, repo_id of the catalogues to ask (complete
     ones other than the journey's own); gaps: as external_origin_gaps."""
-    owned, origins = property_owners(catalogue(nodes), F.col("symbol")).checkpoint(), fine_origins(paths).checkpoint()
-    g = gaps.select("journey_id", "terminal_id", F.col("parent_type").alias("root_type"), "property", "relative", F.try_element_at("relative", F.lit(1)).alias("head"), (F.size("relative") - 1).alias("depth")).distinct()
-    asked = g.where("root_type != '' and property != '' and depth >= 0").join(scopes.select("journey_id", "repo_id").distinct(), "journey_id")
-    fields = owned.select("repo_id", "value_node_id", "property", "owner_type", "owners", "all_owners")
-    direct = asked.where("depth = 0").join(fields.where("owners = 1"), ["repo_id", "property"]).where("owner_type = root_type").join(origins, "value_node_id").checkpoint()
-    known = direct.select("journey_id", F.col("property").alias("head"), "origin_id").distinct()
-    nested = asked.where("depth > 0").join(fields.where("all_owners = 1"), ["repo_id", "property"]).join(origins, "value_node_id")
-    shared = nested.join(known, ["journey_id", "head", "origin_id"], "left_semi").select("journey_id", "terminal_id", "value_node_id").distinct()
-    nested = nested.join(shared, ["journey_id", "terminal_id", "value_node_id"], "left_semi")
-    columns = ["journey_id", "terminal_id", "repo_id", "value_node_id", "root_type", "owner_type", "property", "relative", "depth", "origin_id"]
-    segments = direct.select(columns).union(nested.select(columns)).checkpoint()
-    need = gaps.where(clean("terminal_id") != "").groupBy("journey_id").agg(F.count_distinct("terminal_id").alias("need"))
-    have = segments.groupBy("journey_id").agg(F.count_distinct("terminal_id").alias("have"))
-    return segments.join(need.join(have, "journey_id").where("need = have").select("journey_id"), "journey_id", "left_semi")
+    origins = fine_origins(paths).checkpoint()
+    return covering_fields(gaps, scopes, nodes, origins).join(origins, "value_node_id").select("journey_id", "terminal_id", "repo_id", "value_node_id", "root_type", "owner_type", "property", "relative", "depth", "origin_id")
 
 
 def with_coverage(gaps: DataFrame, segments: DataFrame) -> DataFrame:
