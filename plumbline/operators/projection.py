@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, first_filled
-from .graph import closure, shortest_paths
+from .graph import MOST_PATHS, closure, shortest_paths
 from .interaction import FINE
 from .keys import dealt
 
@@ -350,3 +350,43 @@ def source_projection(journeys: DataFrame, segments: DataFrame, nodes: DataFrame
     met = F.array_sort(F.collect_set(F.struct("position", "display_ref")))
     chain = shown.groupBy("journey_id", "local_id").agg(F.array_distinct(met["display_ref"]).alias("chain"))
     return chain.where(F.size("chain") > 1)
+
+
+def source_projection_in_rows(graphs: DataFrame) -> DataFrame:
+    """`source_projection` of journeys whose flows and nodes are their own and few: each is walked in its row, and nothing is sent or
+    written for it. graphs: journey_id, anchor_id, local_id (what its deepest segments consume, if just one), flows array<struct<src,
+    dst>>, nodes array<struct<value_node_id, node_kind, display_ref>>. A round's work grows with the nodes of two rounds and the flows:
+    a row of more than some hundreds belongs to `source_projection`."""
+    g = graphs.where("local_id is not null and anchor_id is not null and local_id != anchor_id")
+    start = F.struct(F.col("local_id").alias("node"), F.lit(1).cast("long").alias("n"), F.array("local_id").alias("path"))
+
+    def grown(front: Column, seen: Column) -> Column:
+        # flows that repeat or lack an end change nothing: ends are made distinct, and ways are counted by the nodes they come from
+        ends = F.array_distinct(F.flatten(F.transform(front, lambda v: F.transform(F.filter("flows", lambda f: (f["src"] == v["node"]) & ~F.array_contains(seen, f["dst"])), lambda f: f["dst"]))))
+
+        def met(end: Column) -> Column:
+            ways = F.filter(front, lambda v: F.exists("flows", lambda f: (f["dst"] == end) & (f["src"] == v["node"])))
+            # each way's number and path are gathered at once, so that ways are found once
+            return F.aggregate(
+                ways, F.struct(end.alias("node"), F.lit(0).cast("long").alias("n"), F.array().cast("array<string>").alias("path")),
+                lambda s, v: F.struct(s["node"].alias("node"), F.least(s["n"] + v["n"], F.lit(MOST_PATHS)).alias("n"), F.concat(v["path"], F.array(s["node"])).alias("path")),
+            )
+
+        return F.transform(ends, met)
+
+    def step(state: Column, _: Column) -> Column:
+        front = state["front"]
+        over = (F.size(front) == 0) | F.exists(front, lambda v: v["node"] == F.col("anchor_id"))
+        seen = F.concat(state["seen"], F.transform(front, lambda v: v["node"]))
+        return F.when(over, state).otherwise(F.struct(grown(front, seen).alias("front"), seen.alias("seen")))
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("flows"), F.lit(1))), F.struct(F.array(start).alias("front"), F.array().cast("array<string>").alias("seen")), step)
+    only = F.filter(walked["front"], lambda v: (v["node"] == F.col("anchor_id")) & (v["n"] == 1))
+    # made by generators, so that what follows does not repeat the walk
+    g = g.select("journey_id", "local_id", F.explode(F.transform(only, lambda v: v["path"])).alias("path"), "nodes")
+    met = F.filter("nodes", lambda x: F.array_contains("path", clean(x["value_node_id"])) & clean(x["node_kind"]).isin(*SHOWN_KINDS))
+    shown = F.transform(met, lambda x: F.struct(clean(x["value_node_id"]).alias("id"), clean(x["display_ref"]).alias("ref")))
+    g = g.select("journey_id", "local_id", "path", F.explode(F.array(shown)).alias("shown"))
+    refs = lambda v: F.array_sort(F.transform(F.filter("shown", lambda x: (x["id"] == v) & (x["ref"] != "")), lambda x: x["ref"]))
+    g = g.select("journey_id", "local_id", F.explode(F.array(F.array_distinct(F.flatten(F.transform("path", refs))))).alias("chain"))
+    return g.where(F.size("chain") > 1)
